@@ -138,3 +138,23 @@ def report(raw: DataFrame) -> DataFrame:
         total(F.when(F.col("line.endpoint") == UNKNOWN_ENDPOINT, copies)).alias("unknown_endpoint_count"),
         total(F.when(F.col("line.service_name") == UNKNOWN_SERVICE, copies)).alias("unknown_service_count"),
     )
+
+
+def drop_counts(raw: DataFrame) -> DataFrame:
+    """The counters of ``report`` that need no duplicate removal: one scan, no shuffle.
+
+    ``usable_rows`` counts copies, so duplicates are ``usable_rows`` minus clean rows.
+    """
+    typed = raw.transform(coerce)
+    status_ok, latency_ok, time_ok = valid_status(), valid_latency(), valid_timestamp()
+    kept = status_ok & latency_ok & time_ok
+    return typed.agg(
+        F.count(F.lit(1)).alias("raw_rows"),
+        F.count_if(~status_ok).alias("dropped_invalid_status"),
+        F.count_if(status_ok & ~latency_ok).alias("dropped_invalid_latency"),
+        F.count_if(kept).alias("usable_rows"),
+        F.count_if(kept & (normalize_endpoint(F.col("endpoint")) == UNKNOWN_ENDPOINT)).alias("unknown_endpoint_count"),
+        F.count_if(kept & (default_if_blank(F.col("service_name"), UNKNOWN_SERVICE) == UNKNOWN_SERVICE)).alias(
+            "unknown_service_count"
+        ),
+    )

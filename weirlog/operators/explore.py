@@ -89,7 +89,7 @@ def log_page_after(logs: DataFrame, timestamp: datetime, log_id: int, limit: int
     return logs.where(later).orderBy(*_newest_first(logs)).limit(limit)
 
 
-def log_get(logs: DataFrame, log_id: int) -> DataFrame:
+def log_get(logs: DataFrame, log_id: int | Column) -> DataFrame:
     return logs.where(F.col("log_id") == log_id)
 
 

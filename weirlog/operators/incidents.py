@@ -134,9 +134,7 @@ def as_incidents(violations: DataFrame, detected_at: Column) -> DataFrame:
     """Violations as new open incident rows. The id follows from content and time."""
     at = detected_at.cast("timestamp_ntz")
     return violations.withColumn("started_at", at).select(
-        F.sha2(
-            F.concat_ws("|", "service", "trigger_type", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")), 256
-        ).alias("id"),
+        F.sha2(F.concat_ws("|", "service", "trigger_type", F.col("started_at").cast("string")), 256).alias("id"),
         "title",
         "severity",
         F.lit("open").alias("status"),
@@ -181,7 +179,7 @@ def recent(incidents: DataFrame, rows: int = 5) -> DataFrame:
     return newest_first(incidents).limit(rows)
 
 
-def incident_get(incidents: DataFrame, incident_id: str) -> DataFrame:
+def incident_get(incidents: DataFrame, incident_id: str | Column) -> DataFrame:
     return incidents.where(F.col("id") == incident_id)
 
 

@@ -55,4 +55,6 @@ def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Da
 
 
 def write_raw_csv(raw: DataFrame, path: str) -> None:
-    raw.select(*LOG_COLUMNS).write.options(header=True, escape='"').csv(path)
+    """Write raw rows as they are: the writer's default of trimming fields is off."""
+    keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    raw.select(*LOG_COLUMNS).write.options(header=True, escape='"', **keep_spaces).csv(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # One row per event; every 20th event is logged twice, as dirty sources do.
-_RAW_COLUMNS = (
+RAW_COLUMNS = (
     "CASE WHEN event_id % 97 = 0 THEN 'not-a-date' ELSE CAST(ts AS STRING) END AS timestamp",
     """CASE user_id % 5 WHEN 0 THEN 'auth-service' WHEN 1 THEN ' user-service ' WHEN 2 THEN 'order-service'
        WHEN 3 THEN '' END AS service_name""",
@@ -22,7 +22,7 @@ _RAW_COLUMNS = (
        WHEN 3 THEN 'ap-south' END AS server_region""",
 )
 
-_CLEAN_COLUMNS = (
+CLEAN_COLUMNS = (
     "l_shipdate AS timestamp",
     """CASE l_suppkey % 4 WHEN 0 THEN 'auth-service' WHEN 1 THEN 'user-service' WHEN 2 THEN 'order-service'
        ELSE 'unknown-service' END AS service_name""",
@@ -48,7 +48,7 @@ def raw_logs_from_events(events: DataFrame) -> DataFrame:
         "*",
         "CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k",
         "explode(sequence(1, CASE WHEN event_id % 20 = 0 THEN 2 ELSE 1 END)) AS copy",
-    ).selectExpr(*_RAW_COLUMNS)
+    ).selectExpr(*RAW_COLUMNS)
 
 
 def raw_logs(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,15 +56,30 @@ def raw_logs(spark: SparkSession, folder: str) -> DataFrame:
     return raw_logs_from_events(table(spark, folder, "events"))
 
 
-def logs(spark: SparkSession, folder: str) -> DataFrame:
-    """Clean logs, one per line item."""
-    items = table(spark, folder, "lineitem")
-    suppliers = table(spark, folder, "supplier")
-    nations = table(spark, folder, "nation")
-    regions = table(spark, folder, "region")
+def logs_from_items(items: DataFrame, suppliers: DataFrame, nations: DataFrame, regions: DataFrame) -> DataFrame:
     return (
         items.join(suppliers, items["l_suppkey"] == suppliers["s_suppkey"])
         .join(nations, suppliers["s_nationkey"] == nations["n_nationkey"])
         .join(regions, nations["n_regionkey"] == regions["r_regionkey"])
-        .selectExpr(*_CLEAN_COLUMNS)
+        .selectExpr(*CLEAN_COLUMNS)
     )
+
+
+def logs(spark: SparkSession, folder: str) -> DataFrame:
+    """Clean logs, one per line item."""
+    return logs_from_items(*[table(spark, folder, t) for t in ("lineitem", "supplier", "nation", "region")])
+
+
+def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A sample table's file as a stream source."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def raw_log_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return raw_logs_from_events(file_stream(spark, folder, "events"))
+
+
+def log_stream(spark: SparkSession, folder: str) -> DataFrame:
+    lookups = [table(spark, folder, t) for t in ("supplier", "nation", "region")]
+    return logs_from_items(file_stream(spark, folder, "lineitem"), *lookups)
