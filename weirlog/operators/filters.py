@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def month_of(timestamp: Column) -> Column:
+    """First day of the month, the partition that a log belongs to."""
+    return F.trunc(timestamp.cast("date"), "month")
+
+
 def filter_logs(
     logs: DataFrame,
     service: str | None = None,
@@ -20,7 +25,8 @@ def filter_logs(
 ) -> DataFrame:
     """Keep rows that match every given filter; None, '' and status 0 mean no filter.
 
-    Dates are inclusive instants: a bare ``date_to`` is midnight of that day.
+    Dates are inclusive instants: a bare ``date_to`` is midnight of that day. On a
+    table partitioned by ``log_month`` they also select the months to read.
     """
     equal = {
         "service_name": service,
@@ -32,10 +38,15 @@ def filter_logs(
     for column, value in equal.items():
         if value:
             logs = logs.where(F.col(column) == value)
+    monthly = "log_month" in logs.columns
     if date_from:
-        logs = logs.where(F.col("timestamp") >= F.lit(date_from).cast("timestamp_ntz"))
+        start = F.lit(date_from).cast("timestamp_ntz")
+        logs = logs.where(F.col("timestamp") >= start)
+        logs = logs.where(F.col("log_month") >= month_of(start)) if monthly else logs
     if date_to:
-        logs = logs.where(F.col("timestamp") <= F.lit(date_to).cast("timestamp_ntz"))
+        end = F.lit(date_to).cast("timestamp_ntz")
+        logs = logs.where(F.col("timestamp") <= end)
+        logs = logs.where(F.col("log_month") <= month_of(end)) if monthly else logs
     return logs
 
 

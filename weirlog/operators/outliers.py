@@ -6,6 +6,8 @@ in place: the comparison is pushed to the scan and nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,44 +20,42 @@ from .metrics import LATENCY, latency_cells
 METHODS = ("iqr", "p99", "zscore")
 
 
-def _quantiles(logs: DataFrame, *points: float) -> DataFrame:
-    return latency_cells(logs).agg(F.percentile(LATENCY, list(points), F.col("n")).alias("q"))
-
-
-def _fences(logs: DataFrame) -> tuple[Column, Column]:
-    q1, q3 = F.col("q")[0], F.col("q")[1]
-    reach = (q3 - q1) * 1.5
-    quartiles = _quantiles(logs, 0.25, 0.75)
-    return quartiles.select((q1 - reach).alias("low")).scalar(), quartiles.select((q3 + reach).alias("high")).scalar()
+def _quantiles(logs: DataFrame, *points: float) -> Column:
+    """Exact latency quantiles as one array, computed once however often it is used."""
+    return latency_cells(logs).agg(F.percentile(LATENCY, list(points), F.col("n")).alias("q")).scalar()
 
 
 def iqr_outliers(logs: DataFrame) -> DataFrame:
     """Rows outside 1.5 interquartile ranges, with the upper fence."""
-    low, high = _fences(logs)
+    quartiles = _quantiles(logs, 0.25, 0.75)
+    q1, q3 = quartiles[0], quartiles[1]
+    reach = (q3 - q1) * 1.5
     ms = F.col(LATENCY)
-    return logs.where((ms < low) | (ms > high)).withColumn("threshold_ms", high)
+    return logs.where((ms < q1 - reach) | (ms > q3 + reach)).withColumn("threshold_ms", q3 + reach)
 
 
 def p99_outliers(logs: DataFrame) -> DataFrame:
-    p99 = _quantiles(logs, 0.99).select(F.col("q")[0].alias("p99")).scalar()
+    p99 = _quantiles(logs, 0.99)[0]
     return logs.where(F.col(LATENCY) > p99).withColumn("threshold_ms", round_table(p99))
 
 
+def _zscore(logs: DataFrame, deviation: Callable[[Column], Column]) -> Column:
+    """Distance from the mean in deviations; null where the deviation is zero."""
+    ms = F.col(LATENCY).cast("double")
+    moments = logs.agg(F.struct(F.avg(ms).alias("mean"), deviation(ms).alias("std")).alias("moments")).scalar()
+    return F.try_divide(ms - moments["mean"], moments["std"])
+
+
 def zscore_outliers(logs: DataFrame) -> DataFrame:
     """Rows more than three sample standard deviations from the mean; no threshold."""
-    ms = F.col(LATENCY).cast("double")
-    moments = logs.agg(F.avg(ms).alias("mean"), F.stddev_samp(ms).alias("std"))
-    mean, std = moments.select("mean").scalar(), moments.select("std").scalar()
-    far = (std > 0) & (F.abs(F.try_divide(ms - mean, std)) > 3)
+    far = F.abs(_zscore(logs, F.stddev_samp)) > 3
     return logs.where(far).withColumn("threshold_ms", F.lit(None).cast("double"))
 
 
 def population_zscore_outliers(logs: DataFrame) -> DataFrame:
     """As ``zscore_outliers`` with the population deviation; the z-score is kept."""
-    ms = F.col(LATENCY).cast("double")
-    moments = logs.agg(F.avg(ms).alias("mean"), F.stddev_pop(ms).alias("std"))
-    mean, std = moments.select("mean").scalar(), moments.select("std").scalar()
-    return logs.withColumn("z_score", F.try_divide(ms - mean, std)).where(F.abs("z_score") > 3)
+    score = _zscore(logs, F.stddev_pop)
+    return logs.where(F.abs(score) > 3).withColumn("z_score", score)
 
 
 def endpoint_p95_outliers(logs: DataFrame) -> DataFrame:

@@ -727,11 +727,10 @@ def statements() -> dict[str, str]:
         ),
         "out_dispatch": over(
             "logs",
-            f"""SELECT * EXCLUDE (q1, q3), q3 + (q3 - q1) * 1.5e0 AS threshold_ms, 'iqr' AS method, count(*) OVER () AS outlier_count
+            f"""SELECT * EXCLUDE (p99), {cell("p99")} AS threshold_ms, 'p99' AS method, count(*) OVER () AS outlier_count
                 FROM (SELECT * FROM logs WHERE service_name = 'order-service'),
-                     ({_quartiles()} WHERE service_name = 'order-service')
-                WHERE response_time_ms < q1 - (q3 - q1) * 1.5e0 OR response_time_ms > q3 + (q3 - q1) * 1.5e0
-                ORDER BY response_time_ms DESC, {LOG} LIMIT 100""",
+                     (SELECT {p(0.99)} AS p99 FROM logs WHERE service_name = 'order-service')
+                WHERE response_time_ms > p99 ORDER BY response_time_ms DESC, {LOG} LIMIT 100""",
         ),
         "lg_out_zscore_pop": over(
             "logs",

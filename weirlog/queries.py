@@ -95,14 +95,14 @@ def src_raw_landing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def src_logs_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return _release_datasets(spark, folder).scan("ds-v1.1").drop("log_id")
+    return _release_datasets(spark, folder).scan("ds-v1.1").drop("log_id", "log_month")
 
 
 def sink_clean_persist(spark: SparkSession, folder: str) -> DataFrame:
     store = _log_tables(spark)
     store.persist_clean(_clean(spark, folder), "ds-events", "events", "events.csv")
     registered = store.list_datasets().select("dataset_id", "row_count", "status")
-    return store.scan("ds-events").drop("log_id").join(registered, "dataset_id")
+    return store.scan("ds-events").drop("log_id", "log_month").join(registered, "dataset_id")
 
 
 def ds_ingest(spark: SparkSession, folder: str) -> DataFrame:
@@ -360,7 +360,7 @@ COMPARISONS = _over(
         "out_iqr": outliers.iqr_outliers,
         "out_p99": outliers.p99_outliers,
         "out_zscore": outliers.zscore_outliers,
-        "out_dispatch": lambda logs: outliers.outlier_page(logs, "iqr", service="order-service"),
+        "out_dispatch": lambda logs: outliers.outlier_page(logs, "p99", service="order-service"),
         "lg_out_zscore_pop": _population_zscores,
         "lg_out_endpoint_p95": outliers.endpoint_p95_outliers,
         "scr_reliability": lambda logs: scores.reliability_scores(logs, "service_name"),
