@@ -164,9 +164,16 @@ class LogTables:
         if self._table("datasets").where(F.col("dataset_id") == dataset_id).isEmpty():
             raise LookupError(f"dataset {dataset_id} not found")
         for table in ("raw_logs", "api_logs", "datasets"):
-            self.spark.sql(
-                f"ALTER TABLE {self._name(table)} DROP IF EXISTS PARTITION (dataset_id = :id)", {"id": dataset_id}
-            )
+            self._drop_partitions(table, dataset_id)
+
+    def _drop_partitions(self, table: str, dataset_id: str) -> None:
+        """Drop all partitions of a dataset in one statement (a catalog wants full keys)."""
+        name, dataset = self._name(table), {"id": dataset_id}
+        listed = self.spark.sql(f"SHOW PARTITIONS {name} PARTITION (dataset_id = :id)", dataset)
+        months = [row.partition.partition("/log_month=")[2] for row in listed.collect()]
+        keys = [f"PARTITION (dataset_id = :id{f', log_month = DATE {m!r}' if m else ''})" for m in months]
+        if keys:
+            self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {', '.join(keys)}", dataset)
 
     def reset(self) -> DataFrame:
         """Empty all log tables; return how much was there."""
