@@ -6,8 +6,6 @@ from conftest import SMALL
 import __spark_entry__ as entry
 
 QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
-# Queries whose jobs run while the frame is made; the others are plans until collected.
-EAGER = ("src_", "sink_", "ds_ingest", "ds_reset", "st_")
 
 
 @pytest.fixture(scope="module")
@@ -27,12 +25,9 @@ def test_entry(spark):
 
 
 @pytest.mark.parametrize("name", QUERIES)
-def test_query_equals_sql(spark, database, name):
-    assert difference(QUERIES[name](spark, SMALL).toPandas(), database.sql(STATEMENTS[name]).df()) is None
-
-
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(EAGER)])
-def test_plans_stay_in_the_engine(spark, name):
-    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+def test_query_equals_sql_and_stays_in_the_engine(spark, database, name):
+    frame = QUERIES[name](spark, SMALL)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
     for operator in ("CartesianProduct", "NestedLoopJoin", "Python", "Pandas"):
         assert operator not in plan
+    assert difference(frame.toPandas(), database.sql(STATEMENTS[name]).df()) is None

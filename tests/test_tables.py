@@ -1,8 +1,9 @@
+import duckdb
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from weirlog.operators import cleaning, filters, incidents
+from weirlog.operators import cleaning, explore, filters, incidents
 from weirlog.schema import LOG_COLUMNS
 from weirlog.sources import csv_logs, synthetic, tables
 
@@ -94,6 +95,28 @@ def test_dataset_and_month_filters_prune_partitions(store, logs):
     assert few.count() == expected.count() > 0
 
 
+def test_pages_read_the_months_they_lie_in(store, logs):
+    store.persist_clean(logs, "d1", "n", "f.csv")
+    stored, size = store.scan(), 400
+    plain = stored.drop("log_month")
+    for page in (1, 2, 9, 15, 16):
+        paged = explore.log_page(stored, page, size)
+        assert rows_of(paged.drop("log_month")) == rows_of(explore.log_page(plain, page, size)), page
+    plan_of = explore.log_page(stored, 2, size)
+    assert "log_month" in plan_of._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1]
+
+
+def test_id_lookup_has_bloom_filters(store, logs, tmp_path):
+    store.persist_clean(logs.where("year(timestamp) = 1996"), "d1", "n", "f.csv")
+    wanted = store.scan().first()
+    assert explore.log_get(store.scan(), wanted.log_id).first() == wanted
+    files = f"{tmp_path}/db/api_logs/**/*.parquet"
+    columns = duckdb.sql(
+        f"SELECT path_in_schema, bool_and(bloom_filter_offset IS NOT NULL) FROM parquet_metadata('{files}') GROUP BY 1"
+    )
+    assert {name for name, has in columns.fetchall() if has} == {"log_id"}
+
+
 def test_incident_table(spark, store, logs):
     found = incidents.detect(logs)
     first = store.record(found, F.lit("2024-01-01 00:00:00")).first()

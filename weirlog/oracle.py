@@ -455,7 +455,9 @@ def statements() -> dict[str, str]:
                 status_code, response_time_ms, release_version, server_region FROM raw""",
         ),
         "src_raw_landing": over("raw", f"SELECT {LOG} FROM raw"),
-        "src_logs_scan": over("logs", "SELECT * FROM tagged WHERE dataset_id = 'ds-v1.1'", tagged=tagged),
+        "src_logs_scan": over(
+            "logs", f"SELECT {LOG}, 'ds-v2' AS dataset_id FROM logs WHERE release_version NOT LIKE 'v1.%'"
+        ),
         "src_synthetic_logs": _synthetic(),
         "sink_clean_persist": over(
             "cleaned",
@@ -463,7 +465,7 @@ def statements() -> dict[str, str]:
                 'cleaned' AS status FROM cleaned""",
         ),
         "ds_ingest": over("cleaned", f"SELECT false AS already_loaded, {report} FROM coerced"),
-        "ds_reset": over("logs", "SELECT count(*) AS logs_deleted, 3::BIGINT AS datasets_deleted FROM logs"),
+        "ds_reset": over("logs", "SELECT count(*) AS logs_deleted, 2::BIGINT AS datasets_deleted FROM logs"),
         "ds_ingest_idempotent": over(
             "logs",
             """SELECT DISTINCT file_name FROM (SELECT release_version || '.csv' AS file_name FROM logs

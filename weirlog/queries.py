@@ -61,12 +61,12 @@ def _csv_folder(spark: SparkSession, folder: str) -> str:
     return path
 
 
-def _release_datasets(spark: SparkSession, folder: str) -> tables.LogTables:
-    """The clean logs stored as one dataset per release."""
+def _stored_logs(spark: SparkSession, folder: str) -> tables.LogTables:
+    """The clean logs stored as two datasets: the v1 releases and the rest."""
     store, logs = _log_tables(spark), sample_views.logs(spark, folder)
-    for release in ("v1.0", "v1.1", "v2.0"):
-        part = filters.filter_logs(logs, release=release)
-        store.persist_clean(part, f"ds-{release}", f"logs of {release}", f"{release}.csv")
+    first = F.col("release_version").startswith("v1.")
+    store.persist_clean(logs.where(first), "ds-v1", "v1 releases", "v1.csv")
+    store.persist_clean(logs.where(~first), "ds-v2", "later releases", "v2.csv")
     return store
 
 
@@ -95,7 +95,7 @@ def src_raw_landing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def src_logs_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return _release_datasets(spark, folder).scan("ds-v1.1").drop("log_id", "log_month")
+    return _stored_logs(spark, folder).scan("ds-v2").drop("log_id", "log_month")
 
 
 def sink_clean_persist(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,7 +110,7 @@ def ds_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ds_reset(spark: SparkSession, folder: str) -> DataFrame:
-    return _release_datasets(spark, folder).reset()
+    return _stored_logs(spark, folder).reset()
 
 
 def _incoming_files(logs: DataFrame) -> DataFrame:

@@ -57,12 +57,13 @@ def raw_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def logs_from_items(items: DataFrame, suppliers: DataFrame, nations: DataFrame, regions: DataFrame) -> DataFrame:
-    return (
-        items.join(suppliers, items["l_suppkey"] == suppliers["s_suppkey"])
-        .join(nations, suppliers["s_nationkey"] == nations["n_nationkey"])
+    """The small tables are joined first, so each line item is matched once."""
+    places = (
+        suppliers.join(nations, suppliers["s_nationkey"] == nations["n_nationkey"])
         .join(regions, nations["n_regionkey"] == regions["r_regionkey"])
-        .selectExpr(*CLEAN_COLUMNS)
+        .select("s_suppkey", "r_name")
     )
+    return items.join(places, items["l_suppkey"] == places["s_suppkey"]).selectExpr(*CLEAN_COLUMNS)
 
 
 def logs(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,13 +15,14 @@ def shared_folder(spark: SparkSession) -> str:
     folder created and set.
     """
     context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    named, current = spark.conf.get("spark.checkpoint.dir", None), context.getCheckpointDir()
+    if not named and not current:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="weirlog-")
-        context.setCheckpointDir(folder)
-    return folder
+        named = tempfile.mkdtemp(prefix="weirlog-")
+    if not current:
+        context.setCheckpointDir(named)
+    return named or current
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
