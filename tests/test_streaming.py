@@ -1,7 +1,10 @@
+from datetime import datetime
+
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from weirlog.functions.time import utc_day, utc_instant
 from weirlog.operators import cleaning, incidents, metrics
 from weirlog.schema import CLEAN_SCHEMA, LOG_COLUMNS
 from weirlog.sources import csv_logs
@@ -28,8 +31,7 @@ def test_cleaning_in_several_batches_equals_batch(spark, raw, csv_parts, tmp_pat
     ).csv(csv_parts)
     # Files are read in no set order, so allow for all of the time range.
     jobs.run_available(jobs.append_to(jobs.clean_stream(rows, "400 days"), out, progress))
-    streamed = spark.read.parquet(out).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
-    assert rows_of(streamed) == rows_of(cleaning.clean(raw))
+    assert rows_of(spark.read.parquet(out)) == rows_of(cleaning.clean(raw))
 
 
 def test_csv_stream_reads_null_tokens(spark, raw, csv_parts, tmp_path):
@@ -59,6 +61,39 @@ def test_running_cells_equal_batch_tables(spark, logs, tmp_path):
     assert rows_of(jobs.daily_trend_of(run())) == rows_of(metrics.latency_trend(doubled))
 
 
+def test_event_time_does_not_follow_the_session_zone(spark, make_logs):
+    edge = make_logs(
+        {"timestamp": datetime(2024, 3, 10, 2, 30, 0, 5)},  # does not exist on New York clocks
+        {"timestamp": datetime(2024, 3, 10, 23, 59, 59, 999999)},
+        {"timestamp": datetime(1969, 12, 31, 23, 0)},
+    )
+    instant = utc_instant(F.col("timestamp"))
+    seen = edge.select(F.to_date("timestamp"), utc_day(instant), F.unix_micros(instant))
+    expected = rows_of(seen)
+    assert all(a == b for a, b, _ in expected)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert rows_of(edge.select(F.to_date("timestamp"), utc_day(instant), F.unix_micros(instant))) == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_state_of_past_days_goes(spark, make_logs, tmp_path):
+    source, out, progress = paths(tmp_path, "in", "out", "progress")
+    removed = 0
+    for day in (1, 5, 9):
+        at = {"timestamp": datetime(2024, 1, day)}
+        make_logs(at, {**at, "response_time_ms": 7}).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(CLEAN_SCHEMA).parquet(source)
+        cells = jobs.cell_stream(stream, delay="1 hour")
+        writer = jobs.for_each_batch(cells, jobs.changed_cells_to(out), progress, mode="update")
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        removed += sum(o.numRowsRemoved for p in query.recentProgress for o in p.stateOperators)
+    assert removed >= 4
+    assert jobs.daily_trend_of(jobs.current_cells(spark, out)).count() == 3
+
+
 def test_incidents_are_recorded_once(spark, raw, csv_parts, tmp_path):
     out, progress = paths(tmp_path, "out", "progress")
     stream = jobs.raw_csv_stream(spark, csv_parts)

@@ -1,0 +1,25 @@
+"""Event time for streams.
+
+Logs carry zone-less timestamps; watermarks need instants. Both are read as UTC here,
+whatever the session's time zone, so that days do not shift.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_MICROS_PER_DAY = 86_400_000_000
+
+
+def utc_instant(clock: Column) -> Column:
+    """The instant at which a UTC clock shows this zone-less timestamp."""
+    seconds = F.extract(F.lit("SECOND"), clock)
+    return F.make_timestamp_ltz(
+        F.year(clock), F.month(clock), F.dayofmonth(clock), F.hour(clock), F.minute(clock), seconds, F.lit("UTC")
+    )
+
+
+def utc_day(instant: Column) -> Column:
+    """The UTC calendar day of an instant."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(instant) / _MICROS_PER_DAY).cast("int"))

@@ -45,7 +45,7 @@ def _counts() -> list[Column]:
     ]
 
 
-def latency_cells(logs: DataFrame, *keys: str) -> DataFrame:
+def latency_cells(logs: DataFrame, *keys: str | Column) -> DataFrame:
     """Requests, 4xx and 5xx per (keys, latency value)."""
     return logs.groupBy(*keys, LATENCY).agg(*_counts())
 

@@ -549,8 +549,7 @@ def st_clean(spark: SparkSession, folder: str) -> DataFrame:
     out = fresh_path(spark, "stream-clean")
     stream = jobs.clean_stream(sample_views.raw_log_stream(spark, folder))
     jobs.run_available(jobs.append_to(stream, out, fresh_path(spark, "progress")))
-    rows = spark.read.parquet(out)
-    return rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    return spark.read.parquet(out)
 
 
 def _streamed_cells(spark: SparkSession, folder: str, *keys: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Streaming jobs over raw or clean request logs.
 
-The event-time column of a stream is TIMESTAMP (watermarks do not take the zone-less
-type), so run these with the session time zone set to UTC. Rows later than the
-watermark delay are not part of a stream's result; choose the delay accordingly.
+Watermarks do not take the zone-less type of ``timestamp``, so streams carry an
+``event_time`` instant beside it. Rows later than the watermark delay are not part of
+a stream's result; choose the delay accordingly.
 
 Metric streams keep request counts per (day, keys, latency value): fixed-size state
 rows, spread over all state partitions by the latency, from which exact percentiles
@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.numbers import round_table
+from ..functions.time import utc_day, utc_instant
 from ..operators import cleaning, incidents
-from ..operators.metrics import kpis_of_cells, latency_cells, summarize
+from ..operators.metrics import LATENCY, kpis_of_cells, latency_cells, summarize
 from ..schema import INCIDENT_SCHEMA, LOG_COLUMNS, RAW_SCHEMA
 from ..sources.csv_logs import NULL_TOKENS
 
@@ -35,20 +36,22 @@ def raw_csv_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _with_event_time(logs: DataFrame, delay: str) -> DataFrame:
-    return logs.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", delay)
+    return logs.withColumn("event_time", utc_instant(F.col("timestamp"))).withWatermark("event_time", delay)
 
 
 def clean_stream(raw: DataFrame, delay: str = DELAY) -> DataFrame:
     """Clean rows of a raw stream; copies within the delay are removed."""
     usable = _with_event_time(cleaning.usable(raw), delay)
-    return usable.dropDuplicatesWithinWatermark(list(LOG_COLUMNS))
+    return usable.dropDuplicatesWithinWatermark(list(LOG_COLUMNS)).select(*LOG_COLUMNS)
 
 
 def cell_stream(logs: DataFrame, *keys: str, delay: str = DELAY) -> DataFrame:
-    """Running request counts per day, key and latency value of a clean stream."""
-    day = F.window("timestamp", "1 day")["start"].alias("day")
-    timed = _with_event_time(logs, delay)
-    return latency_cells(timed.select("*", day), "day", *keys)
+    """Running request counts per day, key and latency value of a clean stream.
+
+    The day is a window over event time, so its state goes once the watermark passes.
+    """
+    cells = latency_cells(_with_event_time(logs, delay), F.window("event_time", "1 day"), *keys)
+    return cells.select(utc_day(F.col("window.start")).alias("day"), *keys, LATENCY, *_CELL_COUNTS)
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -85,8 +88,7 @@ def current_cells(spark: SparkSession, path: str) -> DataFrame:
     written = spark.read.parquet(path)
     keys = [c for c in written.columns if c not in (*_CELL_COUNTS, "batch_id")]
     latest = F.max_by(F.struct(*_CELL_COUNTS), "batch_id").alias("latest")
-    cells = written.groupBy(*keys).agg(latest).select(*keys, "latest.*")
-    return cells.withColumn("day", F.to_date("day"))
+    return written.groupBy(*keys).agg(latest).select(*keys, "latest.*")
 
 
 def daily_trend_of(cells: DataFrame) -> DataFrame:
