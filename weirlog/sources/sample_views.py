@@ -57,13 +57,18 @@ def raw_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def logs_from_items(items: DataFrame, suppliers: DataFrame, nations: DataFrame, regions: DataFrame) -> DataFrame:
-    """The small tables are joined first, so each line item is matched once."""
-    places = (
-        suppliers.join(nations, suppliers["s_nationkey"] == nations["n_nationkey"])
+    """Line items are joined to one file-backed table after the other.
+
+    Each of these has a known size, so the planner can broadcast the small ones. A
+    join of them made first would have only a pessimistic estimate, and the line items
+    would be shuffled.
+    """
+    return (
+        items.join(suppliers, items["l_suppkey"] == suppliers["s_suppkey"])
+        .join(nations, suppliers["s_nationkey"] == nations["n_nationkey"])
         .join(regions, nations["n_regionkey"] == regions["r_regionkey"])
-        .select("s_suppkey", "r_name")
+        .selectExpr(*CLEAN_COLUMNS)
     )
-    return items.join(places, items["l_suppkey"] == places["s_suppkey"]).selectExpr(*CLEAN_COLUMNS)
 
 
 def logs(spark: SparkSession, folder: str) -> DataFrame:
