@@ -1,8 +1,10 @@
+import re
 from datetime import datetime
 
 import numpy as np
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 from weirlog.operators import compare, filters, metrics, outliers, scores
 
@@ -175,3 +177,33 @@ def test_endpoint_outliers_with_and_without_broadcast(logs, monkeypatch):
 def test_stability_ranking_breaks_ties_by_name(make_logs):
     logs = make_logs(*[{"endpoint": e} for e in "cabd"])
     assert [r.endpoint for r in scores.least_stable_endpoints(logs, 3).collect()] == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize(
+    "report, keys",
+    [
+        (metrics.kpis, "service_name"),
+        (metrics.percentiles, ""),
+        (metrics.latency_trend, "date"),
+        (metrics.endpoint_performance, "endpoint, service_name"),
+        (metrics.service_summary, "service_name"),
+        (compare.top_bucket, "endpoint"),
+    ],
+)
+def test_log_rows_are_counted_per_latency_before_any_shuffle(logs, report, keys):
+    """The shuffle fed by the scan is keyed by latency too and gets partial counts."""
+    plan = re.sub(r"#\d+L?|_\d+", "", report(logs)._jdf.queryExecution().executedPlan().toString())
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    wanted = "hashpartitioning(" + ", ".join(filter(None, [keys, "response_time_ms"]))
+    assert wanted in shuffles[-1]
+    after = plan.split(shuffles[-1])[1].strip().splitlines()[0]
+    assert "HashAggregate" in after and "partial_count" in after
+
+
+def test_a_hot_group_gives_exact_figures(spark, make_logs):
+    hot = make_logs({"response_time_ms": 7}).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(200_000))))
+    rows = hot.drop("copy").unionByName(make_logs(*[{"response_time_ms": 1000 + i} for i in range(100)]))
+    row = metrics.percentiles(rows).first()
+    assert (row.p50, row.p99, row["max"]) == (7.0, 7.0, 1099.0)
+    assert compare.top_bucket(rows).first().p95_latency == 1099
+    assert outliers.p99_outliers(rows).count() == 100

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, incidents
 from ..operators.explore import with_log_id
 from ..operators.filters import month_of
+from ..operators.joins import size_checked
 from ..schema import LOG_COLUMNS
 from .csv_logs import read_raw_csv
 from .shared import durable
@@ -232,5 +233,5 @@ def files_to_load(incoming: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def without_datasets(logs: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Logs of all datasets but the deleted ones."""
-    return logs.join(deleted.select("dataset_id").distinct(), "dataset_id", "left_anti")
+    """Logs of all datasets but the deleted ones; the logs are not shuffled for a short list."""
+    return logs.join(size_checked(deleted.select("dataset_id").distinct()), "dataset_id", "left_anti")
