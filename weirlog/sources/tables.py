@@ -121,9 +121,16 @@ class LogTables:
         return rows
 
     def scan(self, dataset_id: str | None = None) -> DataFrame:
-        """Clean logs of one dataset or of all."""
+        """Clean logs of one dataset, or of all registered ones.
+
+        A dataset is registered after its rows are stored, so rows that a failed load
+        left behind are never seen.
+        """
         logs = self._table("api_logs")
-        return logs.where(F.col("dataset_id") == dataset_id) if dataset_id else logs
+        if dataset_id:
+            return logs.where(F.col("dataset_id") == dataset_id)
+        columns = logs.columns
+        return logs.join(self._table("datasets").select("dataset_id"), "dataset_id", "left_semi").select(*columns)
 
     def ingest(self, path: str, name: str | None = None, force: bool = True, multi_line: bool = False) -> DataFrame:
         """Read, check, clean and store a CSV; return one row with its counters.
