@@ -6,12 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+import public_tokenizers
+
+from . import exact_dedup, licenses, mixing, secrets, token_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, folder, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
@@ -20,7 +34,16 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(table(spark, folder, "documents"))
 
 
-ALL: dict[str, Query] = {f.__name__: f for f in (op8_exact_dedup, op10_mixing)}
+ALL: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_secret_scan,
+        op7_token_counts,
+        op8_exact_dedup,
+        op10_mixing,
+    )
+}
 
 _SIZES = r"""
     SELECT doc_id, source, coalesce(text, '') AS text,
