@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import exact_dedup, licenses, mixing, secrets, token_counts
+from . import bpe, exact_dedup, licenses, mixing, secrets, token_counts
 from .common import table
 
+BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -22,6 +24,10 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents"))
 
 
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_digests(table(spark, folder, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -39,6 +45,7 @@ ALL: dict[str, Query] = {
     for f in (
         op1_license_scan,
         op2_secret_scan,
+        op5_byte_bpe,
         op7_token_counts,
         op8_exact_dedup,
         op10_mixing,
