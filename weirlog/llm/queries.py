@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, licenses, mixing, secrets, token_counts
+from . import bpe, exact_dedup, licenses, mixing, ngram_join, secrets, token_counts
 from .common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -28,6 +28,10 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(table(spark, folder, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
 
+def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, folder, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,6 +50,7 @@ ALL: dict[str, Query] = {
         op1_license_scan,
         op2_secret_scan,
         op5_byte_bpe,
+        op6_ngram_join,
         op7_token_counts,
         op8_exact_dedup,
         op10_mixing,
@@ -59,6 +64,37 @@ _SIZES = r"""
 """
 
 SQL: dict[str, str] = {
+    "op6_ngram_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+            FROM documents
+        ),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END
+                ) AS shingle
+            FROM words
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+        ),
+        links AS (
+            SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * c.n >= 90 * (x.n + y.n - c.n)
+        ),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other
+        ),
+        groups AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM documents d JOIN groups USING (doc_id) LEFT JOIN sizes USING (doc_id)
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
