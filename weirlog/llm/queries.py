@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, licenses, mixing, ngram_join, secrets, token_counts
+from . import bpe, exact_dedup, language, licenses, mixing, ngram_join, secrets, token_counts
 from .common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,6 +24,11 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents"))
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(table(spark, folder, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
@@ -49,6 +54,7 @@ ALL: dict[str, Query] = {
     for f in (
         op1_license_scan,
         op2_secret_scan,
+        op3_language_id,
         op5_byte_bpe,
         op6_ngram_join,
         op7_token_counts,
