@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, language, licenses, mixing, ngram_join, secrets, token_counts
+from . import bpe, exact_dedup, language, licenses, mixing, near_vectors, ngram_join, secrets, token_counts
 from .common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -45,6 +45,10 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_groups(table(spark, folder, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(table(spark, folder, "documents"))
 
@@ -59,6 +63,7 @@ ALL: dict[str, Query] = {
         op6_ngram_join,
         op7_token_counts,
         op8_exact_dedup,
+        op9_near_vectors,
         op10_mixing,
     )
 }
@@ -70,6 +75,25 @@ _SIZES = r"""
 """
 
 SQL: dict[str, str] = {
+    "op9_near_vectors": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm
+            FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id
+            WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.9
+        ),
+        reach(vec_id, other) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+        ),
+        groups AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+        SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = g.vec_id) AS n_links, component_id,
+               vec_id = component_id AS kept
+        FROM groups g
+    """,
     "op6_ngram_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
