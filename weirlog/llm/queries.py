@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, language, licenses, mixing, near_vectors, ngram_join, secrets, token_counts
+from . import bpe, chat, exact_dedup, language, licenses, mixing, near_vectors, ngram_join, secrets, token_counts
 from .common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,6 +29,11 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, language.learn(docs))
 
 
+def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return chat.format_turns(conversations, chat.learn(conversations))
+
+
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(table(spark, folder, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
@@ -59,6 +64,7 @@ ALL: dict[str, Query] = {
         op1_license_scan,
         op2_secret_scan,
         op3_language_id,
+        op4_chat_format,
         op5_byte_bpe,
         op6_ngram_join,
         op7_token_counts,
