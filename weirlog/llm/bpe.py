@@ -1,18 +1,19 @@
 """Byte-level BPE: merges as a recursive query over token rows, run by DuckDB inside each task.
 
 Spark deals out the texts. A task splits them into words, numbers the words and
-keeps, in its worker's in-process database, the ids of each word that it has met.
-New words become rows (word, pos, tok), one per byte. The recursive query joins
-neighbouring rows with the merge table and contracts each word's leftmost pair of lowest
-rank until no pair is left; the same pair further right goes in the same step where
-that cannot change what comes next. Ordered aggregation puts ids and decoded bytes of words and
-of texts together.
+keeps, in its worker's in-process database, what it has met. New words become rows
+(word, pos, tok), one per byte. The recursive query joins neighbouring rows with the
+merge table and contracts each word's leftmost pair of lowest rank until no pair is
+left; the same pair further right goes in the same step where that cannot change what
+comes next. Ordered aggregation makes a word's ids of its rows, and decodes: tokens'
+bytes to words, words to texts.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words that a worker keeps; beyond it starts anew.
-CACHED = 600_000
+CACHED = 1_200_000
 #: Token rows that one recursion may make, and the steps that it may take.
 ROWS, STEPS = 4_000_000, 16
 #: Bytes of words that enter a recursion together, and texts and bytes that are put together by one query.
@@ -36,42 +37,68 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ]*")
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 
+#: A row knows its token, where the next row is (follow), the next token, and what the two merge into. Of overlapping pairs
+#: (as in aaa) every second one is contracted.
 _MERGE = """
-    CREATE OR REPLACE TEMP TABLE reached AS
-    WITH RECURSIVE steps(word, pos, tok, depth) AS (
-        SELECT word, pos, tok, 0 FROM entering
+    CREATE OR REPLACE TEMP TABLE steps AS
+    WITH RECURSIVE steps(word, pos, tok, follow, next, merged, alone, depth) AS (
+        SELECT word, pos, tok, follow, next, merged, alone, 0
+        FROM entering e LEFT JOIN merges m ON m.l = e.tok AND m.r = e.next
         UNION ALL
         (
-            WITH pairs AS MATERIALIZED (
-                SELECT p.word, p.n, p.tok, p.depth, m.merged, m.alone
-                FROM (
-                    SELECT word, tok, depth, lead(tok) OVER inside AS next, row_number() OVER inside AS n
-                    FROM steps WINDOW inside AS (PARTITION BY word ORDER BY pos)
-                ) p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next
-            ), lowest AS (
-                SELECT word, min(merged) AS low, arg_min(n, merged::BIGINT << 32 | n) AS first
-                FROM pairs WHERE merged IS NOT NULL AND depth < $steps GROUP BY word
-            ), hits AS (
-                SELECT p.word, n, tok, depth, low, coalesce(merged = low AND (NOT alone OR n = first), false) AS hit
-                FROM pairs p JOIN lowest l ON l.word = p.word
-            ), runs AS (  -- of hits that end before the row: of overlapping pairs every second one is contracted
-                SELECT *, n - 1 - coalesce(max(CASE WHEN hit THEN 0 ELSE n END) OVER (
-                    PARTITION BY word ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
-                FROM hits
+            WITH lowest AS MATERIALIZED (
+                SELECT word, min(merged) AS low, arg_min(pos, merged::HUGEINT << 40 | pos) AS first
+                FROM steps WHERE merged IS NOT NULL AND depth < $steps GROUP BY word
+            ), hits AS MATERIALIZED (
+                SELECT s.word, s.pos, s.follow, l.low FROM steps s
+                JOIN lowest l ON l.word = s.word AND l.low = s.merged AND (NOT s.alone OR s.pos = l.first)
+            ), overlapping AS MATERIALIZED (
+                SELECT DISTINCT a.word FROM hits a JOIN hits b ON a.word = b.word AND a.follow = b.pos
+            ), ordered AS (
+                SELECT *, row_number() OVER inside AS n, lag(follow) OVER inside IS NOT DISTINCT FROM pos AS joined
+                FROM hits SEMI JOIN overlapping USING (word)
+                WINDOW inside AS (PARTITION BY word ORDER BY pos)
+            ), runs AS (
+                SELECT *, n - max(CASE WHEN joined THEN 0 ELSE n END) OVER (
+                    PARTITION BY word ORDER BY n ROWS UNBOUNDED PRECEDING) AS nth
+                FROM ordered
+            ), taken AS MATERIALIZED (
+                SELECT word, pos, follow, low FROM hits ANTI JOIN overlapping USING (word)
+                UNION ALL
+                SELECT word, pos, follow, low FROM runs WHERE nth % 2 = 0
+            ), gone AS MATERIALIZED (
+                SELECT t.word, t.pos, t.low, t.follow AS at, s.follow, s.next
+                FROM taken t JOIN steps s ON s.word = t.word AND s.pos = t.follow
+            ), kept AS (
+                SELECT s.word, s.pos, s.depth + 1 AS depth, coalesce(g.low, s.tok) AS tok,
+                       CASE WHEN g.pos IS NULL THEN s.follow ELSE g.follow END AS follow,
+                       CASE WHEN g.pos IS NULL THEN s.next ELSE g.next END AS next
+                FROM steps s SEMI JOIN lowest l ON l.word = s.word
+                ANTI JOIN gone e ON e.word = s.word AND e.at = s.pos
+                LEFT JOIN gone g ON g.word = s.word AND g.pos = s.pos
+            ), linked AS (
+                SELECT k.word, k.pos, k.tok, k.follow, coalesce(t.low, k.next) AS next, k.depth
+                FROM kept k LEFT JOIN taken t ON t.word = k.word AND t.pos = k.follow
             )
-            SELECT word, n, CASE WHEN hit THEN low ELSE tok END, depth + 1 FROM runs WHERE run % 2 = 0
+            SELECT word, pos, tok, follow, next, merged, alone, depth
+            FROM linked k LEFT JOIN merges m ON m.l = k.tok AND m.r = k.next
         )
     )
-    SELECT word, pos, tok, depth FROM (SELECT *, max(depth) OVER (PARTITION BY word) AS last FROM steps) WHERE depth = last
+    SELECT word, pos, tok, follow, next, depth FROM steps
+"""
+_REACHED = """
+    CREATE OR REPLACE TEMP TABLE reached AS
+    SELECT s.* FROM steps s JOIN (SELECT word, max(depth) AS last FROM steps GROUP BY word) d
+    ON d.word = s.word AND d.last = s.depth
 """
 _KEEP = """
-    INSERT INTO words
-    SELECT word, list(tok ORDER BY pos), string_agg(v.hex, '' ORDER BY pos)
+    CREATE OR REPLACE TEMP TABLE learned AS
+    SELECT word, list(tok ORDER BY pos) AS ids, decode(unhex(string_agg(v.hex, '' ORDER BY pos))) AS said
     FROM {rows} JOIN vocabulary v ON v.token = tok GROUP BY word
 """
-_TEXTS = """
-    SELECT text, flatten(list(ids ORDER BY pos)) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
-    FROM places JOIN words USING (word) GROUP BY text
+_TEXTS = "SELECT text, string_agg(said, '' ORDER BY pos) AS said FROM places JOIN words USING (word) GROUP BY text"
+_DECODE = """
+    SELECT text, string_agg(v.hex, '' ORDER BY pos) AS hex FROM places JOIN vocabulary v ON v.token = tok GROUP BY text
 """
 
 
@@ -112,6 +139,7 @@ class Codec:
 
         ranks = load_ranks(path)
         self.split = splitter(pattern)
+        self.tokens = np.fromiter(ranks.values(), np.int32, len(ranks))
         self.byte_tokens = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         splits = ((t[:i], t[i:], rank) for t, rank in ranks.items() for i in range(1, len(t)))
         merges = [(ranks[a], ranks[b], rank) for a, b, rank in splits if a in ranks and b in ranks]
@@ -121,9 +149,14 @@ class Codec:
         self._load("vocabulary", token=list(ranks.values()), hex=[t.hex() for t in ranks])
         left, right, merged = (list(c) for c in zip(*merges)) if merges else ([], [], [])
         self._load("merges", l=left, r=right, merged=merged, alone=[m in alone for m in merged])
-        self.database.execute("CREATE TABLE words (word INTEGER, ids INTEGER[], hex VARCHAR)")
+        self.database.execute("CREATE TABLE words (word INTEGER, said VARCHAR)")
         self.ranks = ranks
-        self.numbers, self.kept = _Numbers(), 0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.kept, self.used = _Numbers(), 0, 0
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.database.execute("TRUNCATE words")
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
@@ -141,13 +174,17 @@ class Codec:
         self.database.register(name, given)
 
     def _rows(self, words: list[tuple[int, bytes]]) -> pa.Table:
-        sizes = [len(w) for _, w in words]
-        data = np.frombuffer(b"".join(w for _, w in words), np.uint8)
+        """A row per byte; follow and next are -1 at a word's end."""
+        sizes = np.array([len(w) for _, w in words])
+        tokens = self.byte_tokens[np.frombuffer(b"".join(w for _, w in words), np.uint8)]
+        places, last = np.arange(len(tokens), dtype=np.int64), np.cumsum(sizes) - 1
+        follow, following = places + 1, np.append(tokens[1:], np.int32(-1))
+        follow[last] = following[last] = -1
         numbers = np.repeat(np.array([n for n, _ in words], np.int32), sizes)
-        return pa.table({"word": numbers, "pos": np.arange(len(data), dtype=np.int64), "tok": self.byte_tokens[data]})
+        return pa.table({"word": numbers, "pos": places, "tok": tokens, "follow": follow, "next": following})
 
     def _merge(self, words: list[tuple[int, bytes]]) -> None:
-        """Ids of words that are no tokens themselves."""
+        """Ids of words that are no tokens themselves. Words that need more steps enter again."""
         rows = self._rows(words)
         self._register(rows)
         self.database.execute("CREATE OR REPLACE TEMP TABLE entering AS SELECT * FROM given")
@@ -155,15 +192,32 @@ class Codec:
         while left:
             steps = max(1, min(STEPS, ROWS // left))
             self.database.execute(_MERGE.replace("$steps", str(steps)))
-            self.database.execute(_KEEP.format(rows=f"(SELECT * FROM reached WHERE depth < {steps})"))
-            self.database.execute(
-                f"CREATE OR REPLACE TEMP TABLE entering AS SELECT word, pos, tok FROM reached WHERE depth = {steps}"
-            )
+            self.database.execute(_REACHED)
+            self._keep(f"(SELECT * FROM reached WHERE depth < {steps})")
+            again = f"SELECT word, pos, tok, follow, next FROM reached WHERE depth = {steps}"
+            self.database.execute(f"CREATE OR REPLACE TEMP TABLE entering AS {again}")
             left = self.database.sql("SELECT count(*) FROM entering").fetchall()[0][0]
 
+    def _keep(self, rows: str) -> None:
+        self.database.execute(_KEEP.format(rows=rows))
+        self.database.execute("INSERT INTO words SELECT word, said FROM learned")
+        found = self.database.sql("SELECT word, ids FROM learned").to_arrow_table()
+        for batch in found.to_batches():
+            numbers, ids = batch.column(0).to_numpy(), batch.column(1)
+            sizes = ids.value_lengths().to_numpy()
+            values = ids.flatten().to_numpy()
+            while self.used + len(values) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(1 << 16, len(self.ids)), np.int32)])
+            self.ids[self.used : self.used + len(values)] = values
+            self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+            self.sizes[numbers] = sizes
+            self.used += len(values)
+
     def _learn(self) -> None:
         """Put the words numbered since the last time into the table of words."""
-        new = list(self.numbers)[self.kept :] if self.kept else list(self.numbers)
+        new = list(itertools.islice(self.numbers, self.kept, None))
+        more = np.zeros(len(new), np.int64)
+        self.starts, self.sizes = np.concatenate([self.starts, more]), np.concatenate([self.sizes, more])
         pending, size, whole = [], 0, []
         for number, word in enumerate((w.encode() for w in new), self.kept):
             if (rank := self.ranks.get(word)) is not None:  # a word that is a token takes no merges
@@ -179,29 +233,40 @@ class Codec:
         if whole:
             number, rank = (np.array(c, np.int32) for c in zip(*whole))
             self._register(pa.table({"word": number, "pos": np.zeros(len(whole), np.int64), "tok": rank}))
-            self.database.execute(_KEEP.format(rows="given"))
+            self._keep("given")
         self.kept = len(self.numbers)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
         """The ids of each text, and the bytes that they decode to."""
         if self.kept > CACHED:
-            self.numbers, self.kept = _Numbers(), 0
-            self.database.execute("TRUNCATE words")
+            self._forget()
         words = [np.fromiter(map(self.numbers.__getitem__, part), np.int32, len(part)) for part in map(self.split, texts)]
         self._learn()
-        sizes = [len(w) for w in words]
-        result = [(np.zeros(0, np.int32), b"")] * len(texts)
-        if not any(sizes):
-            return result
-        text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-        places = pa.table({"text": text, "pos": np.arange(len(text), dtype=np.int64), "word": np.concatenate(words)})
-        self._register(places, "places")
-        found = self.database.sql(_TEXTS).to_arrow_table()
-        for batch in found.to_batches():
-            numbers, ids, hexes = (batch.column(i) for i in range(3))
-            values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-            for i, number in enumerate(numbers.to_pylist()):
-                result[number] = (values[ends[i] : ends[i + 1]], bytes.fromhex(hexes[i].as_py()))
+        said = [b""] * len(texts)
+        if any(map(len, words)):
+            text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(w) for w in words])
+            places = pa.table({"text": text, "pos": np.arange(len(text), dtype=np.int64), "word": np.concatenate(words)})
+            self._register(places, "places")
+            for batch in self.database.sql(_TEXTS).to_arrow_table().to_batches():
+                for number, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                    said[number] = value
+        return [(self._ids(w), value) for w, value in zip(words, said)]
+
+    def _ids(self, words: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[words]
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self.ids[np.repeat(self.starts[words], sizes) + inside]
+
+    def decode(self, ids: list[list[int]]) -> list[bytes]:
+        """The bytes that ids stand for; an id that the vocabulary lacks is an error."""
+        text = np.repeat(np.arange(len(ids), dtype=np.int32), [len(i) for i in ids])
+        tokens = np.fromiter(itertools.chain.from_iterable(ids), np.int32, len(text))
+        if len(tokens) and not np.isin(tokens, self.tokens).all():
+            raise ValueError("an id is not in the vocabulary")
+        result = [b""] * len(ids)
+        self._register(pa.table({"text": text, "pos": np.arange(len(text), dtype=np.int64), "tok": tokens}), "places")
+        for number, value in self.database.sql(_DECODE).fetchall():
+            result[number] = bytes.fromhex(value)
         return result
 
 
@@ -250,6 +315,23 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id and decoded (bytes) of rows with doc_id and ids; null ids decode to no bytes."""
+    rows = encoded.select("doc_id", F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
+    schema = T.StructType([rows.schema[0], T.StructField("decoded", T.BinaryType())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.of(path, pattern)
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
+                said = codec.decode(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(said, pa.binary())], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of ids (little-endian, 32 bits each) and of the decoded bytes.
 

@@ -66,6 +66,8 @@ def _by_bytes(hashed: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with only the kept document of each group of equal texts; all columns stay."""
-    groups = exact_groups(docs)
-    dropped = size_checked(groups.where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct())
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    groups = exact_groups(docs).where(~F.col("kept"))
+    dropped = size_checked(groups.select(F.col("doc_id").alias("dropped_id"), F.unhex("text_sha256").alias("dropped_sha")).distinct())
+    same = docs["doc_id"].eqNullSafe(dropped["dropped_id"])
+    same = same & (F.unhex(F.sha2(text_or_empty().cast("binary"), 256)) == dropped["dropped_sha"])
+    return docs.join(dropped, same, "left_anti")

@@ -9,7 +9,7 @@ hardly ever lie in a prefix. How rare a token is, a table of counters of fixed s
 tells, to which all documents are counted; any such table gives a valid order.
 
 Hot groups never become pairs. Documents with one set are one node. Then nodes
-with a common minimum under some hash are compared with one of them, the bucket's leader,
+with common minima under some hashes are compared with one of them, the bucket's leader,
 which joins most of a large group of near copies. Only tokens that reach more than one
 component go on, and there only pairs across components are made.
 """
@@ -34,8 +34,10 @@ from .components import components
 WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100
 #: Counters of the token table (a power of two).
 COUNTER_BITS = 18
-#: Further orders that a pair must pass, and hashes whose minima find leaders.
-FURTHER_ORDERS, MINIMA = 2, 4
+#: Further orders that a pair must pass.
+FURTHER_ORDERS = 2
+#: Leaders are found by common minima under hashes: so many bands, each of so many hashes.
+BANDS, BAND_HASHES = 2, 3
 #: Words whose hashes a worker keeps.
 CACHED = 500_000
 #: The multipliers of the splitmix64 finalizer, and the odd numbers that tell places and orders apart.
@@ -132,26 +134,35 @@ def token_ranks(docs: DataFrame, width: int) -> np.ndarray:
     return ranks
 
 
+def _bands(tokens: np.ndarray) -> np.ndarray:
+    """One number per band: a hash of the set's minima under the band's hashes."""
+    if not len(tokens):
+        return tokens
+    result = np.zeros(BANDS, np.uint64)
+    for band in range(BANDS):
+        minima = [_ordered(tokens, 100 + band * BAND_HASHES + k).min() for k in range(BAND_HASHES)]
+        for value in minima:
+            result[band] = _mixed(result[band : band + 1] * np.uint64(_GOLDEN) + value)[0]
+    return result
+
+
 def _signatures(docs: DataFrame, ranks, width: int, share: tuple[int, int]) -> DataFrame:
-    """doc_id, n (set size), set_hash (128 bits), minima under MINIMA hashes, and the prefix under the first order."""
+    """doc_id, n (set size), set_hash (128 bits), bands, and the prefix under the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [tokens_of(text.as_py() or b"", width) for text in batch.column(1)]
-            minima = [
-                np.array([s[np.argmin(_ordered(s, 100 + k))] for k in range(MINIMA)] if len(s) else [], np.uint64) for s in sets
-            ]
             columns = [
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                _longs(minima),
+                _longs([_bands(s) for s in sets]),
                 _longs([_prefix(s, ranks.value, 0, share) for s in sets]),
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     rows = _bytes(docs)
     longs = T.ArrayType(T.LongType())
-    fields = [("n", T.LongType()), ("set_hash", T.BinaryType()), ("minima", longs), ("prefix", longs)]
+    fields = [("n", T.LongType()), ("set_hash", T.BinaryType()), ("bands", longs), ("prefix", longs)]
     schema = T.StructType([rows.schema[0], *(T.StructField(*f) for f in fields)])
     names = schema.names
     return rows.mapInArrow(run, schema)
@@ -179,7 +190,7 @@ def _similar(a: Column, b: Column, share: tuple[int, int]) -> Column:
 
 def _verified(pairs: DataFrame, docs: DataFrame, ranks, width: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) that pass the further orders' filters and then are similar on their whole sets."""
-    pairs = stored(pairs.distinct(), "pairs")
+    pairs = stored(pairs, "pairs")
     ids = size_checked(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = stored(_sets(docs.join(ids, "doc_id", "left_semi"), ranks, width, share), "sets")
 
@@ -195,21 +206,32 @@ def _verified(pairs: DataFrame, docs: DataFrame, ranks, width: int, share: tuple
     return stored(whole.where(_similar(F.col("a_tokens"), F.col("b_tokens"), share)).select("a", "b"), "links")
 
 
-def _leader_pairs(nodes: DataFrame) -> DataFrame:
-    """Each node beside the smallest node with which it shares a minimum: at most MINIMA pairs a node."""
-    rows = nodes.select("node", F.posexplode("minima").alias("which", "minimum"))
-    leaders = rows.groupBy("which", "minimum").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
+def _fits(a: str, b: str, share: tuple[int, int]) -> Column:
+    """Whether sets of these sizes can be similar at all."""
+    return F.least(a, b) * share[1] >= F.greatest(a, b) * share[0]
+
+
+def _leader_pairs(nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Each node beside the smallest node with which it shares a band: at most BANDS pairs a node."""
+    rows = nodes.select("node", "n", F.posexplode("bands").alias("which", "band"))
+    leaders = rows.groupBy("which", "band").agg(
+        F.min("node").alias("leader"), F.max("node").alias("last"), F.min_by("n", "node").alias("leader_n")
+    )
     leaders = leaders.where("leader < last").drop("last")
-    beside = rows.join(leaders, ["which", "minimum"]).where("node <> leader")
-    return beside.select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    beside = rows.join(leaders, ["which", "band"]).where(F.col("node") != F.col("leader")).where(_fits("n", "leader_n", share))
+    return beside.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _cross_pairs(nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs of nodes of different components that share a prefix token under the first order and may be similar by size.
+    """Pairs of nodes of different components whose prefixes under the first order share enough tokens.
 
     Of a token's rows, those outside its largest component are joined with all: every
     pair across components has such an end, and the largest one, often a group of near
     copies, makes no pairs with itself.
+
+    If x and y share o tokens in all, the c-th of these in the order has at most
+    c + |x| - o - 1 tokens of x before it, so at least prefix(x) - (|x| - o) of them lie in
+    the prefix of x, and likewise of y; o is at least share / (1 + share) * (|x| + |y|).
     """
     rows = nodes.select("node", "n", "component", "members", F.explode("prefix").alias("token"))
     reach = rows.groupBy("token").agg(
@@ -218,10 +240,20 @@ def _cross_pairs(nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
     reach = reach.where("low < high").select("token", "main")
     rows = stored(rows.join(reach, "token").select("token", "node", "n", "component", "main"), "prefix-rows")
     outer = rows.where("component <> main").select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "component")))
-    fits = F.least("n", "o_n") * share[1] >= F.greatest("n", "o_n") * share[0]
     once = (F.col("component") == F.col("main")) | (F.col("o_node") < F.col("node"))
-    met = rows.join(outer, "token").where(once & fits & (F.col("component") != F.col("o_component")))
-    return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
+    met = rows.join(outer, "token").where(once & (F.col("component") != F.col("o_component")) & _fits("n", "o_n", share))
+    pairs = met.groupBy("node", "n", "o_node", "o_n").agg(F.count(F.lit(1)).alias("shared"))
+    numerator, denominator = share
+    whole = numerator + denominator
+    least = F.floor(((F.col("n") + F.col("o_n")) * numerator + whole - 1) / whole)
+    slack = F.least(*(_prefix_size(n, share) - F.col(n) + least for n in ("n", "o_n")))
+    pairs = pairs.where(F.col("shared") >= slack)
+    return pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+
+
+def _prefix_size(n: str, share: tuple[int, int]) -> Column:
+    """``prefix_size`` of a column."""
+    return F.col(n) - F.floor((F.col(n) * share[0] + share[1] - 1) / share[1]) + 1
 
 
 def _with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -254,12 +286,12 @@ def similar_groups(
     sets = stored(rows.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("node")), "set-nodes")
 
     # A set's first document is its node; the others (copies) are taken out by their ids.
-    firsts = rows.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "n", "set_hash", "minima", "prefix")
+    firsts = rows.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "n", "set_hash", "bands", "prefix")
     same = rows.select("doc_id", "set_hash").where("doc_id IS NOT NULL").join(sets, "set_hash").where("doc_id <> node")
     copies = size_checked(same.select(F.col("doc_id").alias("node"), "set_hash").distinct())
     nodes = firsts.join(copies, ["node", "set_hash"], "left_anti").drop("set_hash")
 
-    first_links = _verified(_leader_pairs(nodes), docs, ranks, width, share)
+    first_links = _verified(_leader_pairs(nodes, share), docs, ranks, width, share)
     joined = _with_components(nodes, first_links)
     cross_links = _verified(_cross_pairs(joined, share), docs, ranks, width, share)
     links = first_links.unionByName(cross_links)
