@@ -4,8 +4,10 @@ from check_oracle import TABLES, difference
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from weirlog import oracle
+from weirlog import queries as registered
 
-QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
+QUERIES, STATEMENTS = registered.ALL, oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +20,7 @@ def database():
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(STATEMENTS)
+    assert set(QUERIES) <= set(entry.queries()) and set(STATEMENTS) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):

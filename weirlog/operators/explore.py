@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,9 +14,15 @@ SEEK_FROM_ROW = 10_000
 
 
 def with_log_id(logs: DataFrame, dataset_id: str | None = None) -> DataFrame:
-    """Add an id made from the content, so that it needs no global numbering."""
+    """Add a 128-bit id made from the content, so that it needs no global numbering.
+
+    A field is preceded by its length, so that no two contents give one text; a null field
+    has no length.
+    """
     dataset = F.col("dataset_id") if "dataset_id" in logs.columns else F.lit(dataset_id or "")
-    return logs.withColumn("log_id", F.xxhash64(dataset, *LOG_COLUMNS))
+    fields = [c.cast("string") for c in (dataset, *(F.col(c) for c in LOG_COLUMNS))]
+    parts = [F.coalesce(F.concat(F.length(f).cast("string"), F.lit(":"), f), F.lit("-")) for f in fields]
+    return logs.withColumn("log_id", F.md5(F.concat(*parts).cast("binary")))
 
 
 def _newest_first(logs: DataFrame) -> list[Column]:
@@ -25,48 +31,55 @@ def _newest_first(logs: DataFrame) -> list[Column]:
     return [F.col("timestamp").desc(), *[F.col(c) for c in tie_break]]
 
 
-def _seek_levels(logs: DataFrame) -> list[Column]:
-    """Ever finer positions in page order, each descending: day, minute, ms, us, id."""
-    micros = (F.extract(F.lit("SECOND"), "timestamp") * 1_000_000).cast("bigint")
-    levels = [
-        F.date_diff(F.to_date("timestamp"), F.lit("1970-01-01").cast("date")),
-        F.hour("timestamp") * 60 + F.minute("timestamp"),
-        F.floor(micros / 1000),
-        F.pmod(micros, F.lit(1000)),
-    ]
-    return [*levels, -F.shiftright("log_id", 48)] if "log_id" in logs.columns else levels
+# Spans that a page is looked up in, from coarse to fine, in microseconds.
+_SPANS = (86_400_000_000, 60_000_000, 1_000, 1)
+
+
+def _micros() -> Column:
+    """Wall-clock microseconds since 1970, independent of the session's zone."""
+    ts = F.col("timestamp")
+    minutes = (F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+
+
+def _instant(micros: int) -> Column:
+    at = datetime(1970, 1, 1) + timedelta(microseconds=micros)
+    return F.expr(f"TIMESTAMP_NTZ '{at.isoformat(sep=' ')}'")
+
+
+def _on_page(rows: DataFrame, bucket: Column, skip: int, limit: int, newest_first: bool = True) -> tuple:
+    """The first and the last bucket that a page lies in, and how many rows lie before them in page order.
+
+    There are at most some 86,400 buckets of a level, whatever the number of rows.
+    """
+    order = F.col("bucket").desc() if newest_first else F.col("bucket").asc()
+    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    touched = counts.where((F.col("before") < skip + limit) & (F.col("before") + F.col("n") > skip))
+    return tuple(touched.agg(F.min("bucket"), F.max("bucket"), F.min("before")).first())
 
 
-def _seek(logs: DataFrame, skip: int) -> tuple[DataFrame, int]:
-    """Rows from the position where row ``skip`` lies, and what is left to skip.
+def _seek(rows: DataFrame, skip: int, limit: int) -> tuple[DataFrame, int]:
+    """Rows of the span of time that a page lies in, and what is left to skip.
 
-    Each level counts rows per bucket within the bucket found before and adds the
-    counts up over the buckets (at most some 65,000 of them), until little is left.
+    Each level counts rows per span within the span found before. What was found is a plain
+    bound on the timestamp on both sides, so that every further level and the page itself
+    read only the row groups that can hold it. Rows of one instant are told apart by their ids.
     """
-    found: list[tuple[Column, int]] = []
-    for level in _seek_levels(logs):
+    for span in _SPANS:
         if skip < SEEK_FROM_ROW:
-            break
-        inside = logs
-        for column, value in found:
-            inside = inside.where(column == value)
-        before = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        start = (
-            inside.groupBy(level.alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("newer", F.coalesce(F.sum("n").over(before), F.lit(0)))
-            .where(F.col("newer") <= skip)
-            .orderBy("bucket")
-            .first()
-        )
-        if start is None:
-            break
-        found.append((level, start["bucket"]))
-        skip -= start["newer"]
-    at_or_after = F.lit(True)
-    for column, value in reversed(found):
-        at_or_after = (column < value) | ((column == value) & at_or_after)
-    return logs.where(at_or_after), skip
+            return rows, skip
+        first, last, before = _on_page(rows, F.floor(_micros() / span).cast("bigint"), skip, limit)
+        if first is None:
+            return rows.where(F.lit(False)), 0
+        ts = F.col("timestamp")
+        rows, skip = rows.where((ts >= _instant(first * span)) & (ts < _instant((last + 1) * span))), skip - before
+    if skip >= SEEK_FROM_ROW and first == last and "log_id" in rows.columns:
+        start = F.substring("log_id", 1, 4)
+        first, last, before = _on_page(rows, start, skip, limit, newest_first=False)
+        rows, skip = rows.where(start.between(first, last)), skip - before
+    return rows, skip
 
 
 def _months_of_page(logs: DataFrame, skip: int, limit: int) -> tuple[DataFrame, int]:
@@ -75,18 +88,10 @@ def _months_of_page(logs: DataFrame, skip: int, limit: int) -> tuple[DataFrame,
     Counting per partition reads no more columns than the filters need; the full rows
     are then read from one or two months instead of the whole table.
     """
-    before = Window.orderBy(F.col("log_month").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    months = (
-        logs.groupBy("log_month")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("newer", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    )
-    on_page = (F.col("newer") < skip + limit) & (F.col("newer") + F.col("n") > skip)
-    span = months.where(on_page).agg(F.min("log_month"), F.max("log_month"), F.min("newer")).first()
-    first, last, newer = span
+    first, last, before = _on_page(logs, F.col("log_month"), skip, limit)
     if first is None:
         return logs.where(F.lit(False)), 0
-    return logs.where(F.col("log_month").between(F.lit(first), F.lit(last))), skip - newer
+    return logs.where(F.col("log_month").between(F.lit(first), F.lit(last))), skip - before
 
 
 def log_page(logs: DataFrame, page: int = 1, limit: int = 50) -> DataFrame:
@@ -102,18 +107,18 @@ def log_page(logs: DataFrame, page: int = 1, limit: int = 50) -> DataFrame:
     rows, skip = logs, (page - 1) * limit
     if "log_month" in logs.columns:
         rows, skip = _months_of_page(rows, skip, limit)
-    rows, skip = _seek(rows, skip)
+    rows, skip = _seek(rows, skip, limit)
     return rows.orderBy(*_newest_first(logs)).offset(skip).limit(limit).withColumn("total", total)
 
 
-def log_page_after(logs: DataFrame, timestamp: datetime, log_id: int, limit: int = 50) -> DataFrame:
+def log_page_after(logs: DataFrame, timestamp: datetime, log_id: str, limit: int = 50) -> DataFrame:
     """The page that follows a known last row: a filter instead of an offset."""
     ts = F.lit(timestamp).cast("timestamp_ntz")
     later = (F.col("timestamp") < ts) | ((F.col("timestamp") == ts) & (F.col("log_id") > log_id))
     return logs.where(later).orderBy(*_newest_first(logs)).limit(limit)
 
 
-def log_get(logs: DataFrame, log_id: int | Column) -> DataFrame:
+def log_get(logs: DataFrame, log_id: str | Column) -> DataFrame:
     return logs.where(F.col("log_id") == log_id)
 
 

@@ -276,6 +276,27 @@ def detect(source: str, baseline: str | None = None, err: float = 5.0, p95: floa
         WHERE old_ms > 0 AND avg_ms > old_ms * 1.5) v"""
 
 
+def detect_per_day(source: str, err: float = 5.0, p95: float = 1500) -> str:
+    """The two rules without a baseline, for every day of ``source`` by itself."""
+    listed = "'Affected endpoints: ' || array_to_string(affected_endpoints, ', ') || '.'"
+    return f"""WITH dated AS (SELECT *, date_trunc('day', timestamp) AS day FROM {source}),
+      worst AS (
+        SELECT day, service_name, list(endpoint ORDER BY place) AS affected_endpoints FROM (
+          SELECT *, row_number() OVER (PARTITION BY day, service_name ORDER BY error_rate_percent DESC, endpoint) AS place
+          FROM (SELECT day, service_name, endpoint, {cell(ERR)} AS error_rate_percent FROM dated GROUP BY ALL))
+        WHERE place <= 5 GROUP BY ALL),
+      figures AS (SELECT day, service_name, {ERR} AS err, {p(0.95)} AS p95 FROM dated GROUP BY ALL)
+      SELECT CAST(day AS TIMESTAMP) AS started_at, service_name AS service, 'High Error Rate — ' || service_name AS title,
+        CASE WHEN err > {err} * 2 THEN 'high' ELSE 'medium' END AS severity, 'high_error_rate' AS trigger_type,
+        'Error rate ' || printf('%.1f', err) || '% exceeds threshold {err:.1f}%. ' || {listed} AS description
+      FROM figures JOIN worst USING (day, service_name) WHERE err > {err}
+      UNION ALL
+      SELECT CAST(day AS TIMESTAMP), service_name, 'High API Latency — ' || service_name,
+        CASE WHEN p95 > {p95} * 1.5 THEN 'high' ELSE 'medium' END, 'high_latency',
+        'P95 latency ' || printf('%.0f', p95) || 'ms exceeds threshold {p95:.0f}ms. ' || {listed}
+      FROM figures JOIN worst USING (day, service_name) WHERE p95 > {p95}"""
+
+
 def as_incidents(source: str, at: str) -> str:
     return f"""SELECT sha256(service || '|' || trigger_type || '|' || CAST({at} AS VARCHAR)) AS id, title, severity,
         'open' AS status, service, {at} AS started_at, CAST(NULL AS TIMESTAMP) AS ended_at, trigger_type, description,
@@ -382,26 +403,6 @@ def _pick(values: tuple, u: str) -> str:
     return f"CAST([{items}] AS VARCHAR[])[CAST(floor({u} * {len(values)}) AS INT) + 1]"
 
 
-def _synthetic() -> str:
-    from .sources import synthetic as s
-
-    normal = f"sqrt(-2 * ln(1 - {_u('b', 1, 8)})) * cos(2 * 3.141592653589793e0 * {_u('b', 9, 8)})"
-
-    def latency(shape: tuple[float, float]) -> str:
-        return f"CAST(CAST(trunc(({normal}) * {shape[1]}e0 + {shape[0]}e0) AS BIGINT) AS VARCHAR)"
-
-    return f"""WITH keyed AS (SELECT md5('42a:' || event_id) AS a, md5('42b:' || event_id) AS b FROM events),
-      drawn AS (SELECT CAST(TIMESTAMP '2024-01-01 00:00:00'
-            + to_minutes(CAST(floor({_u("b", 17, 8)} * {s.MINUTES + 1}) AS BIGINT)) AS VARCHAR) AS timestamp,
-        {_pick(s.SERVICES, _u("a", 1, 4))} AS service_name, {_pick(s.ENDPOINTS, _u("a", 5, 4))} AS endpoint,
-        {_pick(s.STATUS_CODES, _u("a", 9, 4))} AS status_code,
-        CASE CAST(floor({_u("a", 25, 4)} * 4) AS INT) WHEN 0 THEN {latency(s.FAST)} WHEN 1 THEN {latency(s.SLOW)}
-             WHEN 2 THEN '-1' END AS response_time_ms,
-        {_pick(s.RELEASES, _u("a", 13, 4))} AS release_version, {_pick(s.REGIONS, _u("a", 17, 4))} AS server_region,
-        {_u("b", 25, 8)} < {s.REPEATED_SHARE}e0 AS repeated FROM keyed)
-      SELECT {LOG} FROM drawn UNION ALL SELECT {LOG} FROM drawn WHERE repeated"""
-
-
 def _value_counts(column: str, default: str) -> str:
     cleaned = f"coalesce(nullif(regexp_replace({column}, {WS}), ''), '{default}')"
     return over("raw", f"SELECT {column}, count(*) AS n, {cleaned} AS cleaned FROM raw GROUP BY {column}")
@@ -412,7 +413,6 @@ def _quartiles() -> str:
 
 
 def statements() -> dict[str, str]:
-    tagged = f"SELECT {LOG}, 'ds-' || release_version AS dataset_id FROM logs"
     report = """count(*) AS raw_rows, (SELECT count(*) FROM cleaned) AS clean_rows,
         count(*) FILTER (WHERE NOT coalesce(status_code BETWEEN 200 AND 599, false)) AS dropped_invalid_status,
         count(*) FILTER (WHERE status_code BETWEEN 200 AND 599 AND NOT coalesce(response_time_ms > 0, false))
@@ -458,28 +458,27 @@ def statements() -> dict[str, str]:
         "src_logs_scan": over(
             "logs", f"SELECT {LOG}, 'ds-v2' AS dataset_id FROM logs WHERE release_version NOT LIKE 'v1.%'"
         ),
-        "src_synthetic_logs": _synthetic(),
         "sink_clean_persist": over(
-            "cleaned",
-            f"""SELECT {LOG}, 'ds-events' AS dataset_id, (SELECT count(*) FROM cleaned) AS row_count,
-                'cleaned' AS status FROM cleaned""",
+            "logs",
+            f"""SELECT {LOG}, 'ds-logs' AS dataset_id, count(*) OVER () AS row_count, 'cleaned' AS status FROM logs
+                WHERE year(timestamp) = 1996""",
         ),
         "ds_ingest": over("cleaned", f"SELECT false AS already_loaded, {report} FROM coerced"),
-        "ds_reset": over("logs", "SELECT count(*) AS logs_deleted, 2::BIGINT AS datasets_deleted FROM logs"),
         "ds_ingest_idempotent": over(
-            "logs",
-            """SELECT DISTINCT file_name FROM (SELECT release_version || '.csv' AS file_name FROM logs
-               UNION SELECT server_region || '.csv' FROM logs)
-               WHERE file_name NOT IN (SELECT release_version || '.csv' FROM logs)""",
+            "cleaned",
+            """SELECT *, 1::BIGINT AS datasets FROM first
+               UNION ALL BY NAME SELECT true AS already_loaded, clean_rows, 1::BIGINT AS datasets FROM first""",
+            first=f"SELECT false AS already_loaded, {report} FROM coerced",
         ),
+        "ds_reset": over("logs", "SELECT count(*) AS logs_deleted, 2::BIGINT AS datasets_deleted FROM logs"),
         "ds_list": over(
             "logs",
-            """SELECT dataset_id, 'logs of ' || release_version AS name, release_version || '.csv' AS file_name,
-               count(*) AS row_count, 'cleaned' AS status, max(timestamp) AS created_at
-               FROM tagged GROUP BY dataset_id, release_version""",
-            tagged=tagged,
+            """SELECT CASE WHEN v1 THEN 'ds-v1' ELSE 'ds-v2' END AS dataset_id,
+                 CASE WHEN v1 THEN 'v1 releases' ELSE 'later releases' END AS name,
+                 CASE WHEN v1 THEN 'v1.csv' ELSE 'v2.csv' END AS file_name, count(*) AS row_count, 'cleaned' AS status
+               FROM (SELECT release_version LIKE 'v1.%' AS v1 FROM logs) GROUP BY v1""",
         ),
-        "ds_delete": over("logs", "SELECT * FROM tagged WHERE dataset_id <> 'ds-v1.1'", tagged=tagged),
+        "ds_delete": over("logs", f"SELECT {LOG}, 'ds-v2' AS dataset_id FROM logs WHERE release_version NOT LIKE 'v1.%'"),
         # Cleaning and quality
         "cln_coerce": over("coerced", "SELECT * FROM coerced"),
         "cln_status_range": over("coerced", "SELECT * FROM coerced WHERE status_code BETWEEN 200 AND 599"),
@@ -841,11 +840,16 @@ def statements() -> dict[str, str]:
         ),
         "txt_prompt_chat": over(
             "logs",
-            f"""SELECT conv_id, turn, {text(prompts.CHAT_LEAD)} || context || {text(prompts.CHAT_QUESTION)} || text ||
-                {text(prompts.CHAT_TAIL)} AS prompt FROM conversations, (SELECT {CHAT} AS context) WHERE role = 'user'""",
+            f"""SELECT conv_id, turn, coalesce(history || chr(10), '') || {text(prompts.CHAT_LEAD)} || context ||
+                {text(prompts.CHAT_QUESTION)} || text || {text(prompts.CHAT_TAIL)} AS prompt
+                FROM (SELECT DISTINCT ON (conv_id) * FROM conversations WHERE role = 'user' ORDER BY conv_id, turn DESC) q
+                LEFT JOIN (SELECT c.conv_id AS of_conv, string_agg(c.role || ': ' || c.text, chr(10) ORDER BY c.turn) AS history
+                           FROM conversations c JOIN (SELECT conv_id, max(turn) AS asked FROM conversations
+                             WHERE role = 'user' GROUP BY conv_id) l ON l.conv_id = c.conv_id AND c.turn < asked
+                           GROUP BY c.conv_id) h ON of_conv = conv_id, (SELECT {CHAT} AS context)""",
         ),
-        "txt_history": """SELECT conv_id, CAST(floor(turn / 1000) AS BIGINT) AS part,
-            string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM conversations GROUP BY ALL""",
+        "txt_history": """SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history
+            FROM conversations GROUP BY conv_id""",
         "json_response_parse": f"WITH answers AS ({ANSWERS}) {PARSED}",
         # Streams
         "st_clean": over("cleaned", "SELECT * FROM cleaned"),
@@ -857,9 +861,18 @@ def statements() -> dict[str, str]:
         ),
         "st_incidents": over(
             "cleaned",
-            as_incidents("violations", "last"),
-            violations=detect("cleaned"),
-            mid="SELECT max(timestamp) AS last FROM cleaned",
+            """SELECT id, title, severity, service, started_at, CAST(NULL AS TIMESTAMP) AS ended_at, trigger_type, description,
+                 started_at AS created_at, CASE WHEN acknowledged THEN started_at + INTERVAL 10 DAY ELSE started_at END AS updated_at,
+                 CASE WHEN acknowledged THEN 'acknowledged' ELSE 'open' END AS status
+               FROM (
+                 SELECT *, trigger_type = 'high_error_rate' AND started_at = first AS acknowledged,
+                   row_number() OVER (PARTITION BY service, trigger_type, started_at >= first + INTERVAL 10 DAY
+                                      ORDER BY started_at) AS nth
+                 FROM (SELECT *, min(started_at) OVER (PARTITION BY service, trigger_type) AS first FROM found))
+               WHERE started_at = first OR (trigger_type = 'high_error_rate' AND nth = 1
+                 AND started_at >= first + INTERVAL 10 DAY)""",
+            found=f"""SELECT sha256(service || '|' || trigger_type || '|' || CAST(started_at AS VARCHAR)) AS id, *
+                FROM ({detect_per_day("cleaned")})""",
         ),
     }
     return sql

@@ -41,8 +41,6 @@ CHAT_TAIL = (
     "answer, say so explicitly instead of guessing."
 )
 
-TURNS_PER_PART = 1000
-
 
 def summary_prompt(context: Column) -> Column:
     return F.concat(F.lit(SUMMARY_LEAD), context)
@@ -64,19 +62,37 @@ def chat_prompt(question: Column, context: Column, history: Column | None = None
     return F.concat(F.coalesce(F.concat(history, F.lit("\n")), F.lit("")), text)
 
 
-def history(conversations: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
-    """``role: text`` lines in turn order, joined by newlines.
-
-    A conversation comes back as one row per ``turns_per_part`` turn numbers, so that
-    no conversation, however long, has to fit in one value; shorter ones have one row.
-    """
+def _lines() -> Column:
+    """All turns of a group in order, as (turn, line). They go into one text, so their size is the conversation's own."""
     line = F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("line")
-    return (
-        conversations.withColumn("part", F.floor(F.col("turn") / F.lit(turns_per_part)))
-        .groupBy("conv_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("turn", line))).alias("lines"))
-        .select("conv_id", "part", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("history"))
+    return F.array_sort(F.collect_list(F.struct("turn", line)))
+
+
+def _joined(lines: Column) -> Column:
+    return F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+
+
+def history(conversations: DataFrame) -> DataFrame:
+    """``role: text`` lines of each conversation in turn order, joined by newlines."""
+    return conversations.groupBy("conv_id").agg(_joined(_lines()).alias("history"))
+
+
+def questions_with_history(conversations: DataFrame) -> DataFrame:
+    """The last user turn of each conversation (turn, question) and all turns before it (history, null if there are none)."""
+    asked = F.col("role") == "user"
+    last = conversations.groupBy("conv_id").agg(
+        F.max(F.when(asked, F.col("turn"))).alias("turn"),
+        F.max_by(F.when(asked, F.col("text")), F.when(asked, F.col("turn"))).alias("question"),
+        _lines().alias("lines"),
     )
+    before = F.filter("lines", lambda x: x["turn"] < F.col("turn"))
+    some = F.when(F.size(before) > 0, _joined(before))
+    return last.where("turn IS NOT NULL").select("conv_id", "turn", "question", some.alias("history"))
+
+
+def with_preface(preface: str, prompt: Column) -> Column:
+    """A fixed text before a prompt, with an empty line between."""
+    return F.concat(F.lit(preface), F.lit("\n\n"), prompt)
 
 
 def parse_answer(raw: Column, list_name: str = "potential_causes") -> Column:

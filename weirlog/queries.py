@@ -15,7 +15,7 @@ from .functions.text import default_if_blank, normalize_endpoint
 from .operators import cleaning, compare, explore, filters, incidents, metrics, outliers, quality, scores
 from .plans import contexts, prompts
 from .schema import LOG_COLUMNS, UNKNOWN, UNKNOWN_SERVICE
-from .sources import csv_logs, sample_views, synthetic, tables
+from .sources import csv_logs, sample_views, tables
 from .sources.shared import durable, fresh_path
 from .streaming import jobs
 
@@ -51,8 +51,17 @@ def _day_text(step: Step, name: str) -> Step:
 # Sources, sinks and datasets
 
 
-def _log_tables(spark: SparkSession) -> tables.LogTables:
-    return tables.LogTables(spark, f"weirlog_{uuid.uuid4().hex}", fresh_path(spark, "database"))
+def _with_store(action: Callable[[tables.LogTables, str], DataFrame]) -> Query:
+    """The result of ``action`` on a database of its own, which is dropped when the result is kept."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        store = tables.LogTables(spark, f"weirlog_{uuid.uuid4().hex}", fresh_path(spark, "database"))
+        try:
+            return durable(action(store, folder))
+        finally:
+            spark.sql(f"DROP DATABASE {store.database} CASCADE")
+
+    return run
 
 
 def _csv_folder(spark: SparkSession, folder: str) -> str:
@@ -61,88 +70,76 @@ def _csv_folder(spark: SparkSession, folder: str) -> str:
     return path
 
 
-def _stored_logs(spark: SparkSession, folder: str) -> tables.LogTables:
+def _store_logs(store: tables.LogTables, folder: str) -> None:
     """The clean logs stored as two datasets: the v1 releases and the rest."""
-    store, logs = _log_tables(spark), sample_views.logs(spark, folder)
-    first = F.col("release_version").startswith("v1.")
+    logs, first = sample_views.logs(store.spark, folder), F.col("release_version").startswith("v1.")
     store.persist_clean(logs.where(first), "ds-v1", "v1 releases", "v1.csv")
     store.persist_clean(logs.where(~first), "ds-v2", "later releases", "v2.csv")
-    return store
-
-
-def _tagged(logs: DataFrame) -> DataFrame:
-    return logs.withColumn("dataset_id", F.concat(F.lit("ds-"), "release_version"))
-
-
-def _registry(logs: DataFrame) -> DataFrame:
-    per_dataset = _tagged(logs).groupBy("dataset_id", "release_version")
-    return per_dataset.agg(F.count(F.lit(1)).alias("row_count"), F.max("timestamp").alias("created_at")).select(
-        "dataset_id",
-        F.concat(F.lit("logs of "), "release_version").alias("name"),
-        F.concat("release_version", F.lit(".csv")).alias("file_name"),
-        "row_count",
-        F.lit("cleaned").alias("status"),
-        "created_at",
-    )
 
 
 def src_csv_raw(spark: SparkSession, folder: str) -> DataFrame:
     return csv_logs.read_raw_csv(spark, _csv_folder(spark, folder))
 
 
-def src_raw_landing(spark: SparkSession, folder: str) -> DataFrame:
-    return _log_tables(spark).land_raw(sample_views.raw_logs(spark, folder), "ds-raw")
+def _landed(store: tables.LogTables, folder: str) -> DataFrame:
+    """Raw rows landed twice under one id."""
+    raw = sample_views.raw_logs(store.spark, folder)
+    store.land_raw(raw.limit(10), "ds-raw")
+    return store.land_raw(raw, "ds-raw")
 
 
-def src_logs_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return _stored_logs(spark, folder).scan("ds-v2").drop("log_id", "log_month")
+def _scanned(store: tables.LogTables, folder: str) -> DataFrame:
+    _store_logs(store, folder)
+    return store.scan("ds-v2").drop("log_id", "log_month")
 
 
-def sink_clean_persist(spark: SparkSession, folder: str) -> DataFrame:
-    store = _log_tables(spark)
-    store.persist_clean(_clean(spark, folder), "ds-events", "events", "events.csv")
+def _replaced(store: tables.LogTables, folder: str) -> DataFrame:
+    """All logs stored, then those of one year under the same id: only these remain."""
+    logs = sample_views.logs(store.spark, folder)
+    store.persist_clean(logs, "ds-logs", "all years", "all.csv")
+    store.persist_clean(logs.where(F.year("timestamp") == 1996), "ds-logs", "one year", "1996.csv")
     registered = store.list_datasets().select("dataset_id", "row_count", "status")
-    return store.scan("ds-events").drop("log_id", "log_month").join(registered, "dataset_id")
+    return store.scan("ds-logs").drop("log_id", "log_month").join(registered, "dataset_id")
+
 
+def _ingested(store: tables.LogTables, folder: str) -> DataFrame:
+    return store.ingest(_csv_folder(store.spark, folder)).drop("dataset_id")
 
-def ds_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    return _log_tables(spark).ingest(_csv_folder(spark, folder)).drop("dataset_id")
 
+def _ingested_twice(store: tables.LogTables, folder: str) -> DataFrame:
+    """The answers of loading a file, and of loading it again without force; one dataset is stored."""
+    path = _csv_folder(store.spark, folder)
+    answers = [durable(store.ingest(path, force=False)) for _ in range(2)]
+    n = store.list_datasets().count()
+    return answers[0].union(answers[1]).drop("dataset_id").withColumn("datasets", F.lit(n).cast("bigint"))
 
-def ds_reset(spark: SparkSession, folder: str) -> DataFrame:
-    return _stored_logs(spark, folder).reset()
 
+def _listed_datasets(store: tables.LogTables, folder: str) -> DataFrame:
+    _store_logs(store, folder)
+    return store.list_datasets().drop("created_at")
 
-def _incoming_files(logs: DataFrame) -> DataFrame:
-    def names(column: str) -> DataFrame:
-        return logs.select(F.concat(column, F.lit(".csv")).alias("file_name"))
 
-    return names("release_version").union(names("server_region")).distinct()
+def _after_delete(store: tables.LogTables, folder: str) -> DataFrame:
+    _store_logs(store, folder)
+    store.delete_dataset("ds-v1")
+    return store.scan().drop("log_id", "log_month")
 
 
-def src_synthetic_logs(spark: SparkSession, folder: str) -> DataFrame:
-    events = sample_views.table(spark, folder, "events")
-    return synthetic.synthetic_logs(events, "2024-01-01 00:00:00", id_column="event_id")
+def _after_reset(store: tables.LogTables, folder: str) -> DataFrame:
+    _store_logs(store, folder)
+    return store.reset()
 
 
 SOURCES: dict[str, Query] = {
     "src_csv_raw": src_csv_raw,
-    "src_raw_landing": src_raw_landing,
-    "src_logs_scan": src_logs_scan,
-    "src_synthetic_logs": src_synthetic_logs,
-    "sink_clean_persist": sink_clean_persist,
-    "ds_ingest": ds_ingest,
-    "ds_reset": ds_reset,
-    **_over(
-        sample_views.logs,
-        {
-            "ds_ingest_idempotent": lambda logs: tables.files_to_load(_incoming_files(logs), _registry(logs)),
-            "ds_list": lambda logs: tables.list_datasets(_registry(logs)),
-            "ds_delete": lambda logs: tables.without_datasets(
-                _tagged(logs), _registry(logs).where(F.col("file_name") == "v1.1.csv")
-            ),
-        },
-    ),
+    "src_raw_landing": _with_store(_landed),
+    "src_logs_scan": _with_store(_scanned),
+    "sink_clean_persist": _with_store(_replaced),
+    "ds_ingest": _with_store(_ingested),
+    "ds_ingest_idempotent": _with_store(_ingested_twice),
+    "ds_list": _with_store(_listed_datasets),
+    "ds_delete": _with_store(_after_delete),
+    "ds_reset": _with_store(_after_reset),
 }
 
 # Cleaning and quality
@@ -373,7 +370,7 @@ COMPARISONS = _over(
 
 
 def _violations(logs: DataFrame) -> DataFrame:
-    return incidents.detect(metrics.later_half(logs), metrics.earlier_half(logs))
+    return incidents.detect_in_later_half(logs)
 
 
 def _earlier_incidents(logs: DataFrame) -> DataFrame:
@@ -397,14 +394,16 @@ def _all_incidents(logs: DataFrame) -> DataFrame:
 
 
 def _updated_incidents(logs: DataFrame) -> DataFrame:
-    """Resolve all latency incidents, reopen resolved ones; other incidents stay."""
+    """Resolve all latency incidents, first acknowledging those open; reopen resolved ones; other incidents stay."""
     table = _all_incidents(logs)
     wanted = F.when(F.col("status") == "resolved", F.lit("open")).when(
         F.col("trigger_type").isin("high_latency", "sudden_latency_increase"), F.lit("resolved")
     )
     at = F.lit("2002-01-01 00:00:00")
-    changes = table.select("id", wanted.alias("status"), at.alias("changed_at"))
-    return incidents.update_status(table, changes.where(F.col("status").isNotNull()))
+    changes = table.select("id", wanted.alias("status"), at.alias("changed_at")).where(F.col("status").isNotNull())
+    seen = table.where(F.col("status") == "open").join(changes.select("id"), "id", "left_semi")
+    seen = seen.select("id", F.lit("acknowledged").alias("status"), F.lit("2001-12-31 00:00:00").alias("changed_at"))
+    return incidents.update_status(table, changes.unionByName(seen))
 
 
 def _affected(logs: DataFrame) -> DataFrame:
@@ -520,10 +519,11 @@ def _prompts(logs: DataFrame) -> DataFrame:
 
 
 def txt_prompt_chat(spark: SparkSession, folder: str) -> DataFrame:
-    """One prompt per user turn, about the metrics of all logs."""
+    """A prompt for the last user turn of each conversation, its earlier turns first, about the metrics of all logs."""
     document = contexts.chat_context(sample_views.logs(spark, folder)).scalar()
-    questions = _conversations(spark, folder).where(F.col("role") == "user")
-    return questions.select("conv_id", "turn", prompts.chat_prompt(F.col("text"), document).alias("prompt"))
+    asked = prompts.questions_with_history(_conversations(spark, folder))
+    prompt = prompts.chat_prompt(F.col("question"), document, F.col("history"))
+    return asked.select("conv_id", "turn", prompt.alias("prompt"))
 
 
 DOCUMENTS = (
@@ -545,18 +545,19 @@ DOCUMENTS = (
 # Streams: run to the end of what is there, then read what they wrote
 
 
+def _run(stream: DataFrame, action: jobs.Batch) -> None:
+    jobs.run_available(jobs.for_each_batch(stream, action, fresh_path(stream.sparkSession, "progress")))
+
+
 def st_clean(spark: SparkSession, folder: str) -> DataFrame:
     out = fresh_path(spark, "stream-clean")
-    stream = jobs.clean_stream(sample_views.raw_log_stream(spark, folder))
-    jobs.run_available(jobs.append_to(stream, out, fresh_path(spark, "progress")))
-    return spark.read.parquet(out)
+    _run(sample_views.raw_log_stream(spark, folder), jobs.add_clean_rows_to(out))
+    return jobs.clean_rows(spark, out)
 
 
 def _streamed_cells(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
     out = fresh_path(spark, "stream-cells")
-    stream = jobs.cell_stream(sample_views.log_stream(spark, folder), *keys)
-    writer = jobs.for_each_batch(stream, jobs.changed_cells_to(out), fresh_path(spark, "progress"), mode="update")
-    jobs.run_available(writer)
+    _run(sample_views.log_stream(spark, folder), jobs.add_cells_to(out, lambda logs: jobs.cells_of_days(logs, *keys)))
     return jobs.current_cells(spark, out)
 
 
@@ -569,10 +570,13 @@ def st_kpis(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def st_incidents(spark: SparkSession, folder: str) -> DataFrame:
-    out = fresh_path(spark, "stream-incidents")
-    raw = sample_views.raw_log_stream(spark, folder)
-    jobs.run_available(jobs.for_each_batch(raw, jobs.record_incidents_to(out), fresh_path(spark, "progress")))
-    return jobs.stored_incidents(spark, out)
+    """Incidents of windows of a day; every error-rate incident was acknowledged ten days after it began."""
+    out, none = fresh_path(spark, "stream-incidents"), spark.createDataFrame([], "id string, status string, changed_at timestamp_ntz")
+    _run(sample_views.raw_log_stream(spark, folder), jobs.add_window_cells_to(out, "1 day"))
+    first = jobs.window_incidents(spark, out, none).where(F.col("trigger_type") == "high_error_rate")
+    ten_days = F.expr("started_at + INTERVAL 10 DAYS")
+    changes = durable(first.select("id", F.lit("acknowledged").alias("status"), ten_days.alias("changed_at")))
+    return jobs.window_incidents(spark, out, changes)
 
 
 STREAMS: dict[str, Query] = {

@@ -39,18 +39,6 @@ CLEAN_SCHEMA = T.StructType(
     ]
 )
 
-DATASET_SCHEMA = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("file_name", T.StringType()),
-        T.StructField("row_count", T.LongType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("created_at", T.TimestampType()),
-        T.StructField("updated_at", T.TimestampType()),
-    ]
-)
-
 INCIDENT_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()),

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import posixpath
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,21 +19,25 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, incidents
 from ..operators.explore import with_log_id
 from ..operators.filters import month_of
-from ..operators.joins import size_checked
 from ..schema import LOG_COLUMNS
 from .csv_logs import read_raw_csv
 from .shared import durable
 
-_OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
-
+# Overwriting a dataset clears all its partitions, whatever the session's own mode is.
+_REPLACE_ALL = "partitionOverwriteMode 'static'"
 # Parquet bloom filters: a lookup by id skips the row groups that cannot hold it.
-_OPTIONS = {"api_logs": " OPTIONS (`parquet.bloom.filter.enabled#log_id` 'true')"}
+_OPTIONS = {
+    "raw_logs": _REPLACE_ALL,
+    "api_logs": f"{_REPLACE_ALL}, `parquet.bloom.filter.enabled#log_id` 'true'",
+    "datasets": _REPLACE_ALL,
+    "incidents": "partitionOverwriteMode 'dynamic'",
+}
 
 _TABLES = {
     "raw_logs": (", ".join(f"{c} STRING" for c in LOG_COLUMNS) + ", dataset_id STRING", "dataset_id"),
     "api_logs": (
         "timestamp TIMESTAMP_NTZ, service_name STRING, endpoint STRING, status_code INT, response_time_ms BIGINT, "
-        "release_version STRING, server_region STRING, log_id BIGINT, dataset_id STRING, log_month DATE",
+        "release_version STRING, server_region STRING, log_id STRING, dataset_id STRING, log_month DATE",
         "dataset_id, log_month",
     ),
     "datasets": (
@@ -51,17 +54,6 @@ _TABLES = {
 }
 
 
-@contextmanager
-def _only_written_partitions(spark: SparkSession):
-    """Overwrite replaces just the partitions that the written rows belong to."""
-    before = spark.conf.get(_OVERWRITE_MODE)
-    spark.conf.set(_OVERWRITE_MODE, "dynamic")
-    try:
-        yield
-    finally:
-        spark.conf.set(_OVERWRITE_MODE, before)
-
-
 class LogTables:
     """The tables of one database of the session's catalog."""
 
@@ -73,7 +65,7 @@ class LogTables:
         for name, (columns, partition) in _TABLES.items():
             spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet"
-                f"{_OPTIONS.get(name, '')} PARTITIONED BY ({partition})"
+                f" OPTIONS ({_OPTIONS[name]}) PARTITIONED BY ({partition})"
             )
 
     def _name(self, table: str) -> str:
@@ -82,16 +74,22 @@ class LogTables:
     def _table(self, table: str) -> DataFrame:
         return self.spark.table(self._name(table))
 
-    def _replace_partitions(self, rows: DataFrame, table: str) -> None:
-        target = self._table(table).columns
-        with _only_written_partitions(self.spark):
-            rows.select(*target).write.mode("overwrite").insertInto(self._name(table))
+    def _replace_dataset(self, rows: DataFrame, table: str, dataset_id: str) -> None:
+        """Put rows in the place of everything that is stored under a dataset, also when there are none."""
+        columns, key = self._table(table).columns, "dataset_id"
+        rest = [c for c in columns if c != key]
+        # A literal partition value clears all of the dataset's partitions before the new ones are added.
+        months = ", log_month" if "log_month" in columns else ""
+        self.spark.sql(
+            f"INSERT OVERWRITE TABLE {self._name(table)} PARTITION ({key} = {_quoted(dataset_id)}{months}) SELECT * FROM {{rows}}",
+            rows=rows.select(*rest),
+        )
 
     # Logs and datasets
 
     def land_raw(self, raw: DataFrame, dataset_id: str) -> DataFrame:
         """Store raw rows as they came; return the stored rows."""
-        self._replace_partitions(raw.withColumn("dataset_id", F.lit(dataset_id)), "raw_logs")
+        self._replace_dataset(raw, "raw_logs", dataset_id)
         return self._table("raw_logs").where(F.col("dataset_id") == dataset_id).select(*LOG_COLUMNS)
 
     def persist_clean(self, cleaned: DataFrame, dataset_id: str, name: str, file_name: str) -> int:
@@ -105,8 +103,8 @@ class LogTables:
         tagged = with_log_id(cleaned.withColumn("dataset_id", F.lit(dataset_id)))
         monthly = tagged.withColumn("log_month", month_of(F.col("timestamp"))).hint("rebalance", "log_month")
         ordered = monthly.sortWithinPartitions("log_month", "service_name", "endpoint", "timestamp")
-        self._replace_partitions(ordered, "api_logs")
-        rows = self.scan(dataset_id).count()
+        self._replace_dataset(ordered, "api_logs", dataset_id)
+        rows = self._stored(dataset_id).count()
         now = F.current_timestamp()
         entry = self.spark.range(1).select(
             F.lit(name).alias("name"),
@@ -115,9 +113,8 @@ class LogTables:
             F.lit("cleaned").alias("status"),
             now.alias("created_at"),
             now.alias("updated_at"),
-            F.lit(dataset_id).alias("dataset_id"),
         )
-        self._replace_partitions(entry, "datasets")
+        self._replace_dataset(entry, "datasets", dataset_id)
         return rows
 
     def scan(self, dataset_id: str | None = None) -> DataFrame:
@@ -126,12 +123,13 @@ class LogTables:
         A dataset is registered after its rows are stored, so rows that a failed load
         left behind are never seen.
         """
-        logs = self._table("api_logs")
-        if dataset_id:
-            return logs.where(F.col("dataset_id") == dataset_id)
+        logs = self._stored(dataset_id) if dataset_id else self._table("api_logs")
         columns = logs.columns
         return logs.join(self._table("datasets").select("dataset_id"), "dataset_id", "left_semi").select(*columns)
 
+    def _stored(self, dataset_id: str) -> DataFrame:
+        return self._table("api_logs").where(F.col("dataset_id") == dataset_id)
+
     def ingest(self, path: str, name: str | None = None, force: bool = True, multi_line: bool = False) -> DataFrame:
         """Read, check, clean and store a CSV; return one row with its counters.
 
@@ -215,12 +213,19 @@ class LogTables:
         )
 
     def update_incidents(self, changes: DataFrame) -> None:
-        """Apply status changes and rewrite only the days that hold a changed incident."""
-        table = self.incidents()
+        """Apply status changes and rewrite only the days that hold a changed incident; an unknown id is an error."""
+        table, changes = self.incidents(), durable(changes)
+        incidents.require_known(table, changes)
         days = table.join(changes.select("id"), "id", "left_semi").select("started_on").distinct()
         touched = table.join(days, "started_on", "left_semi")
         updated = incidents.update_status(touched, changes).withColumn("started_on", F.to_date("started_at"))
-        self._replace_partitions(updated, "incidents")
+        target = table.columns
+        updated.select(*target).write.mode("overwrite").insertInto(self._name("incidents"))
+
+
+def _quoted(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def list_datasets(registry: DataFrame) -> DataFrame:
@@ -232,13 +237,3 @@ def list_datasets(registry: DataFrame) -> DataFrame:
 
 def newest_dataset(registry: DataFrame) -> DataFrame:
     return registry.orderBy(F.col("created_at").desc(), "dataset_id").limit(1)
-
-
-def files_to_load(incoming: DataFrame, registry: DataFrame) -> DataFrame:
-    """Incoming files (``file_name``) that no registered dataset came from."""
-    return incoming.join(registry.select("file_name").distinct(), "file_name", "left_anti")
-
-
-def without_datasets(logs: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Logs of all datasets but the deleted ones; the logs are not shuffled for a short list."""
-    return logs.join(size_checked(deleted.select("dataset_id").distinct()), "dataset_id", "left_anti")

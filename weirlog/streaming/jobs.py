@@ -1,12 +1,13 @@
 """Streaming jobs over raw or clean request logs.
 
-Watermarks do not take the zone-less type of ``timestamp``, so streams carry an
-``event_time`` instant beside it. Rows later than the watermark delay are not part of
-a stream's result; choose the delay accordingly.
-
-Metric streams keep request counts per (day, keys, latency value): fixed-size state
-rows, spread over all state partitions by the latency, from which exact percentiles
-are made when the table is read.
+A batch writes what it adds under its own number, so a batch that is run again replaces
+itself, and a reader puts the batches together. No state waits behind a watermark:
+rows count however late they come, and a result follows from the rows alone, not from
+how files fell into batches.
+
+Metric streams keep request counts per (day or window, keys, latency value), from which
+exact percentiles are made when the table is read. Every ``MERGE_EVERY`` batches the
+counts are added up into one folder, so the number of folders read stays bounded.
 """
 
 from __future__ import annotations
@@ -15,18 +16,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.numbers import round_table
-from ..functions.time import utc_day, utc_instant
 from ..operators import cleaning, incidents
+from ..operators.explore import with_log_id
+from ..operators.filters import month_of
 from ..operators.metrics import LATENCY, kpis_of_cells, latency_cells, summarize
-from ..schema import INCIDENT_SCHEMA, LOG_COLUMNS, RAW_SCHEMA
+from ..schema import LOG_COLUMNS, RAW_SCHEMA
 from ..sources.csv_logs import NULL_TOKENS
 
-DELAY = "1 day"
+MERGE_EVERY = 16
+#: Length of the windows that incidents are detected in.
+WINDOW = "1 hour"
 _CELL_COUNTS = ("n", "n_4xx", "n_5xx")
+Batch = Callable[[DataFrame, int], None]
 
 
 def raw_csv_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,60 +39,82 @@ def raw_csv_stream(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(*[F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)).alias(c) for c in LOG_COLUMNS])
 
 
-def _with_event_time(logs: DataFrame, delay: str) -> DataFrame:
-    return logs.withColumn("event_time", utc_instant(F.col("timestamp"))).withWatermark("event_time", delay)
+def for_each_batch(stream: DataFrame, action: Batch, checkpoint: str) -> DataStreamWriter:
+    return stream.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint)
 
 
-def clean_stream(raw: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Clean rows of a raw stream; copies within the delay are removed."""
-    usable = _with_event_time(cleaning.usable(raw), delay)
-    return usable.dropDuplicatesWithinWatermark(list(LOG_COLUMNS)).select(*LOG_COLUMNS)
+def run_available(writer: DataStreamWriter) -> None:
+    """Process everything that is there now and stop."""
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def cell_stream(logs: DataFrame, *keys: str, delay: str = DELAY) -> DataFrame:
-    """Running request counts per day, key and latency value of a clean stream.
+# Folders of batches
 
-    The day is a window over event time, so its state goes once the watermark passes.
-    """
-    cells = latency_cells(_with_event_time(logs, delay), F.window("event_time", "1 day"), *keys)
-    return cells.select(utc_day(F.col("window.start")).alias("day"), *keys, LATENCY, *_CELL_COUNTS)
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path and the path, as Hadoop objects."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
-def append_to(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Parquet sink, exactly once."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
 
+def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the finished folders ``kind=number`` below a path."""
+    files, where = _folder(spark, path)
+    if not files.exists(where):
+        return []
+    names = [(s.getPath(), s.getPath().getName()) for s in files.listStatus(where)]
+    done = [
+        name for at, name in names
+        if name.startswith(f"{kind}=") and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS"))
+    ]
+    return sorted(int(name.partition("=")[2]) for name in done)
 
-def for_each_batch(
-    stream: DataFrame, action: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
-) -> DataStreamWriter:
-    return stream.writeStream.foreachBatch(action).outputMode(mode).option("checkpointLocation", checkpoint)
 
+def _delete(spark: SparkSession, path: str) -> None:
+    files, where = _folder(spark, path)
+    files.delete(where, True)
 
-def run_available(writer: DataStreamWriter) -> None:
-    """Process everything that is there now and stop."""
-    writer.trigger(availableNow=True).start().awaitTermination()
 
+# Counts
 
-def _batch_path(path: str, batch_id: int) -> str:
-    return f"{path}/batch_id={batch_id}"
 
+def cells_of_days(logs: DataFrame, *keys: str) -> DataFrame:
+    """Request counts per day, key and latency value."""
+    return latency_cells(logs.withColumn("day", F.to_date("timestamp")), "day", *keys)
 
-def changed_cells_to(path: str) -> Callable[[DataFrame, int], None]:
-    """Write each batch's changed cells under its number; a repeated batch replaces itself."""
+
+def add_cells_to(path: str, cells_of: Callable[[DataFrame], DataFrame], merge_every: int = MERGE_EVERY) -> Batch:
+    """Write each batch's own counts under its number, and add finished batches up now and then.
+
+    The folders that a merge has read stay until the next merge, so that a batch that is
+    run again finds what it needs.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        spark = batch.sparkSession
+        cells_of(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if (batch_id + 1) % merge_every == 0:
+            merged = current_cells(spark, path, batch_id, merged_before=batch_id)
+            merged.write.mode("overwrite").parquet(f"{path}/merged={batch_id}")
+            for kind in ("batch", "merged"):
+                for number in _numbers(spark, path, kind):
+                    if number <= batch_id - merge_every - (kind == "merged"):
+                        _delete(spark, f"{path}/{kind}={number}")
 
     return write
 
 
-def current_cells(spark: SparkSession, path: str) -> DataFrame:
-    """The latest count of every cell that ``changed_cells_to`` wrote."""
-    written = spark.read.parquet(path)
-    keys = [c for c in written.columns if c not in (*_CELL_COUNTS, "batch_id")]
-    latest = F.max_by(F.struct(*_CELL_COUNTS), "batch_id").alias("latest")
-    return written.groupBy(*keys).agg(latest).select(*keys, "latest.*")
+def current_cells(spark: SparkSession, path: str, upto: int | None = None, merged_before: int | None = None) -> DataFrame:
+    """The sum of all counts that batches (up to one) added: the latest merge and the batches after it."""
+    limit = float("inf") if upto is None else upto
+    below = float("inf") if merged_before is None else merged_before
+    merged = [n for n in _numbers(spark, path, "merged") if n <= limit and n < below][-1:]
+    batches = [n for n in _numbers(spark, path, "batch") if n <= limit and n > (merged or [-1])[0]]
+    paths = [f"{path}/merged={n}" for n in merged] + [f"{path}/batch={n}" for n in batches]
+    written = spark.read.parquet(*paths)
+    keys = [c for c in written.columns if c not in _CELL_COUNTS]
+    return written.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _CELL_COUNTS])
 
 
 def daily_trend_of(cells: DataFrame) -> DataFrame:
@@ -107,29 +133,81 @@ def daily_kpis_of(cells: DataFrame) -> DataFrame:
     return kpis_of_cells(cells, "day", "service_name")
 
 
-def record_incidents_to(path: str) -> Callable[[DataFrame, int], None]:
-    """Clean each raw batch, detect violations and store those without an open incident.
+# Clean rows
+
 
-    A batch writes its incidents under its own number and compares with earlier
-    numbers only, so a batch that is run again gives the same result.
+def add_clean_rows_to(path: str) -> Batch:
+    """Clean each raw batch and write the rows that no earlier batch has, by month.
+
+    Copies are found however far apart they come: a row is compared, by its id, with the
+    stored rows of its month only.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        logs = cleaning.clean(batch).persist()
-        at = logs.agg(F.max("timestamp")).scalar()
-        existing = stored_incidents(batch.sparkSession, path, before_batch=batch_id)
-        new = incidents.newly_violated(incidents.detect(logs), existing)
-        incidents.as_incidents(new, at).write.mode("overwrite").parquet(_batch_path(path, batch_id))
-        logs.unpersist()
+        rows = with_log_id(cleaning.clean(batch)).withColumn("log_month", month_of(F.col("timestamp")))
+        earlier = _clean_rows_before(batch.sparkSession, path, batch_id)
+        if earlier is not None:
+            months = [r.log_month for r in rows.select("log_month").distinct().collect()]
+            known = earlier.where(F.col("log_month").isin(months)).select("log_id")
+            rows = rows.join(known, "log_id", "left_anti")
+        rows.write.mode("overwrite").partitionBy("log_month").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def _clean_rows_before(spark: SparkSession, path: str, batch_id: int | None) -> DataFrame | None:
+    numbers = [n for n in _numbers(spark, path, "batch") if batch_id is None or n < batch_id]
+    filled = [f"{path}/batch={n}" for n in numbers if _has_months(spark, f"{path}/batch={n}")]
+    if not filled:
+        return None
+    parts = [spark.read.option("basePath", path).parquet(*filled)]
+    return parts[0].drop("batch")
+
+
+def _has_months(spark: SparkSession, path: str) -> bool:
+    """A batch that added nothing has a folder without rows."""
+    files, where = _folder(spark, path)
+    return any(s.isDirectory() for s in files.listStatus(where))
+
+
+def clean_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All clean rows that ``add_clean_rows_to`` wrote."""
+    rows = _clean_rows_before(spark, path, None)
+    if rows is None:
+        raise LookupError(f"no rows below {path}")
+    return rows.select(*LOG_COLUMNS)
+
+
+# Incidents
+
+
+def cells_of_windows(logs: DataFrame, length: str = WINDOW) -> DataFrame:
+    """Request counts per window of event time, service, endpoint and latency value."""
+    start = F.window("timestamp", length)["start"].cast("timestamp_ntz")
+    return latency_cells(logs.withColumn("window_start", start), "window_start", "service_name", "endpoint")
+
+
+def add_window_cells_to(path: str, length: str = WINDOW) -> Batch:
+    """Clean a raw batch, keep the rows that are new, and add their counts per window."""
+    add_rows = add_clean_rows_to(f"{path}/rows")
+
+    def new_rows(batch: DataFrame, batch_id: int) -> DataFrame:
+        spark, own = batch.sparkSession, f"{path}/rows/batch={batch_id}"
+        rows = spark.read.parquet(own) if _has_months(spark, own) else cleaning.clean(batch.limit(0))
+        return rows.select(*LOG_COLUMNS)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        add_rows(batch, batch_id)
+        add_cells_to(f"{path}/cells", lambda b: cells_of_windows(new_rows(b, batch_id), length))(batch, batch_id)
 
     return write
 
 
-def stored_incidents(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
-    """Incidents of all batches, or of those before one."""
-    if before_batch == 0:
-        return spark.createDataFrame([], INCIDENT_SCHEMA)
-    rows = spark.read.schema(T.StructType([*INCIDENT_SCHEMA, T.StructField("batch_id", T.IntegerType())])).parquet(path)
-    if before_batch is not None:
-        rows = rows.where(F.col("batch_id") < before_batch)
-    return rows.drop("batch_id")
+def window_incidents(spark: SparkSession, path: str, changes: DataFrame) -> DataFrame:
+    """Incidents by the counts of all windows and the status changes (id, status, changed_at) made so far.
+
+    A window is judged by all its rows, so late ones change its violations.
+    """
+    cells = current_cells(spark, f"{path}/cells").withColumn("is_current", F.lit(True))
+    found = incidents.violations_of_cells(cells, False, by=("window_start",))
+    return incidents.incidents_of_windows(found, changes)
