@@ -38,15 +38,16 @@ def test_service_and_chat_documents(logs):
     assert [s["service_name"] for s in chat["services"]] == sorted(services)
 
 
-def test_history_in_turn_order_and_in_parts(spark):
-    turns = [(1, t, "user" if t % 2 == 0 else "assistant", f"line {t}") for t in range(25)] + [(2, 0, "user", "hi")]
-    table = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
-    lines = [f"{r}: {x}" for _, _, r, x in turns[:25]]
+def test_history_is_whole_and_in_turn_order(spark):
+    turns = [(1, t, "user" if t % 2 == 0 else "assistant", f"line {t}") for t in range(2500)]
+    turns += [(2, 0, "user", "hi"), (3, 0, "assistant", "no question")]
+    table = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(7)
+    lines = [f"{r}: {x}" for _, _, r, x in turns[:2500]]
     whole = {r.conv_id: r.history for r in prompts.history(table).collect()}
-    assert whole == {1: "\n".join(lines), 2: "user: hi"}
-    parts = prompts.history(table, turns_per_part=10).where("conv_id = 1").orderBy("part").collect()
-    assert [r.part for r in parts] == [0, 1, 2]
-    assert "\n".join(r.history for r in parts) == "\n".join(lines)
+    assert whole == {1: "\n".join(lines), 2: "user: hi", 3: "assistant: no question"}
+    asked = {r.conv_id: (r.turn, r.question, r.history) for r in prompts.questions_with_history(table).collect()}
+    assert asked == {1: (2498, "line 2498", "\n".join(lines[:2498])), 2: (0, "hi", None)}
+    assert spark.range(1).select(prompts.with_preface("Be brief.", F.lit("x"))).first()[0] == "Be brief.\n\nx"
 
 
 def test_prompts(spark):

@@ -38,13 +38,22 @@ def test_next_page_by_key(logs):
 def test_ids_are_distinct_and_found(logs):
     rows = explore.with_log_id(logs, "ds")
     assert rows.select("log_id").distinct().count() == logs.distinct().count()
+    assert {len(r.log_id) for r in rows.limit(5).collect()} == {32}
     wanted = rows.first()
     assert explore.log_get(rows, wanted.log_id).first().timestamp == wanted.timestamp
     with pytest.raises(LookupError):
-        explore.require_rows(explore.log_get(rows, 0), "log")
+        explore.require_rows(explore.log_get(rows, "none"), "log")
     assert explore.require_rows(rows, "log") is rows
 
 
+def test_a_far_page_is_a_bound_on_the_timestamp(logs, tmp_path, spark, monkeypatch):
+    logs.write.parquet(f"{tmp_path}/logs")
+    monkeypatch.setattr(explore, "SEEK_FROM_ROW", 20)
+    plan = explore.log_page(spark.read.parquet(f"{tmp_path}/logs"), 100, 10)._jdf.queryExecution().executedPlan().toString()
+    pushed = [scan.split("ReadSchema")[0] for scan in plan.split("PushedFilters:")[1:]]
+    assert any("GreaterThanOrEqual(timestamp" in p and "LessThan(timestamp" in p for p in pushed), pushed
+
+
 def test_page_limits(logs):
     for page, limit in ((0, 10), (1, 0), (1, 501)):
         with pytest.raises(ValueError):

@@ -98,6 +98,30 @@ def test_life_cycle(spark, table):
         inc.update_status(table, change(spark, table, "b", "closed", "2024-01-04 00:00:00")).collect()
 
 
+def test_several_changes_of_one_incident_are_folded(spark, table):
+    def after(*steps):
+        changes = [change(spark, table, "b", status, at) for status, at in steps]
+        all_changes = changes[0]
+        for more in changes[1:]:
+            all_changes = all_changes.unionByName(more)
+        updated = inc.update_status(table, all_changes)
+        assert updated.count() == table.count()
+        row = updated.where("service = 'b'").first()
+        return row.status, str(row.ended_at) if row.ended_at else None
+
+    second, third, fourth = (f"2024-01-0{d} 00:00:00" for d in (2, 3, 4))
+    assert after(("resolved", third), ("acknowledged", second)) == ("resolved", third)
+    assert after(("resolved", second), ("open", third)) == ("open", None)
+    assert after(("resolved", second), ("resolved", third)) == ("resolved", second)
+    assert after(("resolved", second), ("open", third), ("resolved", fourth)) == ("resolved", fourth)
+
+
+def test_halves_of_one_log_equal_two_logs(logs):
+    from weirlog.operators import metrics
+
+    assert rows_of(inc.detect_in_later_half(logs)) == rows_of(inc.detect(metrics.later_half(logs), metrics.earlier_half(logs)))
+
+
 def test_context_of_a_service_without_logs(table, make_logs):
     rows = {r.service: r for r in inc.incident_context(table, make_logs(*service("a", 1, 4))).collect()}
     assert (rows["a"].error_rate_percent, rows["a"].affected_endpoints) == (25.0, ["/x"])

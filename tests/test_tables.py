@@ -87,20 +87,37 @@ def test_repeated_write_of_a_dataset_replaces_it(store, raw):
 def test_rows_of_a_failed_load_are_not_seen(store, raw, monkeypatch):
     cleaned = cleaning.clean(raw)
     rows = store.persist_clean(cleaned, "good", "n", "f.csv")
-    written = store._replace_partitions
+    written = store._replace_dataset
 
-    def fail_to_register(frame, table):
+    def fail_to_register(frame, table, dataset_id):
         if table == "datasets":
             raise OSError("lost")
-        written(frame, table)
+        written(frame, table, dataset_id)
 
-    monkeypatch.setattr(store, "_replace_partitions", fail_to_register)
+    monkeypatch.setattr(store, "_replace_dataset", fail_to_register)
     with pytest.raises(OSError):
         store.persist_clean(cleaned, "bad", "n", "f.csv")
-    assert store.scan("bad").count() == rows
+    assert store.scan("bad").count() == 0
     assert store.scan().count() == rows and store.list_datasets().count() == 1
 
 
+@pytest.mark.parametrize("mode", ["static", "dynamic"])
+def test_replacing_leaves_no_old_months(spark, store, logs, raw, mode):
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    try:
+        one_year = logs.where("year(timestamp) = 1996")
+        store.persist_clean(logs.where("year(timestamp) = 1995"), "other's", "n", "f.csv")
+        store.persist_clean(logs, "d1", "n", "f.csv")
+        assert store.persist_clean(one_year, "d1", "n", "f.csv") == one_year.count()
+        assert store.scan("d1").count() == one_year.count()
+        assert store.scan("other's").count() == logs.where("year(timestamp) = 1995").count()
+        assert store.persist_clean(logs.limit(0), "d1", "n", "f.csv") == 0 == store.scan("d1").count()
+        assert store.land_raw(raw, "r").count() == raw.count()
+        assert store.land_raw(raw.limit(0), "r").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+
+
 def test_dataset_and_month_filters_prune_partitions(store, logs):
     store.persist_clean(logs, "d1", "n", "f.csv")
     few = filters.filter_logs(store.scan("d1"), service="order-service", date_from="1996-03-05", date_to="1996-04-01")
@@ -144,6 +161,11 @@ def test_incident_table(spark, store, logs):
     changes = spark.createDataFrame([(wanted.id, "acknowledged", "2024-01-03 00:00:00")], "id string, status string, changed_at string")
     store.update_incidents(changes)
     assert store.incidents().count() == found.count()
+    both = spark.createDataFrame([(wanted.id, "resolved", "2024-01-03 02:00:00"), (wanted.id, "acknowledged", "2024-01-03 03:00:00")], changes.schema)
+    store.update_incidents(both)
+    assert store.incidents().count() == found.count()
+    with pytest.raises(LookupError):
+        store.update_incidents(spark.createDataFrame([("nobody", "resolved", "2024-01-03 02:00:00")], changes.schema))
     assert store.incidents().where("status = 'acknowledged'").first().id == wanted.id
     again = store.record(found, F.lit("2024-01-04 00:00:00")).first()
     assert (again.incidents_created, again.incidents_already_open) == (1, found.count() - 1)
