@@ -207,3 +207,35 @@ def test_a_hot_group_gives_exact_figures(spark, make_logs):
     assert (row.p50, row.p99, row["max"]) == (7.0, 7.0, 1099.0)
     assert compare.top_bucket(rows).first().p95_latency == 1099
     assert outliers.p99_outliers(rows).count() == 100
+
+
+def test_reports_read_the_log_once(spark, logs, monkeypatch, tmp_path):
+    """Scans of the log in the plans of what is kept on the way and of the result."""
+    from weirlog.operators import incidents
+    from weirlog.plans import contexts
+    from weirlog.sources import shared
+
+    logs.write.parquet(f"{tmp_path}/only-log")
+    table, seen = spark.read.parquet(f"{tmp_path}/only-log"), []
+
+    def scans(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+    def kept(df):
+        seen.append(scans(df))
+        return shared.durable(df)
+
+    for module in (metrics, contexts, incidents):
+        monkeypatch.setattr(module, "durable", kept)
+    reports = {
+        contexts.chat_context: 1,
+        metrics.service_detail: 1,
+        contexts.service_contexts: 1,
+        incidents.detect: 1,
+        incidents.detect_in_later_half: 2,  # the middle of the time range has a pass of its own
+        lambda t: incidents.incident_context(incidents.as_incidents(incidents.detect(t), F.lit("2024-01-01")), t): 2,
+    }
+    for report, passes in reports.items():
+        seen.clear()
+        result = report(table)
+        assert sum(seen) + scans(result) == passes, report

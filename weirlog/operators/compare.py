@@ -60,7 +60,10 @@ def regressions_by_name(performance: DataFrame, *by: str) -> DataFrame:
 def release_pair(performance: DataFrame, old: str | None = None, new: str | None = None) -> DataFrame:
     """One release against another; by default the last two in lexicographic order."""
     if old and new:
-        return regressions(performance, [old, new]).where(F.col("release_version") == new)
+        if old == new:
+            raise ValueError("a release is compared with another one")
+        pair = regressions(performance, [old, new]).where(F.col("release_version") == new)
+        return pair.where(F.col("previous_release_version").isNotNull())
     newest = performance.agg(F.max("release_version")).scalar()
     return regressions_by_name(performance).where(
         (F.col("release_version") == newest) & F.col("previous_release_version").isNotNull()

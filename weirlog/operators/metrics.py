@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import percent_change, percent_of, round_figure, round_table
 from ..functions.status import health_class, is_error, service_health
 from ..schema import DEFAULTS
+from ..sources.shared import durable
 
 LATENCY = "response_time_ms"
 
@@ -226,7 +227,11 @@ def daily(logs: DataFrame) -> DataFrame:
 
 def latency_trend(logs: DataFrame, *keys: str) -> DataFrame:
     """avg, p95, p99 and max per calendar day (and key); days without requests are absent."""
-    return summarize(latency_cells(daily(logs), *keys, "date"), *keys, "date").select(
+    return latency_trend_of_cells(latency_cells(daily(logs), *keys, "date"), *keys)
+
+
+def latency_trend_of_cells(cells: DataFrame, *keys: str) -> DataFrame:
+    return summarize(cells, *keys, "date").select(
         *keys,
         "date",
         round_table(F.col("avg_ms")).alias("avg_latency_ms"),
@@ -248,8 +253,12 @@ def _table_columns(*names: str) -> list[Column]:
 
 
 def endpoint_performance(logs: DataFrame) -> DataFrame:
+    return endpoint_performance_of_cells(latency_cells(logs, "endpoint", "service_name"))
+
+
+def endpoint_performance_of_cells(cells: DataFrame) -> DataFrame:
     keys = ("endpoint", "service_name")
-    return summarize(latency_cells(logs, *keys), *keys).select(
+    return summarize(cells, *keys).select(
         *keys,
         "requests",
         *_table_columns("avg_latency_ms", "p95_latency_ms", "p99_latency_ms", "error_rate_percent"),
@@ -258,8 +267,12 @@ def endpoint_performance(logs: DataFrame) -> DataFrame:
 
 
 def release_performance(logs: DataFrame, *by: str) -> DataFrame:
+    return release_performance_of_cells(latency_cells(logs, *by, "release_version"), *by)
+
+
+def release_performance_of_cells(cells: DataFrame, *by: str) -> DataFrame:
     keys = (*by, "release_version")
-    return summarize(latency_cells(logs, *keys), *keys).select(
+    return summarize(cells, *keys).select(
         *keys,
         "requests",
         *_table_columns("avg_latency_ms", "p95_latency_ms", "p99_latency_ms", "error_rate_percent"),
@@ -267,8 +280,12 @@ def release_performance(logs: DataFrame, *by: str) -> DataFrame:
 
 
 def region_performance(logs: DataFrame, *by: str) -> DataFrame:
+    return region_performance_of_cells(latency_cells(logs, *by, "server_region"), *by)
+
+
+def region_performance_of_cells(cells: DataFrame, *by: str) -> DataFrame:
     keys = (*by, "server_region")
-    return summarize(latency_cells(logs, *keys), *keys).select(
+    return summarize(cells, *keys).select(
         *keys,
         "requests",
         *_table_columns("avg_latency_ms", "p95_latency_ms", "error_rate_percent", "availability_percent"),
@@ -277,7 +294,11 @@ def region_performance(logs: DataFrame, *by: str) -> DataFrame:
 
 def service_summary(logs: DataFrame, *more: Column) -> DataFrame:
     """One graded row per service; the grade uses the rounded error rate."""
-    table = summarize(latency_cells(logs, "service_name"), "service_name")
+    return service_summary_of_cells(latency_cells(logs, "service_name"), *more)
+
+
+def service_summary_of_cells(cells: DataFrame, *more: Column) -> DataFrame:
+    table = summarize(cells, "service_name")
     rounded_error = round_figure(F.col("error_rate"))
     return table.select(
         "service_name",
@@ -291,26 +312,45 @@ def service_summary(logs: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def counts_of_sets(logs: DataFrame, sets: dict[str, Sequence[str]]) -> DataFrame:
+    """Request counts of several groupings in one scan, kept: column ``counted`` names the grouping of a row."""
+    columns = list(dict.fromkeys(c for keys in sets.values() for c in keys))
+    found = logs.groupingSets([list(keys) for keys in sets.values()], *columns)
+    absent = {name: [c for c in columns if c not in keys] for name, keys in sets.items()}
+    which = F.coalesce(
+        *[
+            F.when(F.grouping_id(*columns) == sum(1 << (len(columns) - 1 - columns.index(c)) for c in absent[name]), F.lit(name))
+            for name in sets
+        ]
+    )
+    return durable(found.agg(*_counts(), which.alias("counted")))
+
+
+def service_endpoints(logs: DataFrame) -> DataFrame:
+    """Endpoints of each service as rows, for services with more of them than a list should hold."""
+    return logs.select("service_name", "endpoint").distinct()
+
+
 def service_detail(logs: DataFrame) -> DataFrame:
-    """Summary, p99, sorted name lists and daily trend of every service.
+    """Summary, p99, sorted name lists and daily trend of every service, from one scan.
 
     The lists are collected from distinct names and days, not from rows.
     """
-    summary = service_summary(logs, round_figure(F.col("p99_ms")).alias("p99_latency_ms"))
     names = ("endpoint", "release_version", "server_region")
-    lists = (
-        logs.groupingSets([["service_name", n] for n in names], "service_name", *names)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("service_name")
-        .agg(
-            F.sort_array(F.collect_list("endpoint")).alias("endpoints"),
-            F.sort_array(F.collect_list("release_version")).alias("releases"),
-            F.sort_array(F.collect_list("server_region")).alias("regions"),
-        )
+    sets = {"date": ("service_name", "date", LATENCY), **{n: ("service_name", n) for n in names}}
+    counts = counts_of_sets(daily(logs), sets)
+    cells = counts.where("counted = 'date'")
+    summary = service_summary_of_cells(cells, round_figure(F.col("p99_ms")).alias("p99_latency_ms"))
+
+    def listed(name: str, alias: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("counted") == name, F.col(name)))).alias(alias)
+
+    lists = counts.where("counted <> 'date'").groupBy("service_name").agg(
+        listed("endpoint", "endpoints"), listed("release_version", "releases"), listed("server_region", "regions")
     )
     point = F.struct("date", "avg_latency_ms", "p95_latency_ms", "p99_latency_ms", "max_latency_ms")
     trends = (
-        latency_trend(logs, "service_name")
+        latency_trend_of_cells(cells, "service_name")
         .groupBy("service_name")
         .agg(F.sort_array(F.collect_list(point)).alias("latency_trend"))
     )

@@ -633,6 +633,7 @@ def statements() -> dict[str, str]:
                         SELECT service_name, CAST(timestamp AS DATE) AS date, {TREND} FROM logs GROUP BY ALL)
                       GROUP BY service_name) t USING (service_name)""",
         ),
+        "agg_service_endpoints": over("logs", "SELECT DISTINCT service_name, endpoint FROM logs"),
         "agg_service_breakdown": over("logs", service_tables),
         "agg_endpoint_detail": over(
             "logs",

@@ -14,13 +14,16 @@ from ..operators.explore import slowest_endpoints
 from ..operators.filters import filter_logs
 from ..operators.metrics import (
     KPI_COLUMNS,
-    endpoint_performance,
+    LATENCY,
+    counts_of_sets,
+    endpoint_performance_of_cells,
     kpis,
     kpis_of_cells,
     latency_cells,
-    region_performance,
-    release_performance,
+    region_performance_of_cells,
+    release_performance_of_cells,
 )
+from ..sources.shared import durable
 
 ALL_SERVICES = "all services"
 ALL_RELEASES = "all releases"
@@ -121,9 +124,11 @@ def incident_contexts(incidents: DataFrame, logs: DataFrame) -> DataFrame:
 
 
 def service_contexts(logs: DataFrame) -> DataFrame:
-    """Document of each service: KPIs, release table, release-over-release check."""
-    figures = kpis(logs, "service_name").select("service_name", F.struct(*KPI_COLUMNS).alias("current_metrics"))
-    by_release = release_performance(logs, "service_name")
+    """Document of each service: KPIs, release table, release-over-release check; one pass over the log."""
+    cells = durable(latency_cells(logs, "service_name", "release_version"))
+    figures = kpis_of_cells(cells, "service_name")
+    figures = figures.select("service_name", F.struct(*KPI_COLUMNS).alias("current_metrics"))
+    by_release = durable(release_performance_of_cells(cells, "service_name"))
     releases = by_release.groupBy("service_name").agg(
         F.array_sort(F.collect_list(F.struct(*_RELEASE))).alias("release_performance")
     )
@@ -159,14 +164,18 @@ def _listed(table: DataFrame, fields: tuple[str, ...], order: Column | None = No
 
 
 def chat_context(logs: DataFrame) -> DataFrame:
-    """One document with overall KPIs, services, slowest endpoints, releases and regions."""
+    """One document with overall KPIs, services, slowest endpoints, releases and regions, from one pass over the log."""
     worst = F.struct((-F.col("p95_latency_ms")).alias("p95"), F.col("endpoint"), F.col("service_name"))
+    sets = {"endpoint": ("endpoint", "service_name"), "release": ("release_version",), "region": ("server_region",)}
+    counts = counts_of_sets(logs, {name: (*keys, LATENCY) for name, keys in sets.items()})
+    cells = {name: counts.where(F.col("counted") == name) for name in sets}
+    slowest = slowest_endpoints(endpoint_performance_of_cells(cells["endpoint"]), 10)
     return logs.sparkSession.range(1).select(
         to_document(
-            kpis(logs).select(F.struct(*KPI_COLUMNS)).scalar().alias("overview"),
-            _listed(kpis(logs, "service_name"), ("service_name", *KPI_COLUMNS)).alias("services"),
-            _listed(slowest_endpoints(endpoint_performance(logs), 10), _ENDPOINT, worst).alias("slowest_endpoints"),
-            _listed(release_performance(logs), _RELEASE).alias("releases"),
-            _listed(region_performance(logs), _REGION).alias("regions"),
+            kpis_of_cells(cells["endpoint"]).select(F.struct(*KPI_COLUMNS)).scalar().alias("overview"),
+            _listed(kpis_of_cells(cells["endpoint"], "service_name"), ("service_name", *KPI_COLUMNS)).alias("services"),
+            _listed(slowest, _ENDPOINT, worst).alias("slowest_endpoints"),
+            _listed(release_performance_of_cells(cells["release"]), _RELEASE).alias("releases"),
+            _listed(region_performance_of_cells(cells["region"]), _REGION).alias("regions"),
         ).alias("context")
     )

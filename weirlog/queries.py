@@ -318,6 +318,7 @@ AGGREGATES = _over(
         "agg_region_perf": metrics.region_performance,
         "agg_service_summary": lambda logs: metrics.service_summary(logs).orderBy("service_name"),
         "agg_service_detail": _service_detail,
+        "agg_service_endpoints": metrics.service_endpoints,
         "agg_service_breakdown": metrics.service_breakdown,
         "agg_endpoint_detail": metrics.endpoint_detail,
         "agg_endpoint_service_detail": lambda logs: metrics.endpoint_detail(logs, by_service=True),
