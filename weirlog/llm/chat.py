@@ -45,7 +45,7 @@ _MARKER = re.compile(
 _END = re.compile(r"\s*<\|(?:im_end|end)\|>\s*$")
 
 #: Log probabilities of (no marker, the role's own, another's) at the beginning of a turn and inside one.
-_AT_BEGIN, _INSIDE = np.log([0.5, 0.45, 0.025]), np.log([0.97, 0.01, 0.01])
+_AT_BEGIN, _INSIDE = np.log([0.5, 0.49, 0.005]), np.log([0.99, 0.005, 0.005])
 #: Buckets of a line's length (by doubling), of a row's lines, and of the question mark.
 _LENGTHS, _LINES, _QUESTIONS = 14, 5, 2
 _NEVER = -1e18
