@@ -88,15 +88,14 @@ def prefix_size(n: int, numerator: int, denominator: int) -> int:
 
 
 def _prefix(tokens: np.ndarray, ranks: np.ndarray, order: int, share: tuple[int, int]) -> np.ndarray:
+    """The first tokens of a set under an order: by commonness, then by the order's hash, then by the token itself."""
     size = prefix_size(len(tokens), *share) if len(tokens) else 0
-    if size >= len(tokens):
-        return tokens
     rank = ranks[tokens >> np.uint64(64 - COUNTER_BITS)].astype(np.uint64) << np.uint64(48)
     key = rank | (_ordered(tokens, order) >> np.uint64(16))
-    # Ties of the key are broken by the token, or two sets could keep different tokens of one key.
-    edge = np.partition(key, size - 1)[size - 1]
-    kept = tokens[key < edge]
-    return np.concatenate([kept, tokens[key == edge][: size - len(kept)]])
+    if size < len(tokens):
+        near = np.flatnonzero(key <= np.partition(key, size - 1)[size - 1])
+        tokens, key = tokens[near], key[near]
+    return tokens[np.lexsort((tokens, key))][:size]
 
 
 def _longs(arrays: list[np.ndarray]) -> pa.Array:
@@ -223,37 +222,30 @@ def _leader_pairs(nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
 
 
 def _cross_pairs(nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs of nodes of different components whose prefixes under the first order share enough tokens.
+    """Pairs of nodes of different components that share a token early enough under the first order.
 
     Of a token's rows, those outside its largest component are joined with all: every
     pair across components has such an end, and the largest one, often a group of near
     copies, makes no pairs with itself.
 
-    If x and y share o tokens in all, the c-th of these in the order has at most
-    c + |x| - o - 1 tokens of x before it, so at least prefix(x) - (|x| - o) of them lie in
-    the prefix of x, and likewise of y; o is at least share / (1 + share) * (|x| + |y|).
+    Linked sets x and y share at least o = share / (1 + share) * (|x| + |y|) tokens, so
+    they share one of the first |x| - o + 1 of x that is one of the first |y| - o + 1 of y: a prefix
+    cut to the pair, about half as long as the longest that a set may need.
     """
-    rows = nodes.select("node", "n", "component", "members", F.explode("prefix").alias("token"))
+    rows = nodes.select("node", "n", "component", "members", F.posexplode("prefix").alias("at", "token"))
     reach = rows.groupBy("token").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", "members").alias("main")
     )
     reach = reach.where("low < high").select("token", "main")
-    rows = stored(rows.join(reach, "token").select("token", "node", "n", "component", "main"), "prefix-rows")
-    outer = rows.where("component <> main").select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "component")))
+    columns = ["node", "n", "component", "at"]
+    rows = stored(rows.join(reach, "token").select("token", *columns, "main"), "prefix-rows")
+    outer = rows.where("component <> main").select("token", *(F.col(c).alias(f"o_{c}") for c in columns))
     once = (F.col("component") == F.col("main")) | (F.col("o_node") < F.col("node"))
-    met = rows.join(outer, "token").where(once & (F.col("component") != F.col("o_component")) & _fits("n", "o_n", share))
-    pairs = met.groupBy("node", "n", "o_node", "o_n").agg(F.count(F.lit(1)).alias("shared"))
-    numerator, denominator = share
-    whole = numerator + denominator
+    numerator, whole = share[0], sum(share)
     least = F.floor(((F.col("n") + F.col("o_n")) * numerator + whole - 1) / whole)
-    slack = F.least(*(_prefix_size(n, share) - F.col(n) + least for n in ("n", "o_n")))
-    pairs = pairs.where(F.col("shared") >= slack)
-    return pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
-
-
-def _prefix_size(n: str, share: tuple[int, int]) -> Column:
-    """``prefix_size`` of a column."""
-    return F.col(n) - F.floor((F.col(n) * share[0] + share[1] - 1) / share[1]) + 1
+    early = (F.col("at") <= F.col("n") - least) & (F.col("o_at") <= F.col("o_n") - least)
+    met = rows.join(outer, "token").where(once & (F.col("component") != F.col("o_component")) & early)
+    return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
 
 def _with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -293,8 +285,7 @@ def similar_groups(
 
     first_links = _verified(_leader_pairs(nodes, share), docs, ranks, width, share)
     joined = _with_components(nodes, first_links)
-    cross_links = _verified(_cross_pairs(joined, share), docs, ranks, width, share)
-    links = first_links.unionByName(cross_links)
+    links = first_links.unionByName(_verified(_cross_pairs(joined, share), docs, ranks, width, share))
 
     found = size_checked(components(links))
     named = sets.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
