@@ -5,6 +5,7 @@ import random
 
 import public_tokenizers
 from fixtures import awkward, make, plain, words
+from pyspark.sql import functions as F
 from test_dedup import groups_by_hand, near_copies
 from test_mixing import targets_by_hand
 
@@ -68,7 +69,7 @@ def test_pipeline_equals_plain_decisions(spark, tmp_path):
 
 
 def test_stages_keep_the_columns(spark, tmp_path):
-    docs = awkward(spark).withColumn("size", awkward(spark)["doc_id"])
+    docs = awkward(spark).withColumn("size", F.col("doc_id"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
