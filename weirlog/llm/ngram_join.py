@@ -187,21 +187,53 @@ def _similar(a: Column, b: Column, share: tuple[int, int]) -> Column:
     return common * share[1] >= (F.size(a) + F.size(b) - common) * share[0]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, ranks, width: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that pass the further orders' filters and then are similar on their whole sets."""
+def _prefix_size(n: str, share: tuple[int, int]) -> Column:
+    """``prefix_size`` of a column."""
+    return F.col(n) - F.floor((F.col(n) * share[0] + share[1] - 1) / share[1]) + 1
+
+
+def _least_common(n: str, other: str, share: tuple[int, int]) -> Column:
+    """Tokens that linked sets of these sizes share at least."""
+    numerator, whole = share[0], sum(share)
+    return F.floor(((F.col(n) + F.col(other)) * numerator + whole - 1) / whole)
+
+
+def _beside(pairs: DataFrame, table: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) with the columns of both ends."""
+    for end in ("a", "b"):
+        side = table.select(F.col(key).alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns))
+        pairs = pairs.join(side, end)
+    return pairs
+
+
+def _ends(pairs: DataFrame, key: str) -> DataFrame:
+    return size_checked(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct())
+
+
+def _sharing_prefixes(pairs: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs whose prefixes under the first order share enough tokens.
+
+    If x and y share o tokens in all, the c-th of these in the order has at most
+    c + |x| - o - 1 tokens of x before it, so at least prefix(x) - (|x| - o) of them lie in
+    the prefix of x, and likewise of y.
+    """
     pairs = stored(pairs, "pairs")
-    ids = size_checked(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = stored(_sets(docs.join(ids, "doc_id", "left_semi"), ranks, width, share), "sets")
+    ends = stored(nodes.join(_ends(pairs, "node"), "node", "left_semi").select("node", "n", "prefix"), "prefixes")
+    both = _beside(pairs, ends, "node", ["n", "prefix"])
+    least = _least_common("a_n", "b_n", share)
+    slack = F.least(*(_prefix_size(n, share) - F.col(n) + least for n in ("a_n", "b_n")))
+    return both.where(F.size(F.array_intersect("a_prefix", "b_prefix")) >= slack).select("a", "b").distinct()
 
-    def beside(pairs: DataFrame, end: str, columns: list[str]) -> DataFrame:
-        side = sets.select(F.col("doc_id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns))
-        return pairs.join(side, end)
 
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, ranks, width: int, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that pass the filters of all orders and then are similar on their whole sets."""
+    pairs = stored(_sharing_prefixes(pairs, nodes, share), "pairs")
+    sets = stored(_sets(docs.join(_ends(pairs, "doc_id"), "doc_id", "left_semi"), ranks, width, share), "sets")
     orders = [f"prefix_{k}" for k in range(1, FURTHER_ORDERS + 1)]
-    filtered = beside(beside(pairs, "a", orders), "b", orders)
+    filtered = _beside(pairs, sets, "doc_id", orders)
     for order in orders:
         filtered = filtered.where(F.arrays_overlap(f"a_{order}", f"b_{order}"))
-    whole = beside(beside(filtered.select("a", "b"), "a", ["tokens"]), "b", ["tokens"])
+    whole = _beside(filtered.select("a", "b"), sets, "doc_id", ["tokens"])
     return stored(whole.where(_similar(F.col("a_tokens"), F.col("b_tokens"), share)).select("a", "b"), "links")
 
 
@@ -241,8 +273,7 @@ def _cross_pairs(nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
     rows = stored(rows.join(reach, "token").select("token", *columns, "main"), "prefix-rows")
     outer = rows.where("component <> main").select("token", *(F.col(c).alias(f"o_{c}") for c in columns))
     once = (F.col("component") == F.col("main")) | (F.col("o_node") < F.col("node"))
-    numerator, whole = share[0], sum(share)
-    least = F.floor(((F.col("n") + F.col("o_n")) * numerator + whole - 1) / whole)
+    least = _least_common("n", "o_n", share)
     early = (F.col("at") <= F.col("n") - least) & (F.col("o_at") <= F.col("o_n") - least)
     met = rows.join(outer, "token").where(once & (F.col("component") != F.col("o_component")) & early)
     return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
@@ -283,9 +314,9 @@ def similar_groups(
     copies = size_checked(same.select(F.col("doc_id").alias("node"), "set_hash").distinct())
     nodes = firsts.join(copies, ["node", "set_hash"], "left_anti").drop("set_hash")
 
-    first_links = _verified(_leader_pairs(nodes, share), docs, ranks, width, share)
+    first_links = _verified(_leader_pairs(nodes, share), nodes, docs, ranks, width, share)
     joined = _with_components(nodes, first_links)
-    links = first_links.unionByName(_verified(_cross_pairs(joined, share), docs, ranks, width, share))
+    links = first_links.unionByName(_verified(_cross_pairs(joined, share), nodes, docs, ranks, width, share))
 
     found = size_checked(components(links))
     named = sets.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
