@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Checkpoint files go when nothing uses them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
