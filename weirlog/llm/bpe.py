@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words that a worker keeps; beyond it starts anew.
-CACHED = 1_200_000
+CACHED = 700_000
 #: Token rows that one recursion may make, and the steps that it may take.
 ROWS, STEPS = 4_000_000, 16
 #: Bytes of words that enter a recursion together, and texts and bytes that are put together by one query.
-WORD_BYTES, TEXTS, TEXT_BYTES = 1 << 19, 1_000, 4 << 20
+WORD_BYTES, TEXTS, TEXT_BYTES = 1 << 19, 500, 2 << 20
 
 #: White space as Unicode has it, which is what the splitting pattern means by it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -145,7 +145,7 @@ class Codec:
         merges = [(ranks[a], ranks[b], rank) for a, b, rank in splits if a in ranks and b in ranks]
         # A new token can form a pair of lower rank than its own: its pairs are contracted one at a time.
         alone = {part for l, r, merged in merges for part in (l, r) if part > merged}
-        self.database = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.database = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self._load("vocabulary", token=list(ranks.values()), hex=[t.hex() for t in ranks])
         left, right, merged = (list(c) for c in zip(*merges)) if merges else ([], [], [])
         self._load("merges", l=left, r=right, merged=merged, alone=[m in alone for m in merged])

@@ -237,4 +237,4 @@ def drop_unidentified(docs: DataFrame, model: Model) -> DataFrame:
 
 
 #: Texts that are walked together.
-_TEXTS = 1_000
+_TEXTS = 300

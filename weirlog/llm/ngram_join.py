@@ -38,8 +38,10 @@ COUNTER_BITS = 18
 FURTHER_ORDERS = 2
 #: Leaders are found by common minima under hashes: so many bands, each of so many hashes.
 BANDS, BAND_HASHES = 2, 3
+#: Texts whose sets a worker holds at once.
+TEXTS = 500
 #: Words whose hashes a worker keeps.
-CACHED = 500_000
+CACHED = 200_000
 #: The multipliers of the splitmix64 finalizer, and the odd numbers that tell places and orders apart.
 _FINALIZER = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -104,6 +106,12 @@ def _longs(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(start, TEXTS)
+
+
 def _bytes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
 
@@ -149,7 +157,7 @@ def _signatures(docs: DataFrame, ranks, width: int, share: tuple[int, int]) -> D
     """doc_id, n (set size), set_hash (128 bits), bands, and the prefix under the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [tokens_of(text.as_py() or b"", width) for text in batch.column(1)]
             columns = [
                 pa.array([len(s) for s in sets], pa.int64()),
@@ -171,7 +179,7 @@ def _sets(docs: DataFrame, ranks, width: int, share: tuple[int, int]) -> DataFra
     """doc_id, the whole set, and its prefix under each further order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [tokens_of(text.as_py() or b"", width) for text in batch.column(1)]
             further = [_longs([_prefix(s, ranks.value, k, share) for s in sets]) for k in range(1, FURTHER_ORDERS + 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), _longs(sets), *further], names=names)
