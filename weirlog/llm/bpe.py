@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import claim_worker, register_cache
+
 #: Words that a worker keeps; beyond it starts anew.
-CACHED = 700_000
+CACHED = 500_000
 #: Token rows that one recursion may make, and the steps that it may take.
 ROWS, STEPS = 4_000_000, 16
 #: Bytes of words that enter a recursion together, and texts and bytes that are put together by one query.
@@ -270,6 +272,9 @@ class Codec:
         return result
 
 
+register_cache("bpe", Codec._of.clear)
+
+
 def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts that are encoded together."""
     start = size = 0
@@ -283,6 +288,7 @@ def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[tuple[pa.Array, list]]:
+    claim_worker("bpe")
     codec = Codec.of(path, pattern)
     for batch in batches:
         texts = [text or "" for text in batch.column(1).to_pylist()]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +35,19 @@ def text_or_empty(name: str = "text") -> Column:
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("bigint")
+
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def register_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Name what a module keeps in a worker process between tasks."""
+    _caches[owner] = clear
+
+
+def claim_worker(owner: str) -> None:
+    """Drop what other modules keep in this worker: one worker runs the tasks of many stages, one after the other."""
+    for name, clear in _caches.items():
+        if name != owner:
+            clear()
+    gc.collect()

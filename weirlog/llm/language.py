@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import claim_worker, stored
 
 #: Bounds of the labelled sample: documents a language, characters of one, and characters of a language in all.
 SAMPLE_DOCS, DOC_CHARS, SAMPLE_CHARS = 64, 2_048, 16_384
@@ -207,6 +207,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("language")
         for batch in batches:
             for start in range(0, batch.num_rows, _TEXTS):
                 part = batch.slice(start, _TEXTS)
@@ -227,6 +228,7 @@ def drop_unidentified(docs: DataFrame, model: Model) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("language")
         for batch in batches:
             for start in range(0, batch.num_rows, _TEXTS):
                 part = batch.slice(start, _TEXTS)

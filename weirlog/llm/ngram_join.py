@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.joins import size_checked
-from .common import stored
+from .common import claim_worker, register_cache, stored
 from .components import components
 
 #: Words of a shingle, and the similarity of a link as a fraction.
@@ -68,6 +68,7 @@ class _WordHashes(dict):
 
 
 _words = _WordHashes()
+register_cache("ngram_join", _words.clear)
 
 
 def tokens_of(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -107,6 +108,7 @@ def _longs(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim_worker("ngram_join")
     for batch in batches:
         for start in range(0, batch.num_rows, TEXTS):
             yield batch.slice(start, TEXTS)
@@ -122,7 +124,7 @@ def token_ranks(docs: DataFrame, width: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, waiting, size = np.zeros(n, np.int64), [], 0
-        for batch in batches:
+        for batch in _parts(batches):
             for text in batch.column(1):
                 waiting.append(tokens_of(text.as_py() or b"", width) >> np.uint64(64 - COUNTER_BITS))
                 size += len(waiting[-1])

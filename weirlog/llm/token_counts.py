@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import claim_worker, register_cache
+
 #: Entries of the broadcast table.
 FREQUENT = 32_768
 #: Most frequent words that one task reports.
@@ -80,6 +82,9 @@ class Lengths:
         return [n + sum(map(known.__getitem__, p)) for n, p in zip(result, pieces)]
 
 
+register_cache("token_counts", Lengths._by_path.clear)
+
+
 def frequent_words(docs: DataFrame, reported: int = REPORTED, frequent: int = FREQUENT) -> list[str]:
     """The words that all documents use most, as far as each task's most frequent words tell.
 
@@ -120,6 +125,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(dict(zip(plain, lengths.encoded(plain))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("token_counts")
         lengths, frequent = Lengths.of(path), table.value
         for batch in batches:
             for start in range(0, batch.num_rows, _TEXTS):
