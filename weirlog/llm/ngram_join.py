@@ -335,8 +335,10 @@ def similar_groups(
     return result.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
+def one_per_group(
+    docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR
+) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id; all columns stay."""
-    groups = similar_groups(docs).where("doc_id <> component_id")
+    groups = similar_groups(docs, width, numerator, denominator).where("doc_id <> component_id")
     dropped = size_checked(groups.select("doc_id").distinct())
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
