@@ -1,4 +1,4 @@
-"""Secret scans: fixed patterns, and windows of high entropy in candidate strings."""
+"""Secret scans: fixed patterns, and windows of high entropy for their class of characters in candidate strings."""
 
 from __future__ import annotations
 
@@ -27,21 +27,40 @@ _HEX = re.compile(rf"[0-9a-f]{{{_HEX_LEAST},}}")
 #: Characters in a window.
 WINDOW = 20
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
-#: Character classes from narrow to wide, each with the bits per character from which a window is suspect. A candidate
-#: belongs to the first class that holds all of it; digits alone are numbers, never secrets.
+#: Kinds of characters, one bit each; a window's class follows from the kinds that it holds.
+_DIGIT, _LOW_HEX, _LOW, _UP_HEX, _UP, _MARK = (1 << n for n in range(6))
+_KIND_OF = {
+    char: kind
+    for kind, chars in zip(
+        (_DIGIT, _LOW_HEX, _LOW, _UP_HEX, _UP, _MARK),
+        ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_-"),
+    )
+    for char in chars
+}
+#: Character classes from narrow to wide, each with the bits per character from which a window is suspect. A window
+#: belongs to the first class that holds all of it; digits alone are numbers, never secrets. base36 holds base32 too.
 CLASSES = (
-    ("digits", re.compile(r"[0-9]+"), None),
-    ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 3.0),
-    ("letters", re.compile(r"[a-z]+|[A-Z]?[a-z]+|[A-Z]+"), 4.2),
-    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.9),
+    ("digits", (_DIGIT,), None),
+    ("hex", (_DIGIT | _LOW_HEX, _DIGIT | _UP_HEX), 3.0),
+    ("letters", (_LOW_HEX | _LOW, _UP_HEX | _UP), 3.4),
+    ("base36", (_DIGIT | _LOW_HEX | _LOW, _DIGIT | _UP_HEX | _UP), 3.4),
+    ("mixed", (63 ^ _DIGIT,), 3.9),  # names in camel case and paths are of this class
+    ("base64", (63,), 3.75),
 )
-#: Candidates that are known not to be secrets.
-ALLOWED = (
-    re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"),  # uuid
-    re.compile(r"[A-Za-z]+([_/=-]+[A-Za-z]+)+"),  # words joined by marks
-    re.compile(r"(?i)[a-z0-9+/_=-]*(example|sample|dummy|placeholder)[a-z0-9+/_=-]*"),
-    re.compile(r"(.{1,4}?)\1{4,}.{0,3}", re.DOTALL),  # a repeated pattern
+#: For each set of kinds the bits of its class.
+_BITS = [next(bits for _, held, bits in CLASSES if any(kinds | h == h for h in held)) for kinds in range(64)]
+#: Parts of candidates that are known not to be secrets; what stands before and behind them is looked at by itself.
+ALLOWED_PARTS = re.compile(
+    r"""(?<![0-9a-f])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-f])  # uuid
+    | wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY  # the key that manuals show
+    | [A-Za-z0-9]*(?i:example|sample|dummy|placeholder)[A-Za-z0-9]*
+    | =""",
+    re.VERBOSE,
 )
+#: Words joined by marks: only words as long as a window are looked at.
+_WORDS = re.compile(r"[A-Za-z]+([_/-]+[A-Za-z]+)+")
+_LONG_WORD = re.compile(rf"[A-Za-z]{{{WINDOW},}}")
+_REPEATED = re.compile(r"(.{1,4}?)\1{4,}.{0,3}", re.DOTALL)
 
 
 def base_spans(text: str) -> Iterator[tuple[int, int, str]]:
@@ -74,24 +93,51 @@ def window_entropies(candidate: str, window: int = WINDOW) -> Iterator[float]:
             yield log2(window) - total / window
 
 
+def window_bits(candidate: str, window: int = WINDOW) -> Iterator[float | None]:
+    """The least suspect entropy of each window, by its class: kinds are counted as characters enter and leave."""
+    counts, held = dict.fromkeys(_KIND_OF.values(), 0), 0
+    for i, char in enumerate(candidate):
+        kind = _KIND_OF[char]
+        counts[kind] += 1
+        held |= kind
+        if i >= window:
+            gone = _KIND_OF[candidate[i - window]]
+            counts[gone] -= 1
+            if not counts[gone]:
+                held &= ~gone
+        if i >= window - 1:
+            yield _BITS[held]
+
+
+def _stretches(candidate: str, window: int) -> Iterator[tuple[int, str]]:
+    """(start, text) of what is left of a candidate to look at, cut at '=' and at allowed parts."""
+    at = 0
+    for start, end in [*(m.span() for m in ALLOWED_PARTS.finditer(candidate)), (len(candidate), len(candidate))]:
+        part = candidate[at:start]
+        if len(part) >= window and not _REPEATED.fullmatch(part):
+            if _WORDS.fullmatch(part):
+                yield from ((at + m.start(), m.group()) for m in _LONG_WORD.finditer(part))
+            else:
+                yield at, part
+        at = end
+
+
 def entropy_spans(text: str, window: int = WINDOW) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of the stretches of candidate strings whose windows are all suspect."""
     if max(map(len, text.split()), default=0) < window:
         return
     for m in _CANDIDATE.finditer(text):
-        candidate = m.group()
-        bits = next(bits for _, chars, bits in CLASSES if chars.fullmatch(candidate))
-        if bits is None or any(a.fullmatch(candidate) for a in ALLOWED):
-            continue
-        begin = None
-        for i, entropy in enumerate(window_entropies(candidate, window)):
-            if entropy >= bits - 1e-9:
-                begin, last = (i if begin is None else begin), i
-            elif begin is not None and i > last + window:
-                yield m.start() + begin, m.start() + last + window, "entropy"
-                begin = None
-        if begin is not None:
-            yield m.start() + begin, m.start() + last + window, "entropy"
+        for offset, stretch in _stretches(m.group(), window):
+            offset += m.start()
+            begin = None
+            for i, (entropy, bits) in enumerate(zip(window_entropies(stretch, window), window_bits(stretch, window))):
+                if bits is not None and entropy >= bits - 1e-9:
+                    begin, last = (i if begin is None else begin), i
+                elif begin is not None and i > last + window:
+                    yield offset + begin, offset + last + window, "entropy"
+                    begin = None
+            if begin is not None:
+                yield offset + begin, offset + last + window, "entropy"
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
