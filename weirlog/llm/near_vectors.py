@@ -2,7 +2,8 @@
 
 Equal vectors are first collapsed to one row with a count. Centres are fitted on a
 bounded sample; every vector then goes to its nearest few cells, so that a pair
-near a border still meets. A cell is cut into blocks, and each pair of blocks is a group of its
+near a border still meets. How many, pairs at the least cosine made from the sample tell: the
+more cells there are, the more are needed. A cell is cut into blocks, and each pair of blocks is a group of its
 own, so that no task holds a whole cell. A group returns counts of links and a spanning
 star per local component, never its pairs.
 """
@@ -25,8 +26,8 @@ from .components import components
 LEAST = 0.9
 #: Vectors that the centres are fitted on, rounds of fitting, and most centres.
 SAMPLE, ROUNDS, MOST_CELLS = 32_768, 8, 8_192
-#: Nearest cells that a vector goes to. Measured recall is in the README.
-PROBES = 4
+#: Nearest cells that a vector goes to at least; more, until so many of the border pairs made for measuring meet in a cell.
+PROBES, RECALL, PAIRS = 4, 0.97, 2_000
 #: Vectors of a block, and rows multiplied at once.
 BLOCK, STRIP = 4_096, 256
 
@@ -56,6 +57,33 @@ def fit_centres(sample: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
+def probes_for(vectors: np.ndarray, centres: np.ndarray) -> int:
+    """How many nearest cells make ``RECALL`` of the pairs at cosine ``LEAST`` meet.
+
+    The pairs are the last ``PAIRS`` unit vectors and vectors turned from them, once towards
+    random directions and once towards other vectors; the harder kind decides.
+    """
+    if len(centres) <= PROBES or vectors.shape[1] < 2:
+        return PROBES
+    rng, x, most = np.random.default_rng(1), vectors[-PAIRS:], PROBES
+    for towards in (rng.normal(size=x.shape), vectors[rng.integers(0, len(vectors), len(x))]):
+        across = towards - (towards * x).sum(axis=1, keepdims=True) * x
+        norms = np.linalg.norm(across, axis=1)
+        ok = norms > 1e-6
+        y = LEAST * x[ok] + (1 - LEAST**2) ** 0.5 * across[ok] / norms[ok, None]
+        needed = [_met_at(a @ centres.T, b @ centres.T) for a, b in zip(_strips(x[ok]), _strips(y))]
+        if needed:
+            needed = np.sort(np.concatenate(needed))
+            most = max(most, int(needed[int(np.ceil(RECALL * len(needed))) - 1]))
+    return most
+
+
+def _met_at(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of cosines with all centres, the number of nearest cells from which the two have one in common."""
+    ranks = [np.argsort(np.argsort(-side, axis=1), axis=1) for side in (a, b)]
+    return np.maximum(*ranks).min(axis=1) + 1
+
+
 def _strips(rows: np.ndarray) -> Iterator[np.ndarray]:
     for start in range(0, len(rows), STRIP):
         yield rows[start : start + STRIP]
@@ -65,19 +93,25 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
 
 
-def _fitted(nodes: DataFrame) -> tuple[int, np.ndarray]:
-    """The dimension of most vectors, and centres for it; the sample is of the smallest hashes."""
+def _fitted(nodes: DataFrame) -> tuple[int, np.ndarray, int]:
+    """The dimension of most vectors, centres for it, and probes; the sample is of the smallest hashes.
+
+    Probes are measured on vectors that the centres are not fitted on, if there are enough.
+    """
     dims = nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if dims is None:
-        return 0, np.zeros((0, 0))
+        return 0, np.zeros((0, 0)), PROBES
     k = int(min(MOST_CELLS, max(1, 2 * dims["count"] ** 0.5)))
     rows = nodes.where(F.col("dim") == dims["dim"]).select("vector", F.xxhash64("vector").alias("hash"))
-    sample = rows.orderBy("hash", "vector").limit(max(SAMPLE, 4 * k)).select("vector").toArrow()
+    size = max(SAMPLE, 4 * k)
+    sample = rows.orderBy("hash", "vector").limit(size + PAIRS).select("vector").toArrow()
     vectors = np.concatenate([_matrix(c, dims["dim"]) for c in sample["vector"].chunks if len(c)])
-    return dims["dim"], fit_centres(_units(vectors), min(k, len(vectors)))
+    units = _units(vectors)
+    centres = fit_centres(units[:size], min(k, len(units)))
+    return dims["dim"], centres, probes_for(units, centres)
 
 
-def _assigned(nodes: DataFrame, dim: int, centres) -> DataFrame:
+def _assigned(nodes: DataFrame, dim: int, centres, most_probes: int) -> DataFrame:
     """Adds cells: the numbers of the nearest centres; vectors of another dimension meet in cell -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +121,7 @@ def _assigned(nodes: DataFrame, dim: int, centres) -> DataFrame:
             rows = np.flatnonzero(dims == dim)
             if len(rows):
                 vectors = _units(_matrix(batch.column(3).take(pa.array(rows)), dim))
-                probes = min(PROBES, len(centres.value))
+                probes = min(most_probes, len(centres.value))
                 nearest = [np.argpartition(-(s @ centres.value.T), probes - 1, axis=1)[:, :probes] for s in _strips(vectors)]
                 for row, found in zip(rows, np.sort(np.concatenate(nearest), axis=1).tolist()):
                     cells[row] = found
@@ -139,7 +173,7 @@ def _met_before(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, cell
 
 def _padded(cells: pd.Series) -> np.ndarray:
     """Cell lists as rows of one length; -3 fills up."""
-    result = np.full((len(cells), PROBES), -3, np.int32)
+    result = np.full((len(cells), max(map(len, cells), default=1)), -3, np.int32)
     for row, found in zip(result, cells):
         row[: len(found)] = found
     return result
@@ -177,9 +211,9 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     nodes = rows.where("usable").groupBy("vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = stored(nodes.withColumn("dim", F.size("vector")), "vector-nodes")
 
-    dim, centres = _fitted(nodes)
+    dim, centres, probes = _fitted(nodes)
     sent = vectors.sparkSession.sparkContext.broadcast(centres)
-    assigned = stored(_assigned(nodes, dim, sent), "cells")
+    assigned = stored(_assigned(nodes, dim, sent, probes), "cells")
     placed = assigned.withColumn("cell", F.explode("cells"))
     sizes = size_checked(placed.groupBy("cell", "dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
     placed = placed.join(sizes, ["cell", "dim"])
