@@ -3,9 +3,11 @@
 For each language a suffix automaton holds all substrings of a sample of labelled text. A
 document is parsed against it greedily: each phrase is the longest match from
 where the last one ended. phrases * log2(sample length) / characters estimates the
-cross entropy; the language with the least wins.
+cross entropy; a letter that a sample lacks costs the same and more than any phrase in every
+language, so that a label with next to no text cannot win by its short length. The
+language with the least wins.
 
-The automata are laid out as one table of (state, symbol), and a task walks many pieces
+The automata are laid out in one table, each by state and its own letters, and a task walks many pieces
 of texts through it side by side. A text is parsed whole, in blocks of ``BLOCK`` symbols, at
 whose ends a phrase ends too, for every language alike.
 """
@@ -25,10 +27,8 @@ from .common import claim_worker, stored
 
 #: Bounds of the labelled sample: documents a language, characters of one, and characters of a language in all.
 SAMPLE_DOCS, DOC_CHARS, SAMPLE_CHARS = 64, 2_048, 16_384
-#: Cells of the table (4 bytes each); with many languages or symbols the samples get shorter to keep within it.
-CELLS = 12_000_000
-#: Letters that the table tells apart; rarer ones match nothing.
-LETTERS = 250
+#: Letters that a language's part of the table tells apart; rarer ones of that language match nothing in it.
+LETTERS = 1_000
 #: Symbols that are parsed in one go, and pieces that are walked side by side.
 BLOCK, PIECES = 512, 4_096
 #: What is said of a text without letters.
@@ -82,42 +82,52 @@ class Model:
 
     def __init__(self, samples: dict[str, str]):
         """``samples``: text of each language."""
-        letters = Counter(c for text in samples.values() for c in text.lower() if c.isalpha())
-        self.letters = sorted(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])
-        self.width = _FIRST + len(self.letters)
         self.languages = sorted(samples)
-        chars = CELLS // max(1, 2 * len(samples) * self.width)  # an automaton has at most twice as many states
-        tables, self.roots, self.bits = [], [], []
-        for language in self.languages:
-            symbols = self.symbols(samples[language])[:chars]
-            self.roots.append(sum(map(len, tables)))
+        own = [self._letters(samples[language]) for language in self.languages]
+        self.letters = sorted(set().union(*own))
+        numbers = {letter: number for number, letter in enumerate(self.letters, _FIRST)}
+        tables, self.roots, self.bits, size = [], [], [], 0
+        #: For each language and symbol the column of its part of the table; strange where the language lacks the letter.
+        self.columns = np.full((len(own), _FIRST + len(self.letters)), _STRANGE, np.int32)
+        self.columns[:, _SPACE] = _SPACE
+        for columns, language, letters in zip(self.columns, self.languages, own):
+            columns[[numbers[letter] for letter in letters]] = np.arange(_FIRST, _FIRST + len(letters))
+            symbols = columns[self.symbols(samples[language])]
+            self.roots.append(size)
             self.bits.append(float(np.log2(len(symbols) + 1)))
-            tables.append(self._table(SuffixAutomaton(symbols), self.roots[-1]))
-        self.table = np.concatenate([*tables, np.zeros((0, self.width), np.int32)]).ravel()
+            tables.append(self._table(SuffixAutomaton(symbols), size, _FIRST + len(letters)))
+            size += len(tables[-1])
+        self.missing_bits = max(self.bits, default=0.0) + float(np.log2(_FIRST + len(self.letters)))
+        self.table = np.concatenate([*tables, np.zeros(0, np.int32)])
 
-    def _table(self, automaton: SuffixAutomaton, root: int) -> np.ndarray:
-        """For (state, symbol) four times the next state plus the phrases that the step completes.
+    @staticmethod
+    def _letters(sample: str) -> list[str]:
+        counts = Counter(c for c in sample.lower() if c.isalpha())
+        return sorted(sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS])
+
+    def _table(self, automaton: SuffixAutomaton, root: int, width: int) -> np.ndarray:
+        """For (state, column) four times the next state's first cell plus the phrases that the step completes.
 
         A strange letter ends a phrase and is one; where no match goes on, a phrase ends
         and the symbol begins another.
         """
-        table = np.empty((len(automaton.next), self.width), np.int32)
-        restart = np.full(self.width, 4 * root + 1, np.int32)  # the symbol itself is a phrase
+        table = np.empty((len(automaton.next), width), np.int32)
+        restart = np.full(width, 4 * root + 1, np.int32)  # the symbol itself is a phrase
         for symbol, state in automaton.next[0].items():
-            restart[symbol] = 4 * (root + state)
+            restart[symbol] = 4 * (root + state * width)
         table[:] = restart + 1
         table[0] = restart
         for state, after in enumerate(automaton.next):
             if after:
-                table[state, list(after)] = [4 * (root + s) for s in after.values()]
+                table[state, list(after)] = [4 * (root + s * width) for s in after.values()]
         table[:, _STRANGE] = 4 * root + 2
         table[0, _STRANGE] = 4 * root + 1
-        return table
+        return table.ravel()
 
     def symbols(self, text: str) -> np.ndarray:
         """Lower-cased letters by number; a run of anything else is one blank."""
         if not hasattr(self, "_numbers"):
-            self._numbers = np.array([_STRANGE if chr(c).isalpha() else _SPACE for c in range(0x110000)], np.uint8)
+            self._numbers = np.array([_STRANGE if chr(c).isalpha() else _SPACE for c in range(0x110000)], np.int32)
             for number, letter in enumerate(self.letters, _FIRST):
                 self._numbers[ord(letter)] = number
         found = self._numbers[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
@@ -155,16 +165,23 @@ class Model:
         active = len(length) - np.searchsorted(length[::-1], np.arange(steps), "right")
         for step in range(steps):
             n = active[step]
-            cell = self.table.take(state[:, :n] * np.int32(self.width) + symbols[step, :n])
+            cell = self.table.take(state[:, :n] + self.columns.take(symbols[step, :n], axis=1))
             count[:, :n] += cell & 3
             state[:, :n] = cell >> 2
         return count + (state != roots)
 
+    def missing(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Letters of each text (rows) that each language (columns) lacks."""
+        lacks = (self.columns == _STRANGE).T.astype(np.int64)
+        counts = [np.bincount(text, minlength=len(lacks)) for text in texts]
+        return np.array([n[n > 0] @ lacks[n > 0] for n in counts]).reshape(len(texts), len(self.languages))
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text; the score is 1 - least / second least entropy, 0 where nothing is known."""
         known = [bool(self.languages) and text is not None and any(map(str.isalpha, text)) for text in texts]
-        symbols = [self.symbols(text) if ok else np.zeros(0, np.uint8) for text, ok in zip(texts, known)]
-        entropy = self.phrases(symbols) * np.array(self.bits)[None, :]
+        symbols = [self.symbols(text) if ok else np.zeros(0, np.int32) for text, ok in zip(texts, known)]
+        missing = self.missing(symbols)  # each is a phrase of its own
+        entropy = (self.phrases(symbols) - missing) * np.array(self.bits)[None, :] + missing * self.missing_bits
         result = []
         for ok, row in zip(known, entropy):
             if not ok:
