@@ -64,10 +64,33 @@ def _by_bytes(hashed: DataFrame) -> DataFrame:
     return hashed.join(_classes(hashed), ["hash", "text"]).drop("text")
 
 
+def _sha(docs_text: Column) -> Column:
+    return F.unhex(F.sha2(docs_text.cast("binary"), 256))
+
+
+def _without(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` without the rows of the (doc_id, sha) in ``groups``."""
+    dropped = size_checked(groups.select(F.col("doc_id").alias("dropped_id"), F.col("sha").alias("dropped_sha")).distinct())
+    same = docs["doc_id"].eqNullSafe(dropped["dropped_id"])
+    return docs.join(dropped, same & (_sha(text_or_empty()) == dropped["dropped_sha"]), "left_anti")
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with only the kept document of each group of equal texts; all columns stay."""
-    groups = exact_groups(docs).where(~F.col("kept"))
-    dropped = size_checked(groups.select(F.col("doc_id").alias("dropped_id"), F.unhex("text_sha256").alias("dropped_sha")).distinct())
-    same = docs["doc_id"].eqNullSafe(dropped["dropped_id"])
-    same = same & (F.unhex(F.sha2(text_or_empty().cast("binary"), 256)) == dropped["dropped_sha"])
-    return docs.join(dropped, same, "left_anti")
+    return _without(docs, exact_groups(docs).where(~F.col("kept")).select("doc_id", F.unhex("text_sha256").alias("sha")))
+
+
+def one_per_text(docs: DataFrame) -> DataFrame:
+    """Like ``drop_copies``, but one row a text: of rows that repeat the kept id, or have none, the first by all columns."""
+    groups = exact_groups(docs).select("doc_id", "kept", F.unhex("text_sha256").alias("sha"))
+    groups = stored(groups, "exact-groups")
+    kept = _without(docs, groups.where(~F.col("kept")))
+    repeated = groups.where("kept").groupBy("sha").count().where("count > 1").select(F.col("sha").alias("repeated_sha"))
+    repeated = size_checked(repeated)
+    if repeated.isEmpty():
+        return kept
+    same = _sha(text_or_empty()) == repeated["repeated_sha"]
+    row = F.struct(*docs.columns)
+    several = kept.join(repeated, same, "left_semi").select(_sha(text_or_empty()).alias("sha"), row.alias("row"))
+    firsts = several.groupBy("sha").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return kept.join(repeated, same, "left_anti").unionByName(firsts)
