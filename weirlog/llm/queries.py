@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, chat, exact_dedup, language, licenses, mixing, near_vectors, ngram_join, secrets, token_counts
+from . import (
+    bpe,
+    chat,
+    exact_dedup,
+    filter_audit,
+    language,
+    lexical_search,
+    licenses,
+    line_dedup,
+    mixing,
+    near_vectors,
+    ngram_join,
+    secrets,
+    token_counts,
+)
 from .common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -58,6 +72,18 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(table(spark, folder, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, folder, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 ALL: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -71,6 +97,9 @@ ALL: dict[str, Query] = {
         op8_exact_dedup,
         op9_near_vectors,
         op10_mixing,
+        op11_line_dedup,
+        op12_lexical_search,
+        op13_filter_audit,
     )
 }
 
@@ -80,6 +109,9 @@ _SIZES = r"""
     FROM documents
 """
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
 SQL: dict[str, str] = {
     "op9_near_vectors": """
         WITH RECURSIVE vectors AS (
@@ -169,4 +201,85 @@ SQL: dict[str, str] = {
                 size * (wanted // source_size) + greatest(0, least(size, wanted % source_size - start)) END)::BIGINT AS taken
         FROM placed
     """,
+    "op11_line_dedup": """
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split),
+        keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines
+        ),
+        shared AS (
+            SELECT key, max(doc_id) AS keep_id FROM keyed WHERE length(key) >= 40
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+        ),
+        judged AS (
+            SELECT doc_id, place, line, keep_id IS NOT NULL AND keep_id <> doc_id AS dropped
+            FROM keyed LEFT JOIN shared USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id
+    """,
+    "op12_lexical_search": f"""
+        WITH words AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+        docs AS (SELECT doc_id, terms, len(terms)::BIGINT AS n FROM words WHERE len(terms) > 0),
+        totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_words FROM docs),
+        postings AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM docs) GROUP BY ALL),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM postings, totals GROUP BY term, n_docs
+        ),
+        wanted AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+        scored AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_words))))::BIGINT AS score
+            FROM wanted JOIN weights USING (term) JOIN postings USING (term), totals GROUP BY item_id, doc_id
+        ),
+        ranked AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+            FROM scored WHERE score > 0
+        )
+        SELECT * FROM ranked WHERE rank <= 10
+    """,
+    "op13_filter_audit": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                   min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS low
+            FROM documents
+        ),
+        masks AS (
+            SELECT part, doc_id, (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END)
+                   + (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
+                   + (CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 4 ELSE 0 END)
+                   + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+                   + (CASE WHEN low < doc_id THEN 16 ELSE 0 END) AS mask
+            FROM words
+        ),
+        marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        counts AS (
+            SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM masks LEFT JOIN marks USING (doc_id) GROUP BY part, mask
+        ),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+        places(filter_order, bits) AS (
+            SELECT '', []::INTEGER[] UNION ALL
+            SELECT filter_order || letter, list_append(bits, bit) FROM places, letters WHERE NOT contains(filter_order, letter)
+        ),
+        steps AS (
+            SELECT filter_order, step::INTEGER AS step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before
+            FROM places, range(1, 6) AS r(step) WHERE len(bits) = 5
+        ),
+        audited AS (
+            SELECT part, filter_order, step, own,
+                   coalesce(sum(n) FILTER (mask & (own | before) = 0), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (mask & own <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+                   coalesce(sum(counts.toxic) FILTER (mask & own <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+            FROM counts, steps GROUP BY ALL
+        )
+        SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM audited
+    """,
 }
