@@ -26,8 +26,10 @@ FILTERS = "ABCDE"
 SHORT, REPEATED, CAPITALS, MARKED, COPIED = (1 << n for n in range(5))
 #: Fixed values of the filters: words of a short text, and shares in percent.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, MARKS = 200, 50, 2, b"#$%&*|"
-#: Code points of the prefixes that part the texts, and the bytes of texts from which a prefix is made longer.
-PREFIXES, HEAVY_BYTES = (8, 64, 512), 32 << 20
+#: Code points of the prefixes that part the texts.
+PREFIXES = (8, 64, 512)
+#: Bytes of texts from which a prefix is made longer: a share of what a task gets, between these bounds.
+HEAVY_SHARE, LEAST_HEAVY_BYTES, MOST_HEAVY_BYTES = 1 / 8, 256 << 10, 32 << 20
 #: Bytes of texts after which a task walks its trie and starts a new one (between prefixes), and kinds of masks that it counts at once.
 TRIE_BYTES, KINDS = 8 << 20, 100_000
 
@@ -147,6 +149,13 @@ def _collapsed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _ROW)
 
 
+def _heavy_bytes(texts: DataFrame) -> int:
+    """So that a range of prefixes is a small part of a task's texts, and the heavy prefixes stay few."""
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_HEAVY_BYTES, max(LEAST_HEAVY_BYTES, int(HEAVY_SHARE * total / tasks)))
+
+
 def _cells(texts: DataFrame, prefixes: tuple[int, ...], heavy_bytes: int) -> DataFrame:
     """Adds cell: the shortest prefix that does not hold too many bytes of texts.
 
@@ -209,7 +218,7 @@ def _masks(texts: DataFrame) -> DataFrame:
 
 
 def failure_masks(
-    docs: DataFrame, labels: DataFrame, prefixes: tuple[int, ...] = PREFIXES, heavy_bytes: int = HEAVY_BYTES
+    docs: DataFrame, labels: DataFrame, prefixes: tuple[int, ...] = PREFIXES, heavy_bytes: int | None = None
 ) -> DataFrame:
     """part, mask, n, good and toxic: the documents of each part by the filters they fail, and how many are labelled so.
 
@@ -231,6 +240,7 @@ def failure_masks(
     joined = rows.join(marked, rows["doc_id"] == marked["labelled"], "left").drop("labelled")
     joined = joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("quality", "toxic")})
     texts = stored(_collapsed(joined), "audit-texts")
+    heavy_bytes = _heavy_bytes(texts) if heavy_bytes is None else heavy_bytes
     ranges = _cells(texts, prefixes, heavy_bytes).repartitionByRange("cell").sortWithinPartitions("cell")
     own = [F.sum("n").alias("n"), *(F.sum(F.when(F.col(c), F.col("n")).otherwise(0)).alias(o) for c, o in (("quality", "good"), ("toxic", "toxic")))]
     return _masks(ranges).groupBy("part", "mask").agg(*own)
@@ -241,7 +251,7 @@ def _total(condition: str, count: str = "m.n") -> Column:
     return F.expr(f"aggregate(filter(masks, m -> {condition}), 0L, (total, m) -> total + {count})")
 
 
-def audit(docs: DataFrame, labels: DataFrame, prefixes: tuple[int, ...] = PREFIXES, heavy_bytes: int = HEAVY_BYTES) -> DataFrame:
+def audit(docs: DataFrame, labels: DataFrame, prefixes: tuple[int, ...] = PREFIXES, heavy_bytes: int | None = None) -> DataFrame:
     """A row for each part, order of the five filters, and step: what the filter of this step does after those before it.
 
     kept: documents after the step; removed: by it; redundant: fail its filter but were removed before;
