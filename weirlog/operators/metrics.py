@@ -5,6 +5,9 @@ requests per (group, latency value); the counting is a hash aggregate with map-s
 combine and its shuffle key contains the latency, so a group that holds a third of
 all rows is spread over the reducers. ``summarize`` then works on these counts. An
 exact percentile of a group thus sees its distinct millisecond values, never its rows.
+
+The same counts can be kept beside stored logs (``log_counts``). Every report takes such a
+table in the place of logs and then adds counts up instead of counting rows.
 """
 
 from __future__ import annotations
@@ -37,7 +40,27 @@ KPI_COLUMNS = (
 CHANGE_COLUMNS = ("error_rate_change_points", "avg_latency_change_percent")
 
 
-def _counts() -> list[Column]:
+#: What stored counts are kept by, besides the latency value.
+COUNT_KEYS = ("day", "service_name", "endpoint", "release_version", "server_region")
+
+
+def log_counts(logs: DataFrame, *more: str) -> DataFrame:
+    """Requests, 4xx and 5xx by day, dimensions and latency value, with the first and last instant counted.
+
+    What reports need of logs unless a filter asks for single rows (a status, a part of a day).
+    """
+    keys = [F.to_date("timestamp").alias("day"), *COUNT_KEYS[1:], LATENCY, *more]
+    return logs.groupBy(*keys).agg(*_counts(logs), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
+
+
+def is_counted(frame: DataFrame) -> bool:
+    """Whether a frame holds request counts instead of logs."""
+    return "n_4xx" in frame.columns
+
+
+def _counts(frame: DataFrame) -> list[Column]:
+    if is_counted(frame):
+        return [F.sum(c).alias(c) for c in ("n", "n_4xx", "n_5xx")]
     code = F.col("status_code")
     return [
         F.count(F.lit(1)).alias("n"),
@@ -48,7 +71,7 @@ def _counts() -> list[Column]:
 
 def latency_cells(logs: DataFrame, *keys: str | Column) -> DataFrame:
     """Requests, 4xx and 5xx per (keys, latency value)."""
-    return logs.groupBy(*keys, LATENCY).agg(*_counts())
+    return logs.groupBy(*keys, LATENCY).agg(*_counts(logs))
 
 
 def dimension_cells(logs: DataFrame, dimensions: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -58,7 +81,7 @@ def dimension_cells(logs: DataFrame, dimensions: Sequence[str], by: Sequence[str
     which = F.coalesce(*[F.when(F.grouping(d) == 0, F.lit(d)) for d in dimensions])
     return (
         logs.groupingSets(sets, *columns)
-        .agg(*_counts(), which.alias("dimension"))
+        .agg(*_counts(logs), which.alias("dimension"))
         .withColumn("value", F.coalesce(*[F.col(d).cast("string") for d in dimensions]))
         .drop(*dimensions)
     )
@@ -102,6 +125,9 @@ def summarize(
 
 
 def error_rate(logs: DataFrame) -> DataFrame:
+    if is_counted(logs):
+        n = F.coalesce(F.sum("n"), F.lit(0))
+        return logs.agg(percent_of(F.sum(F.col("n_4xx") + F.col("n_5xx")), n).alias("error_rate_percent"))
     failed = F.count_if(is_error(F.col("status_code")))
     return logs.agg(percent_of(failed, F.count(F.lit(1))).alias("error_rate_percent"))
 
@@ -170,6 +196,9 @@ def middle_of_range(logs: DataFrame) -> Column:
 
 
 def with_half(logs: DataFrame) -> DataFrame:
+    """Adds is_current; a table of counts that were split by halves has it already."""
+    if "is_current" in logs.columns:
+        return logs
     return logs.withColumn("is_current", F.col("timestamp") >= middle_of_range(logs))
 
 
@@ -222,7 +251,7 @@ def overview(logs: DataFrame, slow_threshold_ms: int = DEFAULTS.slow_request_ms)
 
 
 def daily(logs: DataFrame) -> DataFrame:
-    return logs.withColumn("date", F.to_date("timestamp"))
+    return logs.withColumn("date", F.col("day") if is_counted(logs) else F.to_date("timestamp"))
 
 
 def latency_trend(logs: DataFrame, *keys: str) -> DataFrame:
@@ -323,7 +352,7 @@ def counts_of_sets(logs: DataFrame, sets: dict[str, Sequence[str]]) -> DataFrame
             for name in sets
         ]
     )
-    return durable(found.agg(*_counts(), which.alias("counted")))
+    return durable(found.agg(*_counts(logs), which.alias("counted")))
 
 
 def service_endpoints(logs: DataFrame) -> DataFrame:
@@ -332,20 +361,20 @@ def service_endpoints(logs: DataFrame) -> DataFrame:
 
 
 def service_detail(logs: DataFrame) -> DataFrame:
-    """Summary, p99, sorted name lists and daily trend of every service, from one scan.
+    """Summary, p99, sorted name lists and daily trend of every service.
 
-    The lists are collected from distinct names and days, not from rows.
+    Figures and trends come from one set of counts per (service, day, latency value), the lists from the
+    distinct (service, endpoint, release, region), which hardly grow with the log; neither repeats rows
+    for several groupings.
     """
-    names = ("endpoint", "release_version", "server_region")
-    sets = {"date": ("service_name", "date", LATENCY), **{n: ("service_name", n) for n in names}}
-    counts = counts_of_sets(daily(logs), sets)
-    cells = counts.where("counted = 'date'")
+    cells = durable(latency_cells(daily(logs), "service_name", "date"))
     summary = service_summary_of_cells(cells, round_figure(F.col("p99_ms")).alias("p99_latency_ms"))
+    names = logs.select("service_name", "endpoint", "release_version", "server_region").distinct()
 
     def listed(name: str, alias: str) -> Column:
-        return F.sort_array(F.collect_list(F.when(F.col("counted") == name, F.col(name)))).alias(alias)
+        return F.sort_array(F.collect_set(name)).alias(alias)
 
-    lists = counts.where("counted <> 'date'").groupBy("service_name").agg(
+    lists = names.groupBy("service_name").agg(
         listed("endpoint", "endpoints"), listed("release_version", "releases"), listed("server_region", "regions")
     )
     point = F.struct("date", "avg_latency_ms", "p95_latency_ms", "p99_latency_ms", "max_latency_ms")
@@ -440,6 +469,9 @@ def regions_list(logs: DataFrame) -> DataFrame:
 
 def plain_error_rate_by_endpoint(logs: DataFrame) -> DataFrame:
     """Unrounded error percentage per endpoint."""
+    if is_counted(logs):
+        failed = F.sum(F.col("n_4xx") + F.col("n_5xx"))
+        return logs.groupBy("endpoint").agg((failed * 100.0 / F.sum("n")).alias("error_rate"))
     failed = F.count_if(is_error(F.col("status_code")))
     return logs.groupBy("endpoint").agg((failed * 100.0 / F.count(F.lit(1))).alias("error_rate"))
 
@@ -447,9 +479,11 @@ def plain_error_rate_by_endpoint(logs: DataFrame) -> DataFrame:
 def plain_daily_latency(logs: DataFrame) -> DataFrame:
     """Unrounded mean and maximum per day, in date order."""
     ms = F.col(LATENCY)
+    n = F.col("n") if is_counted(logs) else F.lit(1)
     return (
-        logs.groupBy(F.to_date("timestamp").alias("log_date"))
-        .agg((F.sum(ms) / F.count(ms)).alias("avg_latency"), F.max(ms).alias("max_latency"))
+        daily(logs)
+        .groupBy(F.col("date").alias("log_date"))
+        .agg((F.sum(ms * n) / F.sum(n)).alias("avg_latency"), F.max(ms).alias("max_latency"))
         .orderBy("log_date")
     )
 

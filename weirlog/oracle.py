@@ -876,4 +876,12 @@ def statements() -> dict[str, str]:
                 FROM ({detect_per_day("cleaned")})""",
         ),
     }
+    # Reports from stored counts are those over all logs.
+    for name in ("agg_overview", "agg_latency_trend", "agg_endpoint_perf", "agg_service_detail", "ctx_chat", "inc_detect"):
+        sql[f"{name}_stored"] = sql[name]
+    sql["agg_kpis_stored_range"] = over(
+        "logs",
+        f"""SELECT {kpi_columns()} FROM logs WHERE service_name = 'order-service'
+            AND timestamp >= TIMESTAMP '1996-03-05' AND timestamp <= TIMESTAMP '1997-04-01 12:00:00'""",
+    )
     return sql

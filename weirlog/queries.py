@@ -130,6 +130,20 @@ def _after_reset(store: tables.LogTables, folder: str) -> DataFrame:
     return store.reset()
 
 
+def _counted(report: Step, **choice) -> Query:
+    """A report from stored counts, after one dataset was replaced and another deleted."""
+
+    def action(store: tables.LogTables, folder: str) -> DataFrame:
+        logs = sample_views.logs(store.spark, folder).where(F.year("timestamp") == 1995)
+        for dataset in ("ds-v1", "ds-gone"):
+            store.persist_clean(logs, dataset, "one year", "1995.csv")
+        _store_logs(store, folder)
+        store.delete_dataset("ds-gone")
+        return report(store.counts(**choice))
+
+    return _with_store(action)
+
+
 SOURCES: dict[str, Query] = {
     "src_csv_raw": src_csv_raw,
     "src_raw_landing": _with_store(_landed),
@@ -302,7 +316,6 @@ def _service_detail(logs: DataFrame) -> DataFrame:
     return detail.select(*[c for c in detail.columns if c not in lists], *_list_text(*lists))
 
 
-
 AGGREGATES = _over(
     sample_views.logs,
     {
@@ -332,6 +345,18 @@ AGGREGATES = _over(
     },
 ) | _over(_clean, {"agg_overview_cleaned": metrics.overview, "agg_endpoint_perf_cleaned": metrics.endpoint_performance})
 
+STORED_COUNTS: dict[str, Query] = {
+    "agg_overview_stored": _counted(metrics.overview, halves=True),
+    "agg_kpis_stored_range": _counted(
+        metrics.kpis, service="order-service", date_from="1996-03-05", date_to="1997-04-01 12:00:00"
+    ),
+    "agg_latency_trend_stored": _counted(_day_text(metrics.latency_trend, "date")),
+    "agg_endpoint_perf_stored": _counted(metrics.endpoint_performance),
+    "agg_service_detail_stored": _counted(_service_detail),
+    "ctx_chat_stored": _counted(contexts.chat_context),
+    "inc_detect_stored": _counted(incidents.detect_in_later_half, halves=True),
+}
+
 # Comparisons, outliers, scores
 
 
@@ -593,6 +618,7 @@ ALL: dict[str, Query] = {
     **QUALITY,
     **FILTERS,
     **AGGREGATES,
+    **STORED_COUNTS,
     **COMPARISONS,
     **INCIDENTS,
     **EXPLORE,

@@ -3,7 +3,9 @@
 Log tables are partitioned by ``dataset_id``: a scan of one dataset reads its
 partitions only, removing a dataset drops partitions, and loading one again after a
 failure replaces what the failed attempt left. Clean logs are further partitioned by
-month, so a date filter (see ``filter_logs``) skips whole months. Incidents are
+month, so a date filter (see ``filter_logs``) skips whole months. Beside the clean rows lie
+their counts by day, dimensions and latency value, from which reports are made without
+reading rows; they are written with the rows of a dataset and go with them. Incidents are
 partitioned by the day they started, so a status change rewrites the days of the
 changed incidents only.
 """
@@ -12,13 +14,15 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, incidents
 from ..operators.explore import with_log_id
-from ..operators.filters import month_of
+from ..operators.filters import filter_logs, month_of
+from ..operators.metrics import log_counts
 from ..schema import LOG_COLUMNS
 from .csv_logs import read_raw_csv
 from .shared import durable
@@ -29,6 +33,7 @@ _REPLACE_ALL = "partitionOverwriteMode 'static'"
 _OPTIONS = {
     "raw_logs": _REPLACE_ALL,
     "api_logs": f"{_REPLACE_ALL}, `parquet.bloom.filter.enabled#log_id` 'true'",
+    "log_counts": _REPLACE_ALL,
     "datasets": _REPLACE_ALL,
     "incidents": "partitionOverwriteMode 'dynamic'",
 }
@@ -40,6 +45,12 @@ _TABLES = {
         "release_version STRING, server_region STRING, log_id STRING, dataset_id STRING, log_month DATE",
         "dataset_id, log_month",
     ),
+    "log_counts": (
+        "day DATE, service_name STRING, endpoint STRING, release_version STRING, server_region STRING, "
+        "response_time_ms BIGINT, n BIGINT, n_4xx BIGINT, n_5xx BIGINT, first_at TIMESTAMP_NTZ, last_at TIMESTAMP_NTZ, "
+        "dataset_id STRING, log_month DATE",
+        "dataset_id, log_month",
+    ),
     "datasets": (
         "name STRING, file_name STRING, row_count BIGINT, status STRING, created_at TIMESTAMP, updated_at TIMESTAMP, "
         "dataset_id STRING",
@@ -54,6 +65,9 @@ _TABLES = {
 }
 
 
+_DATASET_TABLES = ("raw_logs", "api_logs", "log_counts", "datasets")
+
+
 class LogTables:
     """The tables of one database of the session's catalog."""
 
@@ -103,8 +117,9 @@ class LogTables:
         tagged = with_log_id(cleaned.withColumn("dataset_id", F.lit(dataset_id)))
         monthly = tagged.withColumn("log_month", month_of(F.col("timestamp"))).hint("rebalance", "log_month")
         ordered = monthly.sortWithinPartitions("log_month", "service_name", "endpoint", "timestamp")
+        self._drop_partitions("datasets", dataset_id)  # not seen while rows and counts are replaced
         self._replace_dataset(ordered, "api_logs", dataset_id)
-        rows = self._stored(dataset_id).count()
+        rows = self._recount(dataset_id)
         now = F.current_timestamp()
         entry = self.spark.range(1).select(
             F.lit(name).alias("name"),
@@ -117,15 +132,62 @@ class LogTables:
         self._replace_dataset(entry, "datasets", dataset_id)
         return rows
 
+    def _recount(self, dataset_id: str) -> int:
+        """Replace the counts of a dataset by those of its stored rows; return how many rows these are."""
+        counts = log_counts(self._stored(dataset_id), "log_month").hint("rebalance", "log_month")
+        ordered = counts.sortWithinPartitions("log_month", "day", "service_name", "endpoint")
+        self._replace_dataset(ordered, "log_counts", dataset_id)
+        own = self._table("log_counts").where(F.col("dataset_id") == dataset_id)
+        return own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def counts(
+        self,
+        dataset_id: str | None = None,
+        date_from: str | datetime | None = None,
+        date_to: str | datetime | None = None,
+        halves: bool = False,
+        **equal: str | None,
+    ) -> DataFrame:
+        """Request counts of clean logs of one dataset, or of all registered ones, in the place of the logs themselves.
+
+        ``equal`` are filters on service, endpoint, release and region; dates are inclusive instants, as in
+        ``filter_logs``. With ``halves`` the counts are split at the middle of their range of time
+        (``is_current``). Counts are kept by day, so where an instant cuts a day, and
+        counts of that day lie on both sides of it, the rows of that day are counted instead.
+        Everything else is read from the counts alone.
+        """
+        counts = filter_logs(self._registered("log_counts", dataset_id), **equal)
+        rows = filter_logs(self._registered("api_logs", dataset_id), **equal)
+        month = F.col("log_month")
+        if date_from:
+            start = _instant(date_from)
+            counts = _split(counts.where(month >= month_of(start)), rows, start).where(F.col("first_at") >= start)
+            rows = rows.where(F.col("timestamp") >= start)
+        if date_to:
+            end = _instant(date_to)
+            counts = _split(counts.where(month <= month_of(end)), rows, end, inclusive=True).where(F.col("last_at") <= end)
+            rows = rows.where(F.col("timestamp") <= end)
+        if halves:
+            first, last = F.min("first_at"), F.max("last_at")
+            found = counts.agg((first + (last - first) / 2).alias("middle")).first()["middle"]
+            middle = _instant(found or datetime(1970, 1, 1))
+            counts = _split(counts, rows, middle).withColumn("is_current", F.col("first_at") >= middle)
+        return counts
+
     def scan(self, dataset_id: str | None = None) -> DataFrame:
         """Clean logs of one dataset, or of all registered ones.
 
         A dataset is registered after its rows are stored, so rows that a failed load
         left behind are never seen.
         """
-        logs = self._stored(dataset_id) if dataset_id else self._table("api_logs")
-        columns = logs.columns
-        return logs.join(self._table("datasets").select("dataset_id"), "dataset_id", "left_semi").select(*columns)
+        return self._registered("api_logs", dataset_id)
+
+    def _registered(self, table: str, dataset_id: str | None) -> DataFrame:
+        rows = self._table(table)
+        if dataset_id:
+            rows = rows.where(F.col("dataset_id") == dataset_id)
+        columns = rows.columns
+        return rows.join(self._table("datasets").select("dataset_id"), "dataset_id", "left_semi").select(*columns)
 
     def _stored(self, dataset_id: str) -> DataFrame:
         return self._table("api_logs").where(F.col("dataset_id") == dataset_id)
@@ -173,7 +235,7 @@ class LogTables:
         """Drop the partitions of one dataset everywhere."""
         if self._table("datasets").where(F.col("dataset_id") == dataset_id).isEmpty():
             raise LookupError(f"dataset {dataset_id} not found")
-        for table in ("raw_logs", "api_logs", "datasets"):
+        for table in reversed(_DATASET_TABLES):  # the registry first: what is half removed is not seen
             self._drop_partitions(table, dataset_id)
 
     def _drop_partitions(self, table: str, dataset_id: str) -> None:
@@ -188,7 +250,7 @@ class LogTables:
     def reset(self) -> DataFrame:
         """Empty all log tables; return how much was there."""
         logs, datasets = self._table("api_logs").count(), self._table("datasets").count()
-        for table in ("raw_logs", "api_logs", "datasets"):
+        for table in reversed(_DATASET_TABLES):
             self.spark.sql(f"TRUNCATE TABLE {self._name(table)}")
         return self.spark.range(1).select(
             F.lit(logs).cast("bigint").alias("logs_deleted"), F.lit(datasets).cast("bigint").alias("datasets_deleted")
@@ -223,6 +285,28 @@ class LogTables:
         updated.select(*target).write.mode("overwrite").insertInto(self._name("incidents"))
 
 
+def _instant(at: str | datetime) -> Column:
+    """Wall-clock time, whatever the zone of the session."""
+    return F.lit(str(at)).cast("timestamp_ntz")
+
+
+def _split(counts: DataFrame, rows: DataFrame, at: Column, inclusive: bool = False) -> DataFrame:
+    """Counts none of which lies on both sides of an instant, which itself is on the later side (``inclusive``: the earlier).
+
+    If some do, the rows of that day, and of no other, are counted instead of its counts.
+    """
+    own_day = (F.col("log_month") == month_of(at)) & (F.col("day") == at.cast("date"))
+    before = F.col("first_at") <= at if inclusive else F.col("first_at") < at
+    behind = F.col("last_at") > at if inclusive else F.col("last_at") >= at
+    if counts.where(own_day & before & behind).isEmpty():
+        return counts
+    ts, start = F.col("timestamp"), at.cast("date").cast("timestamp_ntz")
+    of_day = rows.where(F.col("log_month") == month_of(at)).where((ts >= start) & (ts < start + F.expr("INTERVAL 1 DAY")))
+    earlier = ts <= at if inclusive else ts < at
+    counted = log_counts(of_day.withColumn("earlier", earlier), "dataset_id", "log_month", "earlier").drop("earlier")
+    return counts.where(~own_day).unionByName(counted)
+
+
 def _quoted(text: str) -> str:
     escaped = text.replace("\\", "\\\\").replace("'", "\\'")
     return f"'{escaped}'"
