@@ -361,20 +361,20 @@ def service_endpoints(logs: DataFrame) -> DataFrame:
 
 
 def service_detail(logs: DataFrame) -> DataFrame:
-    """Summary, p99, sorted name lists and daily trend of every service.
+    """Summary, p99, sorted name lists and daily trend of every service, from one scan.
 
-    Figures and trends come from one set of counts per (service, day, latency value), the lists from the
-    distinct (service, endpoint, release, region), which hardly grow with the log; neither repeats rows
-    for several groupings.
+    Figures and trends come from counts per (service, day, latency value), the lists from the distinct
+    (service, endpoint, release, region), which hardly grow with the log.
     """
-    cells = durable(latency_cells(daily(logs), "service_name", "date"))
+    names = ("service_name", "endpoint", "release_version", "server_region")
+    counts = counts_of_sets(daily(logs), {"date": ("service_name", "date", LATENCY), "names": names})
+    cells = counts.where("counted = 'date'")
     summary = service_summary_of_cells(cells, round_figure(F.col("p99_ms")).alias("p99_latency_ms"))
-    names = logs.select("service_name", "endpoint", "release_version", "server_region").distinct()
 
     def listed(name: str, alias: str) -> Column:
         return F.sort_array(F.collect_set(name)).alias(alias)
 
-    lists = names.groupBy("service_name").agg(
+    lists = counts.where("counted = 'names'").groupBy("service_name").agg(
         listed("endpoint", "endpoints"), listed("release_version", "releases"), listed("server_region", "regions")
     )
     point = F.struct("date", "avg_latency_ms", "p95_latency_ms", "p99_latency_ms", "max_latency_ms")
