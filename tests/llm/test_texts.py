@@ -239,6 +239,31 @@ def test_bpe_forgets_and_learns_again(tiktoken_codec, monkeypatch):
 
 
 @pytest.mark.parametrize("table", ["awkward", "sample"])
+def test_bpe_of_long_words(tiktoken_codec):
+    """Runs of letters, digits, one character or a pair of them, without a blank: right, and in seconds."""
+    import random
+    import time
+
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    draw = random.Random(3)
+    common = "the of and to in that is was for with tion ing ment able".split()
+    texts = [
+        "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)),
+        "a" * 1_000_000,
+        "ab" * 200_000,
+        "".join(draw.choices("0123456789", k=100_000)),
+        "".join(draw.choices(common, k=20_000)),
+        "".join(draw.choices("éàüñçøжяшд漢字語", k=20_000)),
+        "!?" * 100_000,
+    ]
+    for text in texts:
+        start = time.perf_counter()
+        ids, said = codec.encode([text])[0]
+        assert time.perf_counter() - start < 30
+        assert said == text.encode() and list(ids) == tiktoken_codec.encode_ordinary(text)
+    assert codec.encode(["x" * 100 + " y"])[0][1] == b"x" * 100 + b" y"
+
+
 def test_bpe_digests(spark, tiktoken_codec, table):
     docs = clashing(awkward(spark)) if table == "awkward" else spark.read.parquet(f"{SAMPLE}/documents.parquet")
     expected = []

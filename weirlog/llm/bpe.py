@@ -4,9 +4,11 @@ Spark deals out the texts. A task splits them into words, numbers the words and
 keeps, in its worker's in-process database, what it has met. New words become rows
 (word, pos, tok), one per byte. The recursive query joins neighbouring rows with the
 merge table and contracts each word's leftmost pair of lowest rank until no pair is
-left; the same pair further right goes in the same step where that cannot change what
-comes next. Ordered aggregation makes a word's ids of its rows, and decodes: tokens'
-bytes to words, words to texts.
+left. Long words are cut first where no token of the vocabulary holds the two bytes
+that meet, as no merge can cross such a place; in parts that stay long, the same pair
+further right goes in the same step where that cannot change what comes next. Ordered
+aggregation makes a word's ids of its rows, and decodes: tokens' bytes to words, words
+to texts.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +30,13 @@ from pyspark.sql import types as T
 from .common import claim_worker, register_cache
 
 #: Words that a worker keeps; beyond it starts anew.
-CACHED = 500_000
+CACHED = 250_000
 #: Token rows that one recursion may make, and the steps that it may take.
-ROWS, STEPS = 4_000_000, 16
+ROWS, STEPS = 2_000_000, 24
 #: Bytes of words that enter a recursion together, and texts and bytes that are put together by one query.
-WORD_BYTES, TEXTS, TEXT_BYTES = 1 << 19, 500, 2 << 20
+WORD_BYTES, TEXTS, TEXT_BYTES = 1 << 17, 500, 1 << 20
+#: Characters of a word from which it is cut, and bytes from which all places of a pair are contracted in one step.
+LONG = 64
 
 #: White space as Unicode has it, which is what the splitting pattern means by it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -39,9 +44,33 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ]*")
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 
-#: A row knows its token, where the next row is (follow), the next token, and what the two merge into. Of overlapping pairs
-#: (as in aaa) every second one is contracted.
+#: A row is a pair of neighbours: its token, where the next row is (follow), the next token, and what the two merge into.
+#: A step looks up only what the contracted pair has become part of; all other pairs are as they were.
 _MERGE = """
+    CREATE OR REPLACE TEMP TABLE steps AS
+    WITH RECURSIVE steps(word, pos, tok, follow, next, merged, depth) AS (
+        SELECT word, pos, tok, follow, next, merged, 0
+        FROM entering e LEFT JOIN merges m ON m.l = e.tok AND m.r = e.next
+        UNION ALL
+        (
+            WITH lowest AS MATERIALIZED (
+                SELECT word, min(merged) AS low, arg_min(pos, merged::BIGINT << 32 | pos) AS pos,
+                       arg_min(follow, merged::BIGINT << 32 | pos) AS follow
+                FROM steps WHERE merged IS NOT NULL AND depth < $steps GROUP BY word
+            ), kept AS (
+                SELECT s.word, CASE WHEN s.pos = l.follow THEN l.pos ELSE s.pos END AS pos,
+                       CASE WHEN s.pos = l.follow THEN l.low ELSE s.tok END AS tok, s.follow,
+                       CASE WHEN s.follow = l.pos THEN l.low ELSE s.next END AS next, s.depth + 1 AS depth
+                FROM steps s JOIN lowest l ON l.word = s.word WHERE s.pos <> l.pos
+            )
+            SELECT word, pos, tok, follow, next, merged, depth
+            FROM kept k LEFT JOIN merges m ON m.l = k.tok AND m.r = k.next
+        )
+    )
+    SELECT word, pos, tok, follow, next, depth FROM steps
+"""
+#: The same for long words: all places of the lowest pair in one step. Of overlapping ones (as in aaa) every second is contracted.
+_MERGE_LONG = """
     CREATE OR REPLACE TEMP TABLE steps AS
     WITH RECURSIVE steps(word, pos, tok, follow, next, merged, alone, depth) AS (
         SELECT word, pos, tok, follow, next, merged, alone, 0
@@ -68,31 +97,23 @@ _MERGE = """
                 SELECT word, pos, follow, low FROM hits ANTI JOIN overlapping USING (word)
                 UNION ALL
                 SELECT word, pos, follow, low FROM runs WHERE nth % 2 = 0
-            ), gone AS MATERIALIZED (
-                SELECT t.word, t.pos, t.low, t.follow AS at, s.follow, s.next
-                FROM taken t JOIN steps s ON s.word = t.word AND s.pos = t.follow
             ), kept AS (
-                SELECT s.word, s.pos, s.depth + 1 AS depth, coalesce(g.low, s.tok) AS tok,
-                       CASE WHEN g.pos IS NULL THEN s.follow ELSE g.follow END AS follow,
-                       CASE WHEN g.pos IS NULL THEN s.next ELSE g.next END AS next
-                FROM steps s SEMI JOIN lowest l ON l.word = s.word
-                ANTI JOIN gone e ON e.word = s.word AND e.at = s.pos
-                LEFT JOIN gone g ON g.word = s.word AND g.pos = s.pos
-            ), linked AS (
-                SELECT k.word, k.pos, k.tok, k.follow, coalesce(t.low, k.next) AS next, k.depth
-                FROM kept k LEFT JOIN taken t ON t.word = k.word AND t.pos = k.follow
+                SELECT s.word, coalesce(l.pos, s.pos) AS pos, coalesce(l.low, s.tok) AS tok, s.follow,
+                       coalesce(r.low, s.next) AS next, s.depth + 1 AS depth
+                FROM steps s SEMI JOIN lowest a ON a.word = s.word
+                ANTI JOIN taken t ON t.word = s.word AND t.pos = s.pos
+                LEFT JOIN taken l ON l.word = s.word AND l.follow = s.pos
+                LEFT JOIN taken r ON r.word = s.word AND r.pos = s.follow
             )
             SELECT word, pos, tok, follow, next, merged, alone, depth
-            FROM linked k LEFT JOIN merges m ON m.l = k.tok AND m.r = k.next
+            FROM kept k LEFT JOIN merges m ON m.l = k.tok AND m.r = k.next
         )
     )
     SELECT word, pos, tok, follow, next, depth FROM steps
 """
-_REACHED = """
-    CREATE OR REPLACE TEMP TABLE reached AS
-    SELECT s.* FROM steps s JOIN (SELECT word, max(depth) AS last FROM steps GROUP BY word) d
-    ON d.word = s.word AND d.last = s.depth
-"""
+_LAST = "CREATE OR REPLACE TEMP TABLE last AS SELECT word, max(depth) AS depth FROM steps GROUP BY word"
+#: The rows of words after so many steps and no more (finished), or after all steps of a recursion (to go on with).
+_REACHED = "(SELECT word, pos, tok, follow, next FROM steps SEMI JOIN last USING (word, depth) WHERE depth {})"
 _KEEP = """
     CREATE OR REPLACE TEMP TABLE learned AS
     SELECT word, list(tok ORDER BY pos) AS ids, decode(unhex(string_agg(v.hex, '' ORDER BY pos))) AS said
@@ -123,6 +144,15 @@ def splitter(pattern: str):
     return split
 
 
+def _inside(ranks: dict[bytes, int]) -> np.ndarray:
+    """For each two bytes whether some token holds them side by side."""
+    found = np.zeros(1 << 16, bool)
+    for token in ranks:
+        text = np.frombuffer(token, np.uint8).astype(np.int64)
+        found[text[:-1] << 8 | text[1:]] = True
+    return found
+
+
 class _Numbers(dict):
     """Words in the order in which they were first asked for."""
 
@@ -140,17 +170,17 @@ class Codec:
         import duckdb
 
         ranks = load_ranks(path)
-        self.split = splitter(pattern)
+        self.pieces = splitter(pattern)
+        self.meets = _inside(ranks)
         self.tokens = np.fromiter(ranks.values(), np.int32, len(ranks))
         self.byte_tokens = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         splits = ((t[:i], t[i:], rank) for t, rank in ranks.items() for i in range(1, len(t)))
         merges = [(ranks[a], ranks[b], rank) for a, b, rank in splits if a in ranks and b in ranks]
-        # A new token can form a pair of lower rank than its own: its pairs are contracted one at a time.
-        alone = {part for l, r, merged in merges for part in (l, r) if part > merged}
-        self.database = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.database = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self._load("vocabulary", token=list(ranks.values()), hex=[t.hex() for t in ranks])
         left, right, merged = (list(c) for c in zip(*merges)) if merges else ([], [], [])
-        self._load("merges", l=left, r=right, merged=merged, alone=[m in alone for m in merged])
+        self._load("merges", l=left, r=right, merged=merged, alone=[False] * len(merges))
+        self.merges, self.alone_known = merges, False
         self.database.execute("CREATE TABLE words (word INTEGER, said VARCHAR)")
         self.ranks = ranks
         self._forget()
@@ -175,6 +205,20 @@ class Codec:
     def _register(self, given: pa.Table, name: str = "given") -> None:
         self.database.register(name, given)
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text, long ones in parts that no merge joins."""
+        words = self.pieces(text)
+        if max(map(len, words), default=0) <= LONG:
+            return words
+        return list(itertools.chain.from_iterable((w,) if len(w) <= LONG else self._cut(w) for w in words))
+
+    def _cut(self, word: str) -> list[str]:
+        """Cut between characters whose neighbouring bytes no token of the vocabulary holds side by side."""
+        text = np.frombuffer(data := word.encode(), np.uint8)
+        apart = ~self.meets[text[:-1].astype(np.int64) << 8 | text[1:]] & (text[1:] & 0xC0 != 0x80)
+        edges = [0, *(np.flatnonzero(apart) + 1).tolist(), len(data)]
+        return [data[start:end].decode() for start, end in itertools.pairwise(edges)]
+
     def _rows(self, words: list[tuple[int, bytes]]) -> pa.Table:
         """A row per byte; follow and next are -1 at a word's end."""
         sizes = np.array([len(w) for _, w in words])
@@ -185,19 +229,42 @@ class Codec:
         numbers = np.repeat(np.array([n for n, _ in words], np.int32), sizes)
         return pa.table({"word": numbers, "pos": places, "tok": tokens, "follow": follow, "next": following})
 
-    def _merge(self, words: list[tuple[int, bytes]]) -> None:
+    def _mark_alone(self) -> None:
+        """Find the pairs that have to be contracted one at a time: those whose token could form a pair of lower rank.
+
+        If the bytes of a token M contract to M, then all pairs inside these bytes that come before M have been
+        contracted when a higher pair's turn comes, so that one cannot become part of M. What is left are tokens
+        that their own bytes do not contract to.
+        """
+        below = {merged for *parts, merged in self.merges if max(parts) > merged}
+        words = [(token, text) for text, token in self.ranks.items() if token in below]
+        never: set[int] = set()
+        for start in range(0, len(words), TEXTS * 16):
+            self._register(self._rows(words[start : start + TEXTS * 16]))
+            self.database.execute("CREATE OR REPLACE TEMP TABLE entering AS SELECT * FROM given")
+            self.database.execute(_MERGE.replace("$steps", str(max(map(len, self.ranks)))))
+            self.database.execute(_LAST)
+            apart = "SELECT word FROM steps SEMI JOIN last USING (word, depth) GROUP BY word HAVING count(*) > 1"
+            never.update(word for (word,) in self.database.sql(apart).fetchall())
+        alone = {part for *parts, merged in self.merges if merged in never for part in parts if part > merged}
+        self._register(pa.table({"token": pa.array(sorted(alone), pa.int32())}))
+        self.database.execute("UPDATE merges SET alone = true WHERE merged IN (SELECT token FROM given)")
+        self.alone_known = True
+
+    def _merge(self, words: list[tuple[int, bytes]], query: str) -> None:
         """Ids of words that are no tokens themselves. Words that need more steps enter again."""
+        if query == _MERGE_LONG and not self.alone_known:
+            self._mark_alone()
         rows = self._rows(words)
         self._register(rows)
         self.database.execute("CREATE OR REPLACE TEMP TABLE entering AS SELECT * FROM given")
         left = rows.num_rows
         while left:
             steps = max(1, min(STEPS, ROWS // left))
-            self.database.execute(_MERGE.replace("$steps", str(steps)))
-            self.database.execute(_REACHED)
-            self._keep(f"(SELECT * FROM reached WHERE depth < {steps})")
-            again = f"SELECT word, pos, tok, follow, next FROM reached WHERE depth = {steps}"
-            self.database.execute(f"CREATE OR REPLACE TEMP TABLE entering AS {again}")
+            self.database.execute(query.replace("$steps", str(steps)))
+            self.database.execute(_LAST)
+            self._keep(_REACHED.format(f"< {steps}"))
+            self.database.execute(f"CREATE OR REPLACE TEMP TABLE entering AS SELECT * FROM {_REACHED.format(f'= {steps}')}")
             left = self.database.sql("SELECT count(*) FROM entering").fetchall()[0][0]
 
     def _keep(self, rows: str) -> None:
@@ -220,18 +287,21 @@ class Codec:
         new = list(itertools.islice(self.numbers, self.kept, None))
         more = np.zeros(len(new), np.int64)
         self.starts, self.sizes = np.concatenate([self.starts, more]), np.concatenate([self.sizes, more])
-        pending, size, whole = [], 0, []
+        pending, whole = {_MERGE: [], _MERGE_LONG: []}, []
+        size = dict.fromkeys(pending, 0)
         for number, word in enumerate((w.encode() for w in new), self.kept):
             if (rank := self.ranks.get(word)) is not None:  # a word that is a token takes no merges
                 whole.append((number, rank))
                 continue
-            pending.append((number, word))
-            size += len(word)
-            if size >= WORD_BYTES:
-                self._merge(pending)
-                pending, size = [], 0
-        if pending:
-            self._merge(pending)
+            query = _MERGE if len(word) <= LONG else _MERGE_LONG
+            pending[query].append((number, word))
+            size[query] += len(word)
+            if size[query] >= WORD_BYTES:
+                self._merge(pending[query], query)
+                pending[query], size[query] = [], 0
+        for query, words in pending.items():
+            if words:
+                self._merge(words, query)
         if whole:
             number, rank = (np.array(c, np.int32) for c in zip(*whole))
             self._register(pa.table({"word": number, "pos": np.zeros(len(whole), np.int64), "tok": rank}))
@@ -275,25 +345,25 @@ class Codec:
 register_cache("bpe", Codec._of.clear)
 
 
-def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that are encoded together."""
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of texts that are encoded together."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
+    for i, own in enumerate(sizes.tolist()):
+        size += own
         if size >= TEXT_BYTES or i + 1 - start >= TEXTS:
-            yield start, i + 1
+            yield batch.slice(start, i + 1 - start)
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[tuple[pa.Array, list]]:
     claim_worker("bpe")
     codec = Codec.of(path, pattern)
     for batch in batches:
-        texts = [text or "" for text in batch.column(1).to_pylist()]
-        for start, end in _parts(texts):
-            yield batch.column(0).slice(start, end - start), codec.encode(texts[start:end])
+        for part in _parts(batch):
+            yield part.column(0), codec.encode([text or "" for text in part.column(1).to_pylist()])
 
 
 def _inputs(docs: DataFrame) -> tuple[DataFrame, T.StructField]:

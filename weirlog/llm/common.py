@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,7 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("bigint")
 
 
+_libc = ctypes.CDLL(None)
 _caches: dict[str, Callable[[], None]] = {}
 
 
@@ -46,8 +49,14 @@ def register_cache(owner: str, clear: Callable[[], None]) -> None:
 
 
 def claim_worker(owner: str) -> None:
-    """Drop what other modules keep in this worker: one worker runs the tasks of many stages, one after the other."""
+    """Drop what other modules keep in this worker: one worker runs the tasks of many stages, one after the other.
+
+    What is free is given back to the system, as the workers of an executor share its memory with the JVM.
+    """
     for name, clear in _caches.items():
         if name != owner:
             clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
