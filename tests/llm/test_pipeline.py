@@ -5,9 +5,11 @@ import random
 
 import public_tokenizers
 from fixtures import awkward, make, plain, words
+import test_dedup
 from pyspark.sql import functions as F
 from test_dedup import groups_by_hand, near_copies
 from test_mixing import targets_by_hand
+from test_pipeline_near import five_words
 
 import corpus_pipeline
 from weirlog.llm import bpe
@@ -46,7 +48,8 @@ def mixed_by_hand(rows):
     return result
 
 
-def test_pipeline_equals_plain_decisions(spark, tmp_path):
+def test_pipeline_equals_plain_decisions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(test_dedup, "shingles", five_words)
     rows = corpus()
     make(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     import tiktoken
@@ -57,7 +60,7 @@ def test_pipeline_equals_plain_decisions(spark, tmp_path):
     for i, t, _ in kept:
         largest[t] = max(largest.get(t, i), i)
     kept = [r for r in kept if largest[r[1]] == r[0]]
-    component = {i: c for i, _, c in groups_by_hand([(i, t) for i, t, _ in kept])}
+    component = {i: c for i, _, c in groups_by_hand([(i, t) for i, t, _ in kept], (80, 100))}
     kept = [r for r in kept if component[r[0]] == r[0]]
     expected = []
     for doc_id, text in mixed_by_hand(kept):
@@ -68,6 +71,25 @@ def test_pipeline_equals_plain_decisions(spark, tmp_path):
     assert plain(found, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(expected, key=repr)
 
 
+def test_language_stage_loses_no_document_with_a_letter(spark):
+    """Whatever the labels are called, and without any; documents without a label get one."""
+    rows = [(i, text, "s", lang) for i, (text, lang) in enumerate([("the cat sat on the mat and that was it", "en"), ("le chat est sur la table avec les autres", "fr")] * 6)]
+    rows += [(90, "the cat and the mat", "s", None), (91, "1234 --", "s", "en"), (92, None, "s", "en"), (93, "é", "s", None)]
+    lettered = [r[0] for r in rows if r[0] not in (91, 92)]
+
+    def stage(labels):
+        docs = make(spark, [(i, t, s, labels.get(lang, lang)) for i, t, s, lang in rows])
+        found = corpus_pipeline.identify_language(spark, docs, "")
+        assert found.columns == docs.columns
+        return {r.doc_id: r.lang for r in found.collect()}
+
+    found = stage({})
+    assert sorted(found) == lettered and found[90] == "en" and found[0] == "en" and found[1] == "fr"
+    assert sorted(stage({"en": "und"})) == lettered and stage({"en": "und"})[90] == "und"
+    none = stage({"en": None, "fr": None})
+    assert sorted(none) == lettered and set(none.values()) == {None}
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     docs = awkward(spark).withColumn("size", F.col("doc_id"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,7 +179,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text; the score is 1 - least / second least entropy, 0 where nothing is known."""
-        known = [bool(self.languages) and text is not None and any(map(str.isalpha, text)) for text in texts]
+        known = [bool(self.languages) and readable(text) for text in texts]
         symbols = [self.symbols(text) if ok else np.zeros(0, np.int32) for text, ok in zip(texts, known)]
         missing = self.missing(symbols)  # each is a phrase of its own
         entropy = (self.phrases(symbols) - missing) * np.array(self.bits)[None, :] + missing * self.missing_bits
@@ -239,18 +240,35 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def readable(text: str | None) -> bool:
+    """Whether a text has a letter at all; without one it has no language."""
+    return text is not None and any(map(str.isalpha, text))
+
+
 def drop_unidentified(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the documents that ``identify`` calls ``und``; all columns stay."""
+    """``docs`` without the documents whose text is null or has no letter; lang, where it is null, becomes the prediction.
+
+    All columns stay, and given languages too, whatever they are called; only texts without one are parsed. If no
+    language was learned, nothing is predicted and no further document goes. A table without a column lang loses
+    rows only.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
+    lang = docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_worker("language")
         for batch in batches:
             for start in range(0, batch.num_rows, _TEXTS):
                 part = batch.slice(start, _TEXTS)
-                found = sent.value.predict(part.column(place).to_pylist())
-                yield part.filter(pa.array([language != UNKNOWN for language, _ in found]))
+                part = part.filter(pa.array(list(map(readable, part.column(place).to_pylist())), pa.bool_()))
+                if lang is not None and sent.value.languages and part.column(lang).null_count:
+                    open_ = part.column(lang).is_null()
+                    texts = part.column(place).filter(open_).to_pylist()
+                    found = pa.array([language for language, _ in sent.value.predict(texts)], part.column(lang).type)
+                    filled = pc.replace_with_mask(part.column(lang), open_, found)
+                    part = part.set_column(lang, part.schema.field(lang), filled)
+                yield part
 
     return docs.mapInArrow(run, docs.schema)
 
