@@ -128,7 +128,7 @@ def test_prefixes_of_linked_sets_meet_under_every_order():
     import numpy as np
 
     rng = np.random.default_rng(5)
-    ranks = rng.integers(0, 40, 1 << ngram_join.COUNTER_BITS).astype(np.uint16)
+    ranks = rng.integers(0, 40, 1 << ngram_join.LEAST_BITS).astype(np.uint8)
     for _ in range(200):
         n = int(rng.integers(1, 200))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
@@ -136,7 +136,68 @@ def test_prefixes_of_linked_sets_meet_under_every_order():
         common = len(np.intersect1d(a, b))
         if common and 100 * common >= 90 * (len(a) + len(b) - common):
             for order in range(3):
-                assert len(np.intersect1d(*(ngram_join._prefix(s, ranks, order, (90, 100)) for s in (a, b))))
+                own = ranks if order == 0 else None
+                assert len(np.intersect1d(*(ngram_join._prefix(s, own, order, (90, 100)) for s in (a, b))))
+
+
+def test_counters_follow_the_tokens(spark, monkeypatch):
+    """Common tokens rank above rare ones, all documents are counted, and more text makes more counters."""
+    import numpy as np
+
+    rows = [(i, f"passage shared by many documents of this corpus w{i} x{i} y{i}") for i in range(300)]
+    docs = make(spark, [(i, t, "a") for i, t in rows]).repartition(4)
+    monkeypatch.setattr(ngram_join, "LEAST_BITS", 14)
+    ranks = ngram_join.token_ranks(docs, 3)
+    assert len(ranks) == 1 << 14
+    monkeypatch.setattr(ngram_join, "LOAD", 1)
+    monkeypatch.setattr(ngram_join, "TOKEN_BYTES", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK_BITS", 10)
+    monkeypatch.setattr(ngram_join, "LEAST_BITS", 11)
+    ranks = ngram_join.token_ranks(docs, 3)
+    bits = len(ranks).bit_length() - 1
+    assert bits == 15  # of some 16,500 bytes
+    counts = np.zeros(len(ranks))
+    for _, text in rows:
+        for token in ngram_join.tokens_of(text.encode(), 3):
+            counts[int(token) >> (64 - bits)] += 1
+    assert (ranks == np.minimum(np.rint(8 * np.log2(counts + 1)), 255)).all()
+    assert ranks.max() == 66 and len(ngram_join.token_ranks(make(spark, []), 3)) == 1 << 11
+
+
+def test_families_that_share_half_their_text_make_few_pairs(spark, monkeypatch):
+    """200 families of 10 documents with a passage in common, and in each two near copies."""
+    rng = random.Random(8)
+    rows = []
+    for family in range(200):
+        passage = [f"f{family}w{i}" for i in range(40)]
+        own = [[f"d{family}x{k}y{i}" for i in range(40)] for k in range(9)]
+        texts = [passage + o if rng.random() < 0.5 else o + passage for o in own]
+        texts.append(texts[0][:-1] + ["changed"])
+        rows += [(10 * family + k, " ".join(t)) for k, t in enumerate(texts)]
+    made = []
+    original = ngram_join._cross_pairs
+
+    def counted(*args):
+        made.append(original(*args).count())
+        return original(*args)
+
+    monkeypatch.setattr(ngram_join, "_cross_pairs", counted)
+    found = ngram_join.similar_groups(make(spark, [(i, t, "a") for i, t in rows]), 5, 80, 100)
+    groups = {r.doc_id: r.component_id for r in found.collect()}
+    assert groups == {i: i - 9 if i % 10 == 9 else i for i, _ in rows}
+    assert made[0] < 500  # all pairs within families would be 9,000
+
+
+@pytest.mark.parametrize("fruit", [0, 10**9])
+def test_star_rounds_change_nothing(spark, monkeypatch, fruit):
+    """Nodes tried first, once or as long as anything comes of it, leave the same groups."""
+    monkeypatch.setattr(ngram_join, "MOST_PAIRS", 0)
+    monkeypatch.setattr(ngram_join, "LEAST_FRUIT", fruit)
+    monkeypatch.setattr(ngram_join, "BANDS", 1)
+    monkeypatch.setattr(ngram_join, "BAND_HASHES", 6)
+    rows = near_copies(4)
+    found = ngram_join.similar_groups(make(spark, [(i, t, "a") for i, t in rows]))
+    assert plain(found, "doc_id", "n_shingles", "component_id") == groups_by_hand(rows)
 
 
 def test_one_per_group_keeps_all_columns(spark):

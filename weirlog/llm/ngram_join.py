@@ -4,14 +4,18 @@ Tokens are 64-bit hashes of word shingles. If two sets are similar enough, then
 one order of all tokens they share a token among their first few (their prefixes). So
 pairs are found by joining on prefix tokens under the first order, must share a prefix
 token under each further order too, and what is left is verified on the whole sets.
-The orders put rare tokens first: passages that many documents share come late and
-hardly ever lie in a prefix. How rare a token is, a table of counters of fixed size
-tells, to which all documents are counted; any such table gives a valid order.
+The first order puts rare tokens first: passages that many documents share come late and
+hardly ever lie in a prefix. How rare a token is, a table of counters tells, to which
+all documents are counted and whose size follows the number of tokens, so that what
+is common stands out as well in a large corpus; any such table gives a valid order. The
+further orders go by hashes alone, so they are independent of it and of each other.
 
 Hot groups never become pairs. Documents with one set are one node. Then nodes
 with common minima under some hashes are compared with one of them, the bucket's leader,
 which joins most of a large group of near copies. Only tokens that reach more than one
-component go on, and there only pairs across components are made.
+component go on. Where these would still make many pairs, nodes outside a token's largest
+component are compared with a few nodes inside it, which leaves few outside. At last all
+pairs across components are made.
 """
 
 from __future__ import annotations
@@ -32,12 +36,17 @@ from .components import components
 
 #: Words of a shingle, and the similarity of a link as a fraction.
 WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100
-#: Counters of the token table (a power of two).
-COUNTER_BITS = 18
+#: Tokens that a counter should hold, and the fewest and most counters as powers of two (a byte each where they are sent).
+LOAD, LEAST_BITS, MOST_BITS = 32, 16, 24
+#: Bytes of text for each token, for the number of counters, and counters that travel in one row.
+TOKEN_BYTES, BLOCK_BITS = 6, 14
 #: Further orders that a pair must pass.
 FURTHER_ORDERS = 2
 #: Leaders are found by common minima under hashes: so many bands, each of so many hashes.
 BANDS, BAND_HASHES = 2, 3
+#: Where tokens could make more pairs than so many a row, so many nodes of a token's main component are tried first,
+#: again as long as there is a link for so many rows.
+MOST_PAIRS, STARS, LEAST_FRUIT = 4, 2, 50
 #: Texts whose sets a worker holds at once.
 TEXTS = 500
 #: Words whose hashes a worker keeps.
@@ -90,11 +99,12 @@ def prefix_size(n: int, numerator: int, denominator: int) -> int:
     return n - -(-n * numerator // denominator) + 1
 
 
-def _prefix(tokens: np.ndarray, ranks: np.ndarray, order: int, share: tuple[int, int]) -> np.ndarray:
-    """The first tokens of a set under an order: by commonness, then by the order's hash, then by the token itself."""
+def _prefix(tokens: np.ndarray, ranks: np.ndarray | None, order: int, share: tuple[int, int]) -> np.ndarray:
+    """The first tokens of a set under an order: by commonness (where ranks are given), the order's hash, the token itself."""
     size = prefix_size(len(tokens), *share) if len(tokens) else 0
-    rank = ranks[tokens >> np.uint64(64 - COUNTER_BITS)].astype(np.uint64) << np.uint64(48)
-    key = rank | (_ordered(tokens, order) >> np.uint64(16))
+    key = _ordered(tokens, order)
+    if ranks is not None:
+        key = ranks[tokens >> np.uint64(65 - len(ranks).bit_length())].astype(np.uint64) << np.uint64(56) | (key >> np.uint64(8))
     if size < len(tokens):
         near = np.flatnonzero(key <= np.partition(key, size - 1)[size - 1])
         tokens, key = tokens[near], key[near]
@@ -119,27 +129,52 @@ def _bytes(docs: DataFrame) -> DataFrame:
 
 
 def token_ranks(docs: DataFrame, width: int) -> np.ndarray:
-    """For each counter how common its tokens are, on a scale of eight steps a doubling; all documents are counted."""
-    n = 1 << COUNTER_BITS
+    """For each counter how common its tokens are, on a scale of eight steps a doubling; all documents are counted.
+
+    Tasks send their counts in blocks of counters, which are added up block by block; the driver gets a byte per counter.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // (TOKEN_BYTES * LOAD)).bit_length()))
+    n, per_block = 1 << bits, 1 << BLOCK_BITS
+    most_waiting = max(n, 1 << 20)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, size = np.zeros(n, np.int64), [], 0
+        counts, waiting, size = np.zeros(n, np.int32), [], 0
+
+        def add() -> None:
+            found, times = np.unique(np.concatenate(waiting), return_counts=True)
+            counts[found] += times.astype(np.int32)
+
         for batch in _parts(batches):
             for text in batch.column(1):
-                waiting.append(tokens_of(text.as_py() or b"", width) >> np.uint64(64 - COUNTER_BITS))
+                waiting.append((tokens_of(text.as_py() or b"", width) >> np.uint64(64 - bits)).astype(np.uint32))
                 size += len(waiting[-1])
-                if size > n:
-                    counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=n)
+                if size > most_waiting:
+                    add()
                     waiting, size = [], 0
         if waiting:
-            counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=n)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["counter", "n"])
-
-    sums = _bytes(docs).mapInArrow(count, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
-    found = sums.toPandas()  # one row per counter at most
-    ranks = np.zeros(n, np.uint16)
-    ranks[found["counter"].to_numpy(np.int64)] = np.rint(8 * np.log2(found["n"].to_numpy(np.float64) + 1))
+            add()
+        for block in range(n // per_block):
+            own = counts[block * per_block : (block + 1) * per_block]
+            if own.any():
+                sent = own.astype(np.uint8 if own.max() < 256 else np.int32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sent], pa.binary())], names=["block", "counts"])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = counts.as_py()
+                own = np.frombuffer(data, np.uint8 if len(data) == per_block else np.int32)
+                sums[block] = sums.get(block, 0) + own.astype(np.int64)
+        for block, total in sums.items():
+            ranks = np.minimum(np.rint(8 * np.log2(total.astype(np.float64) + 1)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ranks.tobytes()], pa.binary())], names=["block", "counts"])
+
+    rows = _bytes(docs).mapInArrow(count, "block int, counts binary").repartition("block")
+    ranks = np.zeros(n, np.uint8)
+    for row in rows.mapInArrow(rank, "block int, counts binary").collect():  # a byte per counter in all
+        ranks[row.block * per_block : (row.block + 1) * per_block] = np.frombuffer(row.counts, np.uint8)
     return ranks
 
 
@@ -177,13 +212,13 @@ def _signatures(docs: DataFrame, ranks, width: int, share: tuple[int, int]) -> D
     return rows.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, ranks, width: int, share: tuple[int, int]) -> DataFrame:
-    """doc_id, the whole set, and its prefix under each further order."""
+def _sets(docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """doc_id, the whole set, and its prefix under each further order, which has no ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
             sets = [tokens_of(text.as_py() or b"", width) for text in batch.column(1)]
-            further = [_longs([_prefix(s, ranks.value, k, share) for s in sets]) for k in range(1, FURTHER_ORDERS + 1)]
+            further = [_longs([_prefix(s, None, k, share) for s in sets]) for k in range(1, FURTHER_ORDERS + 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), _longs(sets), *further], names=names)
 
     rows = _bytes(docs)
@@ -235,10 +270,10 @@ def _sharing_prefixes(pairs: DataFrame, nodes: DataFrame, share: tuple[int, int]
     return both.where(F.size(F.array_intersect("a_prefix", "b_prefix")) >= slack).select("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, ranks, width: int, share: tuple[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) that pass the filters of all orders and then are similar on their whole sets."""
     pairs = stored(_sharing_prefixes(pairs, nodes, share), "pairs")
-    sets = stored(_sets(docs.join(_ends(pairs, "doc_id"), "doc_id", "left_semi"), ranks, width, share), "sets")
+    sets = stored(_sets(docs.join(_ends(pairs, "doc_id"), "doc_id", "left_semi"), width, share), "sets")
     orders = [f"prefix_{k}" for k in range(1, FURTHER_ORDERS + 1)]
     filtered = _beside(pairs, sets, "doc_id", orders)
     for order in orders:
@@ -263,7 +298,43 @@ def _leader_pairs(nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
     return beside.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _cross_pairs(nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _prefix_rows(nodes: DataFrame) -> DataFrame:
+    """token, node, n, component, at and main of each prefix token that reaches more than one component.
+
+    main is the component with the most members of those that a token reaches.
+    """
+    rows = nodes.select("node", "n", "component", "members", F.posexplode("prefix").alias("at", "token"))
+    reach = rows.groupBy("token").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", "members").alias("main")
+    )
+    reach = reach.where("low < high").select("token", "main")
+    return stored(rows.join(reach, "token").select("token", "node", "n", "component", "at", "main"), "prefix-rows")
+
+
+def _pairs_ahead(rows: DataFrame) -> tuple[int, int]:
+    """How many pairs the tokens of ``rows`` can make at most across components, and the number of rows."""
+    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("component") != F.col("main")).alias("outer"))
+    total = sizes.agg(F.sum(F.col("all").cast("double") * F.col("outer")), F.sum("all")).first()
+    return int(total[0] or 0), int(total[1] or 0)
+
+
+def _star_pairs(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Each node outside a token's main component beside a few nodes of it: at most STARS pairs a row.
+
+    Every token has its own, by hashes of token and node, so a node meets as many different ones as it has
+    tokens, and hardly any that is similar to a part of the group stays apart from it.
+    """
+    inner = rows.where("component = main")
+    chosen = [F.min_by(F.struct("node", "n"), F.xxhash64(F.lit(k), "token", "node")) for k in range(STARS)]
+    stars = inner.groupBy("token").agg(F.array_distinct(F.array(*chosen)).alias("stars"))
+    beside = rows.where("component <> main").select("token", "node", "n").join(stars, "token")
+    beside = beside.select("node", "n", F.explode("stars").alias("star"))
+    beside = beside.select("node", "n", F.col("star.node").alias("star"), F.col("star.n").alias("star_n")).distinct()
+    beside = beside.where(_fits("n", "star_n", share))
+    return beside.select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
+
+
+def _cross_pairs(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Pairs of nodes of different components that share a token early enough under the first order.
 
     Of a token's rows, those outside its largest component are joined with all: every
@@ -274,13 +345,7 @@ def _cross_pairs(nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
     they share one of the first |x| - o + 1 of x that is one of the first |y| - o + 1 of y: a prefix
     cut to the pair, about half as long as the longest that a set may need.
     """
-    rows = nodes.select("node", "n", "component", "members", F.posexplode("prefix").alias("at", "token"))
-    reach = rows.groupBy("token").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", "members").alias("main")
-    )
-    reach = reach.where("low < high").select("token", "main")
     columns = ["node", "n", "component", "at"]
-    rows = stored(rows.join(reach, "token").select("token", *columns, "main"), "prefix-rows")
     outer = rows.where("component <> main").select("token", *(F.col(c).alias(f"o_{c}") for c in columns))
     once = (F.col("component") == F.col("main")) | (F.col("o_node") < F.col("node"))
     least = _least_common("n", "o_n", share)
@@ -324,9 +389,17 @@ def similar_groups(
     copies = size_checked(same.select(F.col("doc_id").alias("node"), "set_hash").distinct())
     nodes = firsts.join(copies, ["node", "set_hash"], "left_anti").drop("set_hash")
 
-    first_links = _verified(_leader_pairs(nodes, share), nodes, docs, ranks, width, share)
-    joined = _with_components(nodes, first_links)
-    links = first_links.unionByName(_verified(_cross_pairs(joined, share), nodes, docs, ranks, width, share))
+    first_links = _verified(_leader_pairs(nodes, share), nodes, docs, width, share)
+    links, fruitful = first_links, True
+    while True:
+        met = _prefix_rows(_with_components(nodes, links))
+        ahead, size = _pairs_ahead(met)
+        stars = fruitful and ahead > MOST_PAIRS * size
+        found = _verified(_star_pairs(met, share) if stars else _cross_pairs(met, share), nodes, docs, width, share)
+        links = links.unionByName(found)
+        if not stars:
+            break
+        fruitful = found.count() * LEAST_FRUIT > size
 
     found = size_checked(components(links))
     named = sets.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
