@@ -30,11 +30,13 @@ from pyspark.sql import types as T
 from .common import claim_worker, register_cache
 
 #: Words that a worker keeps; beyond it starts anew.
-CACHED = 250_000
+CACHED = 150_000
 #: Token rows that one recursion may make, and the steps that it may take.
 ROWS, STEPS = 2_000_000, 24
 #: Bytes of words that enter a recursion together, and texts and bytes that are put together by one query.
 WORD_BYTES, TEXTS, TEXT_BYTES = 1 << 17, 500, 1 << 20
+#: What a worker's database may take, and while it is at long words or texts.
+MEMORY, MEMORY_LONG = "120MB", "600MB"
 #: Characters of a word from which it is cut, and bytes from which all places of a pair are contracted in one step.
 LONG = 64
 
@@ -176,7 +178,7 @@ class Codec:
         self.byte_tokens = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         splits = ((t[:i], t[i:], rank) for t, rank in ranks.items() for i in range(1, len(t)))
         merges = [(ranks[a], ranks[b], rank) for a, b, rank in splits if a in ranks and b in ranks]
-        self.database = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.database = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         self._load("vocabulary", token=list(ranks.values()), hex=[t.hex() for t in ranks])
         left, right, merged = (list(c) for c in zip(*merges)) if merges else ([], [], [])
         self._load("merges", l=left, r=right, merged=merged, alone=[False] * len(merges))
@@ -312,6 +314,17 @@ class Codec:
         """The ids of each text, and the bytes that they decode to."""
         if self.kept > CACHED:
             self._forget()
+        if max(map(len, texts), default=0) <= TEXT_BYTES // 8:
+            return self._encode(texts)
+        self.database.execute(f"SET memory_limit = '{MEMORY_LONG}'")
+        try:
+            return self._encode(texts)
+        finally:
+            for table in ("steps", "entering", "last", "learned"):
+                self.database.execute(f"DROP TABLE IF EXISTS {table}")
+            self.database.execute(f"SET memory_limit = '{MEMORY}'")
+
+    def _encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
         words = [np.fromiter(map(self.numbers.__getitem__, part), np.int32, len(part)) for part in map(self.split, texts)]
         self._learn()
         said = [b""] * len(texts)
