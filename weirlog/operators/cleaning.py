@@ -7,19 +7,50 @@ removing duplicates needs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import default_if_blank, normalize_endpoint, to_number
+from ..functions.times import FORMATS, ISO, fitting_formats, parse_timestamp, split_half
 from ..schema import LOG_COLUMNS, UNKNOWN, UNKNOWN_ENDPOINT, UNKNOWN_SERVICE
 
 _LONG_LIMIT = float(2**63)
 
 
-def coerce(raw: DataFrame) -> DataFrame:
+def timestamp_formats(raw: DataFrame) -> DataFrame:
+    """How many raw timestamps fit each known format, and which format the column is taken to have.
+
+    A column has one format, and the first value that fits any decides which; where that value fits several,
+    the first of ``FORMATS`` does. First means first in the files, in the order of their names; rows
+    that come from no file are taken in the order of their partitions. One aggregate over one column; a
+    value that is ISO text is tried on no other format. All formats are listed, also if nothing fits.
+    """
+    place = F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id())
+    value, half = split_half(F.col("timestamp"))
+    is_iso = parse_timestamp(F.col("timestamp")).isNotNull()
+    values = raw.select(value.alias("value"), half.alias("half"), is_iso.alias("is_iso"), place.alias("place"))
+    formats = fitting_formats(F.col("value"), F.col("half"), F.col("is_iso"))
+    values = values.select(formats.alias("formats"), "place").where(F.size("formats") > 0)
+    counts = values.groupBy("formats").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+    each = counts.select("n", "place", F.posexplode("formats").alias("nth", "format"))
+    found = each.groupBy("format").agg(F.sum("n").alias("n_values"), F.min(F.struct("place", "nth")).alias("first"))
+    listed = raw.sparkSession.createDataFrame([(f,) for f in FORMATS], "format string")
+    used = F.min_by("format", "first").over(Window.partitionBy())  # one row per format
+    return listed.join(found, "format", "left").select(
+        "format", F.coalesce("n_values", F.lit(0)).alias("n_values"), F.col("format").eqNullSafe(used).alias("is_used")
+    )
+
+
+def infer_timestamp_format(raw: DataFrame) -> str:
+    """The format that the timestamps of ``raw`` are taken to have; ISO if no value fits any."""
+    used = timestamp_formats(raw).where("is_used").first()
+    return used["format"] if used else ISO
+
+
+def coerce(raw: DataFrame, timestamp_format: str = ISO) -> DataFrame:
     """Status and latency to DOUBLE, timestamp to TIMESTAMP_NTZ; failures become null."""
     return raw.select(
-        F.col("timestamp").try_cast("timestamp_ntz").alias("timestamp"),
+        parse_timestamp(F.col("timestamp"), timestamp_format).alias("timestamp"),
         "service_name",
         "endpoint",
         to_number(F.col("status_code")).alias("status_code"),
@@ -76,10 +107,10 @@ def deduplicate(df: DataFrame) -> DataFrame:
     return df.dropDuplicates(list(LOG_COLUMNS))
 
 
-def usable(raw: DataFrame) -> DataFrame:
+def usable(raw: DataFrame, timestamp_format: str = ISO) -> DataFrame:
     """Valid, normalised rows, copies included."""
     return (
-        raw.transform(coerce)
+        raw.transform(coerce, timestamp_format)
         .transform(keep_valid_status)
         .transform(keep_valid_latency)
         .transform(keep_valid_timestamp)
@@ -87,17 +118,17 @@ def usable(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean(raw: DataFrame) -> DataFrame:
-    return raw.transform(usable).transform(deduplicate)
+def clean(raw: DataFrame, timestamp_format: str = ISO) -> DataFrame:
+    return raw.transform(usable, timestamp_format).transform(deduplicate)
 
 
-def report(raw: DataFrame) -> DataFrame:
+def report(raw: DataFrame, timestamp_format: str = ISO) -> DataFrame:
     """One row of counters for a cleaning run, in one scan of the raw rows.
 
     Rows are first counted per distinct usable line (a null line stands for all
     dropped rows), which also gives the number of clean rows without a second pass.
     """
-    typed = raw.transform(coerce)
+    typed = raw.transform(coerce, timestamp_format)
     status_ok, latency_ok, time_ok = valid_status(), valid_latency(), valid_timestamp()
     flagged = typed.select(
         "*",
@@ -140,12 +171,12 @@ def report(raw: DataFrame) -> DataFrame:
     )
 
 
-def drop_counts(raw: DataFrame) -> DataFrame:
+def drop_counts(raw: DataFrame, timestamp_format: str = ISO) -> DataFrame:
     """The counters of ``report`` that need no duplicate removal: one scan, no shuffle.
 
     ``usable_rows`` counts copies, so duplicates are ``usable_rows`` minus clean rows.
     """
-    typed = raw.transform(coerce)
+    typed = raw.transform(coerce, timestamp_format)
     status_ok, latency_ok, time_ok = valid_status(), valid_latency(), valid_timestamp()
     kept = status_ok & latency_ok & time_ok
     return typed.agg(

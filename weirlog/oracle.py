@@ -6,6 +6,7 @@ functions, quantile_cont), not the way the Spark side computes it.
 
 from __future__ import annotations
 
+from .functions import times
 from .plans import prompts
 from .schema import LOG_COLUMNS
 from .sources.sample_views import CLEAN_COLUMNS, RAW_COLUMNS
@@ -507,6 +508,17 @@ def statements() -> dict[str, str]:
                 FROM coerced""",
         ),
         "cln_clean": over("cleaned", "SELECT * FROM cleaned"),
+        "cln_coerce_day_first": over("coerced", "SELECT * FROM coerced"),
+        "cln_clean_day_first": over("cleaned", "SELECT * FROM cleaned"),
+        "cln_timestamp_formats": over(
+            "coerced",
+            f"""SELECT format, CASE format WHEN 'dd/MM/yyyy' THEN n WHEN 'MM/dd/yyyy' THEN n_either ELSE 0 END AS n_values,
+                  format = CASE WHEN first_day <= 12 THEN 'MM/dd/yyyy' ELSE 'dd/MM/yyyy' END AS is_used
+                FROM (SELECT count(*) AS n, count(*) FILTER (WHERE day(timestamp) <= 12) AS n_either FROM coerced
+                      WHERE timestamp IS NOT NULL),
+                  (SELECT day(ts) AS first_day FROM events WHERE event_id % 97 <> 0 ORDER BY event_id LIMIT 1),
+                  (SELECT unnest([{", ".join(map(text, times.FORMATS))}]) AS format)""",
+        ),
         "lq_row_count": over("typed", "SELECT count(*) AS row_count FROM typed"),
         "lq_preview": over(
             "typed",

@@ -185,6 +185,22 @@ CLEANING = _over(
 )
 
 
+def _day_first(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw logs as written where the day comes first."""
+    swapped = F.regexp_replace("timestamp", r"^(\d{4})-(\d\d)-(\d\d)", "$3/$2/$1")
+    return sample_views.raw_logs(spark, folder).withColumn("timestamp", swapped)
+
+
+TIMES = _over(
+    _day_first,
+    {
+        "cln_timestamp_formats": cleaning.timestamp_formats,
+        "cln_coerce_day_first": lambda raw: cleaning.coerce(raw, "dd/MM/yyyy"),
+        "cln_clean_day_first": lambda raw: cleaning.clean(raw, "dd/MM/yyyy"),
+    },
+)
+
+
 def lq_raw_vs_clean(spark: SparkSession, folder: str) -> DataFrame:
     table = _typed(spark, folder)
     return quality.raw_vs_clean(table, quality.clean_stage1(table))
@@ -577,7 +593,7 @@ def _run(stream: DataFrame, action: jobs.Batch) -> None:
 
 def st_clean(spark: SparkSession, folder: str) -> DataFrame:
     out = fresh_path(spark, "stream-clean")
-    _run(sample_views.raw_log_stream(spark, folder), jobs.add_clean_rows_to(out))
+    _run(jobs.clean_stream(sample_views.raw_log_stream(spark, folder)), jobs.add_clean_rows_to(out))
     return jobs.clean_rows(spark, out)
 
 
@@ -598,7 +614,7 @@ def st_kpis(spark: SparkSession, folder: str) -> DataFrame:
 def st_incidents(spark: SparkSession, folder: str) -> DataFrame:
     """Incidents of windows of a day; every error-rate incident was acknowledged ten days after it began."""
     out, none = fresh_path(spark, "stream-incidents"), spark.createDataFrame([], "id string, status string, changed_at timestamp_ntz")
-    _run(sample_views.raw_log_stream(spark, folder), jobs.add_window_cells_to(out, "1 day"))
+    _run(jobs.clean_stream(sample_views.raw_log_stream(spark, folder)), jobs.add_window_cells_to(out, "1 day"))
     first = jobs.window_incidents(spark, out, none).where(F.col("trigger_type") == "high_error_rate")
     ten_days = F.expr("started_at + INTERVAL 10 DAYS")
     changes = durable(first.select("id", F.lit("acknowledged").alias("status"), ten_days.alias("changed_at")))
@@ -615,6 +631,7 @@ STREAMS: dict[str, Query] = {
 ALL: dict[str, Query] = {
     **SOURCES,
     **CLEANING,
+    **TIMES,
     **QUALITY,
     **FILTERS,
     **AGGREGATES,

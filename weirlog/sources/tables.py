@@ -192,11 +192,19 @@ class LogTables:
     def _stored(self, dataset_id: str) -> DataFrame:
         return self._table("api_logs").where(F.col("dataset_id") == dataset_id)
 
-    def ingest(self, path: str, name: str | None = None, force: bool = True, multi_line: bool = False) -> DataFrame:
+    def ingest(
+        self,
+        path: str,
+        name: str | None = None,
+        force: bool = True,
+        multi_line: bool = False,
+        timestamp_format: str | None = None,
+    ) -> DataFrame:
         """Read, check, clean and store a CSV; return one row with its counters.
 
         Without ``force`` a file name that is registered already is not loaded again:
-        the newest dataset of that name is returned.
+        the newest dataset of that name is returned. Unless a timestamp format is named, the first
+        value decides (see ``cleaning.timestamp_formats``).
         """
         file_name = posixpath.basename(path.rstrip("/"))
         if not force:
@@ -205,8 +213,9 @@ class LogTables:
                 return self._ingested(known["dataset_id"], known["row_count"], None)
         dataset_id = str(uuid.uuid4())
         raw = self.land_raw(read_raw_csv(self.spark, path, multi_line), dataset_id)
-        rows = self.persist_clean(cleaning.clean(raw), dataset_id, name or file_name, file_name)
-        return self._ingested(dataset_id, rows, cleaning.drop_counts(raw))
+        timestamp_format = timestamp_format or cleaning.infer_timestamp_format(raw)
+        rows = self.persist_clean(cleaning.clean(raw, timestamp_format), dataset_id, name or file_name, file_name)
+        return self._ingested(dataset_id, rows, cleaning.drop_counts(raw, timestamp_format))
 
     def _ingested(self, dataset_id: str, rows: int, counts: DataFrame | None) -> DataFrame:
         clean_rows = F.lit(rows).cast("bigint")

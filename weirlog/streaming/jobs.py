@@ -1,34 +1,42 @@
 """Streaming jobs over raw or clean request logs.
 
-A batch writes what it adds under its own number, so a batch that is run again replaces
-itself, and a reader puts the batches together. No state waits behind a watermark:
-rows count however late they come, and a result follows from the rows alone, not from
-how files fell into batches.
+A batch writes what it adds under its own number (see ``runs``), so a batch that is run again replaces
+itself, and a reader puts the batches together. Rows count however late they come, and a
+result follows from the rows alone, not from how files fell into batches.
+
+Copies are found in two ways. ``clean_stream`` keeps the ids of rows that arrived lately as state in
+RocksDB, behind a watermark on the time of arrival, which no row can be late for. A row whose own
+time is near its arrival cannot have come before what this state remembers. Only rows that are
+old when they arrive (or lie in the future) are compared with the stored rows of their months.
 
 Metric streams keep request counts per (day or window, keys, latency value), from which
-exact percentiles are made when the table is read. Every ``MERGE_EVERY`` batches the
-counts are added up into one folder, so the number of folders read stays bounded.
+exact percentiles are made when the table is read. Incident streams also keep the violations of
+each window, judged again only for windows that a batch touched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.numbers import round_table
 from ..operators import cleaning, incidents
 from ..operators.explore import with_log_id
 from ..operators.filters import month_of
+from ..operators.joins import size_checked
 from ..operators.metrics import LATENCY, kpis_of_cells, latency_cells, summarize
-from ..schema import LOG_COLUMNS, RAW_SCHEMA
+from ..schema import CLEAN_SCHEMA, LOG_COLUMNS, RAW_SCHEMA
 from ..sources.csv_logs import NULL_TOKENS
+from .runs import FAN_IN, Runs, latest, summed
 
-MERGE_EVERY = 16
 #: Length of the windows that incidents are detected in.
 WINDOW = "1 hour"
+#: Hours by which the time of a row may lie before and after its arrival (both UTC), for its copies to be found in state.
+BEHIND_HOURS, AHEAD_HOURS = 24, 24
 _CELL_COUNTS = ("n", "n_4xx", "n_5xx")
 Batch = Callable[[DataFrame, int], None]
 
@@ -53,34 +61,6 @@ def run_available(writer: DataStreamWriter) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-# Folders of batches
-
-
-def _folder(spark: SparkSession, path: str):
-    """The file system of a path and the path, as Hadoop objects."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
-    """Numbers of the finished folders ``kind=number`` below a path."""
-    files, where = _folder(spark, path)
-    if not files.exists(where):
-        return []
-    names = [(s.getPath(), s.getPath().getName()) for s in files.listStatus(where)]
-    done = [
-        name for at, name in names
-        if name.startswith(f"{kind}=") and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS"))
-    ]
-    return sorted(int(name.partition("=")[2]) for name in done)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    files, where = _folder(spark, path)
-    files.delete(where, True)
-
-
 # Counts
 
 
@@ -89,37 +69,27 @@ def cells_of_days(logs: DataFrame, *keys: str) -> DataFrame:
     return latency_cells(logs.withColumn("day", F.to_date("timestamp")), "day", *keys)
 
 
-def add_cells_to(path: str, cells_of: Callable[[DataFrame], DataFrame], merge_every: int = MERGE_EVERY) -> Batch:
-    """Write each batch's own counts under its number, and add finished batches up now and then.
+def _cell_runs(path: str, schema: T.StructType, fan_in: int = FAN_IN) -> Runs:
+    return Runs(path, schema, combine=summed(*_CELL_COUNTS), fan_in=fan_in)
 
-    The folders that a merge has read stay until the next merge, so that a batch that is
-    run again finds what it needs.
-    """
+
+def add_cells_to(path: str, cells_of: Callable[[DataFrame], DataFrame], merge_every: int = FAN_IN) -> Batch:
+    """Write each batch's own counts under its number; counts of finished batches are added up now and then."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cells_of(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        if (batch_id + 1) % merge_every == 0:
-            merged = current_cells(spark, path, batch_id, merged_before=batch_id)
-            merged.write.mode("overwrite").parquet(f"{path}/merged={batch_id}")
-            for kind in ("batch", "merged"):
-                for number in _numbers(spark, path, kind):
-                    if number <= batch_id - merge_every - (kind == "merged"):
-                        _delete(spark, f"{path}/{kind}={number}")
+        cells = cells_of(batch)
+        _cell_runs(path, cells.schema, merge_every).add(cells, batch_id)
 
     return write
 
 
-def current_cells(spark: SparkSession, path: str, upto: int | None = None, merged_before: int | None = None) -> DataFrame:
-    """The sum of all counts that batches (up to one) added: the latest merge and the batches after it."""
-    limit = float("inf") if upto is None else upto
-    below = float("inf") if merged_before is None else merged_before
-    merged = [n for n in _numbers(spark, path, "merged") if n <= limit and n < below][-1:]
-    batches = [n for n in _numbers(spark, path, "batch") if n <= limit and n > (merged or [-1])[0]]
-    paths = [f"{path}/merged={n}" for n in merged] + [f"{path}/batch={n}" for n in batches]
-    written = spark.read.parquet(*paths)
-    keys = [c for c in written.columns if c not in _CELL_COUNTS]
-    return written.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _CELL_COUNTS])
+def current_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The sum of all counts that batches added."""
+    folders = Runs(path, T.StructType()).folders(spark)
+    if not folders:
+        raise LookupError(f"no counts below {path}")
+    schema = spark.read.option("basePath", path).parquet(*folders).drop("run").schema
+    return summed(*_CELL_COUNTS)(_cell_runs(path, schema).read(spark))
 
 
 def daily_trend_of(cells: DataFrame) -> DataFrame:
@@ -140,51 +110,115 @@ def daily_kpis_of(cells: DataFrame) -> DataFrame:
 
 # Clean rows
 
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORED_ROWS = T.StructType(
+    [*CLEAN_SCHEMA.fields, T.StructField("log_id", T.StringType()), T.StructField("log_month", T.DateType())]
+)
+_EARLY_IDS = T.StructType([T.StructField("log_id", T.StringType()), T.StructField("log_month", T.DateType())])
+
 
-def add_clean_rows_to(path: str) -> Batch:
-    """Clean each raw batch and write the rows that no earlier batch has, by month.
+def clean_stream(raw: DataFrame, behind_hours: int = BEHIND_HOURS, ahead_hours: int = AHEAD_HOURS) -> DataFrame:
+    """Clean rows of a raw stream with log_id, log_month, and came: near, old or early.
 
-    Copies are found however far apart they come: a row is compared, by its id, with the
-    stored rows of its month only.
+    Of copies that arrive within behind_hours + ahead_hours only the first comes through: their ids are
+    kept that long as state in RocksDB. came tells how a row's own time (UTC) lies to its arrival.
+    A near row is at most behind_hours old and at most ahead_hours early, so a copy of it that came before
+    and was not early is still in the state.
     """
+    raw.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    rows = with_log_id(cleaning.usable(raw)).withColumn("log_month", month_of(F.col("timestamp")))
+    rows = rows.withColumn("arrived", F.current_timestamp()).withColumn("log_key", F.unhex("log_id"))
+    watermarked = rows.withWatermark("arrived", f"{behind_hours + ahead_hours} hours")
+    first = watermarked.dropDuplicatesWithinWatermark(["log_key"])
+    return first.select(*_STORED_ROWS.names, _came(F.col("arrived"), behind_hours, ahead_hours).alias("came"))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = with_log_id(cleaning.clean(batch)).withColumn("log_month", month_of(F.col("timestamp")))
-        earlier = _clean_rows_before(batch.sparkSession, path, batch_id)
-        if earlier is not None:
-            months = [r.log_month for r in rows.select("log_month").distinct().collect()]
-            known = earlier.where(F.col("log_month").isin(months)).select("log_id")
-            rows = rows.join(known, "log_id", "left_anti")
-        rows.write.mode("overwrite").partitionBy("log_month").parquet(f"{path}/batch={batch_id}")
 
-    return write
+def _came(arrived: Column, behind_hours: int, ahead_hours: int) -> Column:
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), arrived.cast("timestamp_ntz"))
+    ts = F.col("timestamp")
+    old = ts < utc - F.expr(f"INTERVAL {behind_hours} HOURS")
+    return F.when(old, "old").when(ts > utc + F.expr(f"INTERVAL {ahead_hours} HOURS"), "early").otherwise("near")
+
+
+def _row_runs(path: str, fan_in: int = FAN_IN) -> Runs:
+    return Runs(path, _STORED_ROWS, partition_by="log_month", fan_in=fan_in)
 
 
-def _clean_rows_before(spark: SparkSession, path: str, batch_id: int | None) -> DataFrame | None:
-    numbers = [n for n in _numbers(spark, path, "batch") if batch_id is None or n < batch_id]
-    filled = [f"{path}/batch={n}" for n in numbers if _has_months(spark, f"{path}/batch={n}")]
-    if not filled:
-        return None
-    parts = [spark.read.option("basePath", path).parquet(*filled)]
-    return parts[0].drop("batch")
+def _early_runs(path: str, fan_in: int = FAN_IN) -> Runs:
+    return Runs(f"{path}/early", _EARLY_IDS, fan_in=fan_in)
 
 
-def _has_months(spark: SparkSession, path: str) -> bool:
-    """A batch that added nothing has a folder without rows."""
-    files, where = _folder(spark, path)
-    return any(s.isDirectory() for s in files.listStatus(where))
+def _stored_ids(runs: Runs, spark: SparkSession, months: list, before: int) -> DataFrame:
+    """Ids of stored rows of some months: what old rows are compared with."""
+    return runs.read(spark, before).where(F.col("log_month").isin(months)).select("log_id")
+
+
+def add_clean_rows_to(path: str, merge_every: int = FAN_IN) -> Batch:
+    """Write the rows of each batch that no earlier batch has, by month.
+
+    A batch of ``clean_stream`` has had its state looked at: its near rows are new, and only old and early ones
+    are compared by id with the stored rows of their months. Near rows are compared with the ids of early
+    rows, of which there are hardly any. A batch of raw rows is cleaned first and compared as a whole.
+    """
+    runs, early = _row_runs(path, merge_every), _early_runs(path, merge_every)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if "came" not in batch.columns:
+            rows = with_log_id(cleaning.clean(batch)).withColumn("log_month", month_of(F.col("timestamp")))
+            batch = rows.withColumn("came", F.lit("old"))
+        batch = batch.persist()  # only saves reading the batch twice; lost parts are made again
+        try:
+            far = batch.where("came <> 'near'")
+            months = [r.log_month for r in far.select("log_month").distinct().collect()]
+            rows = batch
+            if months:
+                known = _stored_ids(runs, spark, months, batch_id).withColumn("of", F.lit("far"))
+                if early.folders(spark, batch_id):
+                    known = known.unionByName(early.read(spark, batch_id).select("log_id", F.lit("near").alias("of")))
+                of = F.when(F.col("came") == "near", "near").otherwise("far")
+                rows = batch.withColumn("of", of).join(known, ["log_id", "of"], "left_anti")
+            elif early.folders(spark, batch_id):
+                rows = batch.join(early.read(spark, batch_id).select("log_id"), "log_id", "left_anti")
+            ahead = far.where("came = 'early'").select("log_id", "log_month")
+            if not ahead.isEmpty() or early.folders(spark, batch_id):
+                early.add(ahead, batch_id)
+            runs.add(rows, batch_id)
+        finally:
+            batch.unpersist()
+
+    return write
 
 
 def clean_rows(spark: SparkSession, path: str) -> DataFrame:
     """All clean rows that ``add_clean_rows_to`` wrote."""
-    rows = _clean_rows_before(spark, path, None)
-    if rows is None:
+    runs = _row_runs(path)
+    if not runs.folders(spark):
         raise LookupError(f"no rows below {path}")
-    return rows.select(*LOG_COLUMNS)
+    return runs.read(spark).select(*LOG_COLUMNS)
 
 
 # Incidents
 
+_WINDOW_CELLS = T.StructType(
+    [
+        T.StructField("window_start", T.TimestampNTZType()),
+        T.StructField("service_name", T.StringType()),
+        T.StructField("endpoint", T.StringType()),
+        T.StructField(LATENCY, T.LongType()),
+        *(T.StructField(c, T.LongType()) for c in _CELL_COUNTS),
+        T.StructField("log_month", T.DateType()),
+    ]
+)
+_VIOLATIONS = T.StructType(
+    [
+        T.StructField("window_start", T.TimestampNTZType()),
+        *(T.StructField(c, T.StringType()) for c in ("title", "severity", "service", "trigger_type", "description")),
+        T.StructField("version", T.LongType()),
+        T.StructField("log_month", T.DateType()),
+    ]
+)
+
 
 def cells_of_windows(logs: DataFrame, length: str = WINDOW) -> DataFrame:
     """Request counts per window of event time, service, endpoint and latency value."""
@@ -192,27 +226,52 @@ def cells_of_windows(logs: DataFrame, length: str = WINDOW) -> DataFrame:
     return latency_cells(logs.withColumn("window_start", start), "window_start", "service_name", "endpoint")
 
 
-def add_window_cells_to(path: str, length: str = WINDOW) -> Batch:
-    """Clean a raw batch, keep the rows that are new, and add their counts per window."""
-    add_rows = add_clean_rows_to(f"{path}/rows")
+def _window_runs(path: str, fan_in: int) -> tuple[Runs, Runs]:
+    """Counts of windows, and the violations of each window, of which the last judgement counts."""
+    cells = Runs(f"{path}/cells", _WINDOW_CELLS, "log_month", summed(*_CELL_COUNTS), fan_in)
+    return cells, Runs(f"{path}/violations", _VIOLATIONS, "log_month", latest("window_start", "version"), fan_in)
+
+
+def add_window_cells_to(path: str, length: str = WINDOW, merge_every: int = FAN_IN) -> Batch:
+    """Keep the new rows of each batch, add their counts per window, and judge the windows that got some.
 
-    def new_rows(batch: DataFrame, batch_id: int) -> DataFrame:
-        spark, own = batch.sparkSession, f"{path}/rows/batch={batch_id}"
-        rows = spark.read.parquet(own) if _has_months(spark, own) else cleaning.clean(batch.limit(0))
-        return rows.select(*LOG_COLUMNS)
+    Takes batches of ``clean_stream`` or of raw rows. What is read is the batch's windows in the counts of their
+    months: the cost of a batch follows from its rows and not from how much came before.
+    """
+    add_rows = add_clean_rows_to(f"{path}/rows", merge_every)
+    rows = _row_runs(f"{path}/rows", merge_every)
+    cells, violations = _window_runs(path, merge_every)
+    month = month_of(F.col("window_start"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         add_rows(batch, batch_id)
-        add_cells_to(f"{path}/cells", lambda b: cells_of_windows(new_rows(b, batch_id), length))(batch, batch_id)
+        own = cells_of_windows(rows.batch(spark, batch_id).select(*LOG_COLUMNS), length)
+        cells.add(own.withColumn("log_month", month), batch_id)
+        windows = size_checked(cells.batch(spark, batch_id).select("window_start", "log_month").distinct())
+        months = [r.log_month for r in windows.select("log_month").distinct().collect()]
+        touched = cells.read(spark, batch_id + 1).where(F.col("log_month").isin(months))
+        touched = touched.join(windows.select("window_start"), "window_start", "left_semi").drop("log_month")
+        whole = summed(*_CELL_COUNTS)(touched).withColumn("is_current", F.lit(True))
+        found = incidents.violations_of_cells(whole, False, by=("window_start",))
+        # A window without violations has a row that says so, which takes the place of earlier ones.
+        judged = windows.select("window_start").join(found, "window_start", "left")
+        judged = judged.withColumns({"version": F.lit(batch_id).cast("bigint"), "log_month": month})
+        violations.add(judged, batch_id)
 
     return write
 
 
+def window_violations(spark: SparkSession, path: str) -> DataFrame:
+    """Violated rules of all windows, each judged by all its rows so far."""
+    _, violations = _window_runs(path, FAN_IN)
+    rows = latest("window_start", "version")(violations.read(spark))
+    return rows.where("service IS NOT NULL").drop("version", "log_month")
+
+
 def window_incidents(spark: SparkSession, path: str, changes: DataFrame) -> DataFrame:
-    """Incidents by the counts of all windows and the status changes (id, status, changed_at) made so far.
+    """Incidents by the violations of all windows and the status changes (id, status, changed_at) made so far.
 
-    A window is judged by all its rows, so late ones change its violations.
+    Only violations are read, no counts. A window is judged by all its rows, so late ones change its violations.
     """
-    cells = current_cells(spark, f"{path}/cells").withColumn("is_current", F.lit(True))
-    found = incidents.violations_of_cells(cells, False, by=("window_start",))
-    return incidents.incidents_of_windows(found, changes)
+    return incidents.incidents_of_windows(window_violations(spark, path), changes)
