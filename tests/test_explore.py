@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from conftest import rows_of
 from pyspark.sql import functions as F
 
 from weirlog.operators import explore
@@ -60,3 +61,16 @@ def test_page_limits(logs):
             explore.log_page(logs, page, limit)
     assert explore.page_count(logs.where("false")).first()[0] == 1
     assert explore.page_count(logs.limit(26)).first()[0] == 2
+
+
+def test_walking_by_cursor_equals_pages_by_number(logs):
+    rows = explore.with_log_id(logs.distinct())
+    page = None
+    for number in range(1, 6):
+        page = explore.next_page(rows, page, limit=40)
+        assert rows_of(page) == rows_of(explore.log_page(rows, number, 40).drop("total")), number
+    few = rows.limit(50).persist()
+    first = explore.next_page(few, None, 40)
+    second = explore.next_page(few, first, 40)
+    assert (first.count(), second.count(), explore.next_page(few, second, 40).count()) == (40, 10, 0)
+    assert explore.next_page(few, explore.next_page(few, second, 40), 40).count() == 0

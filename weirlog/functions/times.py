@@ -71,3 +71,9 @@ def fitting_formats(value: Column, half: Column, is_iso: Column) -> Column:
     """Names of the ``FORMATS`` that a value (see ``split_half``) fits, in their order; ISO text is tried on no other."""
     fits = [F.when(_parsed(value, half, name).isNotNull(), F.lit(name)) for name in DATE_FORMATS]
     return F.when(is_iso, F.array(F.lit(ISO))).otherwise(F.array_compact(F.array(*fits)))
+
+
+def wall_clock_micros(ts: Column) -> Column:
+    """Microseconds since 1970 on the clock that a TIMESTAMP_NTZ shows."""
+    seconds = (F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)) * 3600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")

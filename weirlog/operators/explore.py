@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import LOG_COLUMNS
+from ..sources.shared import durable
 
 PAGE_SIZE = 25
 SEEK_FROM_ROW = 10_000
@@ -113,11 +114,23 @@ def log_page(logs: DataFrame, page: int = 1, limit: int = 50) -> DataFrame:
 
 def log_page_after(logs: DataFrame, timestamp: datetime, log_id: str, limit: int = 50) -> DataFrame:
     """The page that follows a known last row: a filter instead of an offset."""
-    ts = F.lit(timestamp).cast("timestamp_ntz")
+    ts = F.lit(str(timestamp)).cast("timestamp_ntz")  # as text: a literal instant would depend on zones
     later = (F.col("timestamp") < ts) | ((F.col("timestamp") == ts) & (F.col("log_id") > log_id))
     return logs.where(later).orderBy(*_newest_first(logs)).limit(limit)
 
 
+def next_page(logs: DataFrame, page: DataFrame | None, limit: int = 50) -> DataFrame:
+    """The page behind a page that was given out (None: the first), by the time and id of its last row.
+
+    The page is kept, so walking on does not find it again. Behind the last page there is an empty one.
+    """
+    last = page.orderBy(F.col("timestamp").asc(), F.col("log_id").desc()).first() if page is not None else None
+    if page is not None and last is None:
+        return page
+    behind = log_page_after(logs, last["timestamp"], last["log_id"], limit) if last else logs.orderBy(*_newest_first(logs)).limit(limit)
+    return durable(behind)
+
+
 def log_get(logs: DataFrame, log_id: str | Column) -> DataFrame:
     return logs.where(F.col("log_id") == log_id)
 

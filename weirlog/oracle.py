@@ -445,6 +445,8 @@ def statements() -> dict[str, str]:
           FROM logs GROUP BY {{keys}}))"""
     day = "CAST(CAST(timestamp AS DATE) AS VARCHAR)"
     trend = f"SELECT {day} AS date, {TREND} FROM logs GROUP BY date"
+    fields = ["''", *(f"CAST({c} AS VARCHAR)" for c in LOG_COLUMNS)]
+    log_id = f"md5({' || '.join(f"coalesce(length({f}) || ':' || {f}, '-')" for f in fields)})"
     incident_columns = (
         "id, title, severity, service, started_at, trigger_type, description, created_at"
     )
@@ -820,6 +822,12 @@ def statements() -> dict[str, str]:
                 WHERE service_name = 'user-service') ORDER BY timestamp DESC, {", ".join(LOG_COLUMNS[1:])}
                 LIMIT 50 OFFSET 100""",
         ),
+        "log_page_after": over(
+            "logs",
+            f"""SELECT {LOG}, CAST((place - 1) // 50 + 1 AS INT) AS page FROM (
+                SELECT *, row_number() OVER (ORDER BY timestamp DESC, {log_id}) AS place FROM (SELECT DISTINCT * FROM logs))
+                WHERE place <= 250""",
+        ),
         "log_page_far": over(
             "logs",
             f"""SELECT *, (SELECT count(*) FROM logs) AS total FROM logs
@@ -867,6 +875,18 @@ def statements() -> dict[str, str]:
         # Streams
         "st_clean": over("cleaned", "SELECT * FROM cleaned"),
         "st_daily_trend": over("logs", trend),
+        "st_daily_trend_windows": over(
+            "logs",
+            f"""SELECT {day} AS date, count(*) AS requests, {TREND} FROM logs GROUP BY date
+                HAVING max(CAST(timestamp AS DATE)) + INTERVAL 2 DAY <= (SELECT max(timestamp) FROM logs)""",
+        ),
+        "st_kpis_sketched": over(
+            "logs",
+            f"""SELECT service_name, count(*) AS total_requests, {fig(ERR)} AS error_rate_percent,
+                {fig("100 - " + ERR)} AS availability_percent, {fig(AVG)} AS avg_latency_ms,
+                max(response_time_ms) AS max_latency_ms, count(*) FILTER (WHERE response_time_ms > 1000) AS slow_requests,
+                count(DISTINCT endpoint) AS endpoints, true AS ranks_close FROM logs GROUP BY service_name""",
+        ),
         "st_kpis": over(
             "logs",
             f"""SELECT {day} AS day, service_name, {kpi_columns("1::BIGINT")} FROM logs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from .functions import labels, status
 from .functions.numbers import percent_change, round_figure, round_table
 from .functions.status import is_error
 from .functions.text import default_if_blank, normalize_endpoint
-from .operators import cleaning, compare, explore, filters, incidents, metrics, outliers, quality, scores
+from .operators import cleaning, compare, explore, filters, incidents, metrics, outliers, quality, scores, sketches
 from .plans import contexts, prompts
 from .schema import LOG_COLUMNS, UNKNOWN, UNKNOWN_SERVICE
 from .sources import csv_logs, sample_views, tables
@@ -501,10 +502,21 @@ def _first_log(logs: DataFrame) -> DataFrame:
     return explore.log_get(with_id, wanted).drop("log_id")
 
 
+def _walked_pages(logs: DataFrame) -> DataFrame:
+    """Pages 1 to 5 of different rows, each found from the last row of the one before."""
+    rows, page = explore.with_log_id(logs.distinct()), None
+    walked = []
+    for number in range(1, 6):
+        page = explore.next_page(rows, page, limit=50)
+        walked.append(page.withColumn("page", F.lit(number)))
+    return reduce(DataFrame.unionByName, walked).drop("log_id")
+
+
 EXPLORE = _over(
     sample_views.logs,
     {
         "log_page": lambda logs: explore.log_page(filters.filter_logs(logs, service="user-service"), page=3, limit=50),
+        "log_page_after": _walked_pages,
         "log_page_far": lambda logs: explore.log_page(logs, page=500, limit=25),
         "log_get": _first_log,
         "log_page_count": explore.page_count,
@@ -621,10 +633,31 @@ def st_incidents(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.window_incidents(spark, out, changes)
 
 
+def st_daily_trend_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Days that the watermark has passed, as an event-time aggregate gives them out."""
+    out, progress = fresh_path(spark, "stream-windows"), fresh_path(spark, "progress")
+    jobs.run_available(jobs.append_to(jobs.daily_trend_stream(sample_views.log_stream(spark, folder)), out, progress))
+    return _day_text(lambda df: df, "date")(spark.read.parquet(out))
+
+
+def st_kpis_sketched(spark: SparkSession, folder: str) -> DataFrame:
+    """KPIs per service from merged sketches of its days, and whether ranks of quantiles are off by less than one in a hundred."""
+    out, keys = fresh_path(spark, "stream-sketches"), ("service_name",)
+    _run(sample_views.log_stream(spark, folder), jobs.add_sketches_to(out, *keys))
+    merged = durable(sketches.merge_sketches(jobs.current_sketches(spark, out, *keys), *keys))
+    figures = sketches.figures_of_sketches(merged, *keys)
+    errors = sketches.rank_errors(figures, sample_views.logs(spark, folder), *keys)
+    close = errors.groupBy(*keys).agg(F.bool_and(F.col("rank_error") < 0.01).alias("ranks_close"))
+    approximate = [f"{name}_latency_ms" for name in sketches.QUANTILES]
+    return figures.drop(*approximate).join(close, list(keys))
+
+
 STREAMS: dict[str, Query] = {
     "st_clean": st_clean,
     "st_daily_trend": st_daily_trend,
+    "st_daily_trend_windows": st_daily_trend_windows,
     "st_kpis": st_kpis,
+    "st_kpis_sketched": st_kpis_sketched,
     "st_incidents": st_incidents,
 }
 

@@ -24,11 +24,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.numbers import round_table
+from ..functions.times import wall_clock_micros
 from ..operators import cleaning, incidents
 from ..operators.explore import with_log_id
 from ..operators.filters import month_of
 from ..operators.joins import size_checked
 from ..operators.metrics import LATENCY, kpis_of_cells, latency_cells, summarize
+from ..operators.sketches import merge_sketches, request_sketches
 from ..schema import CLEAN_SCHEMA, LOG_COLUMNS, RAW_SCHEMA
 from ..sources.csv_logs import NULL_TOKENS
 from .runs import FAN_IN, Runs, latest, summed
@@ -275,3 +277,70 @@ def window_incidents(spark: SparkSession, path: str, changes: DataFrame) -> Data
     Only violations are read, no counts. A window is judged by all its rows, so late ones change its violations.
     """
     return incidents.incidents_of_windows(window_violations(spark, path), changes)
+
+
+# Windows behind a watermark
+
+
+def daily_trend_stream(logs: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Daily requests, avg, p95, p99 and max as an event-time aggregate, for append mode.
+
+    A day is given out once, when the watermark (the latest event time less the delay) has passed its end, and its state
+    is dropped then. The state of a day is its distinct latency values with counts. Rows of days that are
+    given out already count no more here: ``late_requests`` says how many they are.
+    """
+    instant = F.timestamp_micros(wall_clock_micros(F.col("timestamp")))  # watermarks want an instant: the wall clock as UTC
+    days = logs.withColumn("event_time", instant).withWatermark("event_time", delay)
+    ms = F.col(LATENCY)
+    sums = days.groupBy(F.window("event_time", "1 day").alias("day")).agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.sum(ms).alias("sum_ms"),
+        F.percentile(ms, [0.95, 0.99]).alias("pct_ms"),
+        F.max(ms).cast("double").alias("max_ms"),
+    )
+    return sums.select(
+        F.date_from_unix_date((F.unix_seconds(F.col("day.start")) / 86_400).cast("int")).alias("date"),
+        "requests",
+        round_table(F.col("sum_ms") / F.col("requests")).alias("avg_latency_ms"),
+        round_table(F.col("pct_ms")[0]).alias("p95_latency_ms"),
+        round_table(F.col("pct_ms")[1]).alias("p99_latency_ms"),
+        round_table(F.col("max_ms")).alias("max_latency_ms"),
+    )
+
+
+def late_requests(trend: DataFrame, cells: DataFrame) -> DataFrame:
+    """date and late: requests that came after their day was given out.
+
+    ``cells`` are the counts per day that ``add_cells_to`` keeps of the same stream, which
+    take rows however late they come.
+    """
+    counted = cells.groupBy(F.col("day").alias("date")).agg(F.sum("n").alias("counted"))
+    late = trend.select("date", "requests").join(counted, "date").withColumn("late", F.col("counted") - F.col("requests"))
+    return late.where("late > 0").select("date", "late")
+
+
+# Sketches
+
+
+def _sketch_runs(path: str, schema: T.StructType, keys: tuple[str, ...], fan_in: int = FAN_IN) -> Runs:
+    return Runs(path, schema, combine=lambda rows: merge_sketches(rows, *keys), fan_in=fan_in)
+
+
+def add_sketches_to(path: str, *keys: str, merge_every: int = FAN_IN) -> Batch:
+    """Write each batch's sketches per day and key; those of finished batches are merged now and then."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        days = batch.withColumn("day", F.to_date("timestamp"))
+        sketches = request_sketches(days, "day", *keys)
+        _sketch_runs(path, sketches.schema, ("day", *keys), merge_every).add(sketches, batch_id)
+
+    return write
+
+
+def current_sketches(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """Sketches per day and key of all that batches added."""
+    folders = Runs(path, T.StructType()).folders(spark)
+    if not folders:
+        raise LookupError(f"no sketches below {path}")
+    schema = spark.read.option("basePath", path).parquet(*folders).drop("run").schema
+    return merge_sketches(_sketch_runs(path, schema, ("day", *keys)).read(spark), "day", *keys)
