@@ -50,13 +50,15 @@ CLASSES = (
 #: For each set of kinds the bits of its class.
 _BITS = [next(bits for _, held, bits in CLASSES if any(kinds | h == h for h in held)) for kinds in range(64)]
 #: Parts of candidates that are known not to be secrets; what stands before and behind them is looked at by itself.
-ALLOWED_PARTS = re.compile(
+_ALLOWED_PARTS = re.compile(
     r"""(?<![0-9a-f])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-f])  # uuid
     | wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY  # the key that manuals show
-    | [A-Za-z0-9]*(?i:example|sample|dummy|placeholder)[A-Za-z0-9]*
     | =""",
     re.VERBOSE,
 )
+#: Words that make the whole run of letters and digits around them an example.
+_EXAMPLE_WORDS = re.compile("example|sample|dummy|placeholder", re.IGNORECASE)
+_OUTSIDE_RUN = re.compile("[^A-Za-z0-9]")
 #: Words joined by marks: only words as long as a window are looked at.
 _WORDS = re.compile(r"[A-Za-z]+([_/-]+[A-Za-z]+)+")
 _LONG_WORD = re.compile(rf"[A-Za-z]{{{WINDOW},}}")
@@ -109,10 +111,34 @@ def window_bits(candidate: str, window: int = WINDOW) -> Iterator[float | None]:
             yield _BITS[held]
 
 
+def allowed_parts(candidate: str) -> list[tuple[int, int]]:
+    """Spans of the allowed parts, from the left and not overlapping, in time that follows the candidate's length.
+
+    Example words are found bare and widened to the ends of their run, once a run.
+    """
+    spans = [(*m.span(), m.start()) for m in _ALLOWED_PARTS.finditer(candidate)]
+    end = 0
+    for word in _EXAMPLE_WORDS.finditer(candidate):
+        if word.start() >= end:
+            begin = max((m.end() for m in _OUTSIDE_RUN.finditer(candidate, end, word.start())), default=end)
+            behind = _OUTSIDE_RUN.search(candidate, word.end())
+            end = behind.start() if behind else len(candidate)
+            spans.append((begin, end, word.start()))
+        else:  # the last word of a run says whether what another part leaves of it still has one
+            spans[-1] = (*spans[-1][:2], word.start())
+    apart: list[tuple[int, int]] = []
+    at = 0
+    for begin, end, last in sorted(spans):
+        if last >= at:
+            apart.append((max(begin, at), end))
+            at = end
+    return apart
+
+
 def _stretches(candidate: str, window: int) -> Iterator[tuple[int, str]]:
     """(start, text) of what is left of a candidate to look at, cut at '=' and at allowed parts."""
     at = 0
-    for start, end in [*(m.span() for m in ALLOWED_PARTS.finditer(candidate)), (len(candidate), len(candidate))]:
+    for start, end in [*allowed_parts(candidate), (len(candidate), len(candidate))]:
         part = candidate[at:start]
         if len(part) >= window and not _REPEATED.fullmatch(part):
             if _WORDS.fullmatch(part):
