@@ -105,3 +105,14 @@ def test_long_conversations_and_awkward_rows(spark, monkeypatch):
 
 def test_rendering_breaks_up_control_marks():
     assert chat.rendered("user", " a <|end|> b ") == "<|user|>\na < |end|> b\n<|end|>"
+
+
+def test_all_roles_are_learned(spark):
+    """Eleven roles that follow each other in a circle, each with its own length of lines."""
+    roles = [f"role{i:02d}" for i in range(11)]
+    rows = [(c, t, roles[(c + t) % 11], "w" * (1 << (c + t) % 11)) for c in range(40) for t in range(22)]
+    conversations = make(spark, rows)
+    model = chat.learn(conversations)
+    assert model.roles == roles
+    found = {(r.conv_id, r.turn): r.role for r in chat.format_turns(conversations, model).collect()}
+    assert all(found[c, t] == role for c, t, role, _ in rows)

@@ -27,8 +27,6 @@ from .common import stored
 
 #: Turn numbers of a chunk.
 CHUNK = 256
-#: Roles that are told apart; rarer ones are not learned.
-MOST_ROLES = 8
 #: Names that speakers go by in transcripts.
 SPEAKERS = {
     "user": ("user", "human", "customer", "question", "q"),
@@ -193,12 +191,14 @@ def _learning_rows(conversations: DataFrame) -> DataFrame:
 
 
 def learn(conversations: DataFrame) -> RoleModel:
-    """Counts over all labelled conversations that are not held out; only counts come to the driver."""
+    """Counts over all labelled conversations that are not held out; only counts come to the driver.
+
+    Every role that occurs is learned: the model has two states a role, a chunk's matrix the square of that.
+    """
     rows = _learning_rows(conversations)
-    top = rows.groupBy("role").count().orderBy(F.desc("count"), "role").limit(MOST_ROLES).collect()
-    roles = sorted(r.role for r in top) or ["user"]
+    roles = sorted(r.role for r in rows.select("role").distinct().collect()) or ["user"]
     n = len(roles)
-    rows = rows.where(F.col("role").isin(roles)).withColumn("chunk", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK))
+    rows = rows.withColumn("chunk", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK))
     before = F.lag("role").over(Window.partitionBy("conv_id", "chunk").orderBy("turn", "text", "role"))
     first, follow = np.zeros(n), np.zeros((n, n))
     for row in rows.withColumn("before", before).groupBy("chunk", "before", "role").count().groupBy(
