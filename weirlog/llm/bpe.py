@@ -146,6 +146,12 @@ def splitter(pattern: str):
     return split
 
 
+def _merges(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
+    """(left, right, merged) of all two tokens that make a third."""
+    splits = ((t[:i], t[i:], rank) for t, rank in ranks.items() for i in range(1, len(t)))
+    return [(ranks[a], ranks[b], rank) for a, b, rank in splits if a in ranks and b in ranks]
+
+
 def _inside(ranks: dict[bytes, int]) -> np.ndarray:
     """For each two bytes whether some token holds them side by side."""
     found = np.zeros(1 << 16, bool)
@@ -172,17 +178,16 @@ class Codec:
         import duckdb
 
         ranks = load_ranks(path)
+        merges = _merges(ranks)
         self.pieces = splitter(pattern)
         self.meets = _inside(ranks)
         self.tokens = np.fromiter(ranks.values(), np.int32, len(ranks))
         self.byte_tokens = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        splits = ((t[:i], t[i:], rank) for t, rank in ranks.items() for i in range(1, len(t)))
-        merges = [(ranks[a], ranks[b], rank) for a, b, rank in splits if a in ranks and b in ranks]
         self.database = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         self._load("vocabulary", token=list(ranks.values()), hex=[t.hex() for t in ranks])
         left, right, merged = (list(c) for c in zip(*merges)) if merges else ([], [], [])
         self._load("merges", l=left, r=right, merged=merged, alone=[False] * len(merges))
-        self.merges, self.alone_known = merges, False
+        self.alone_known = False
         self.database.execute("CREATE TABLE words (word INTEGER, said VARCHAR)")
         self.ranks = ranks
         self._forget()
@@ -238,7 +243,8 @@ class Codec:
         contracted when a higher pair's turn comes, so that one cannot become part of M. What is left are tokens
         that their own bytes do not contract to.
         """
-        below = {merged for *parts, merged in self.merges if max(parts) > merged}
+        merges = _merges(self.ranks)
+        below = {merged for *parts, merged in merges if max(parts) > merged}
         words = [(token, text) for text, token in self.ranks.items() if token in below]
         never: set[int] = set()
         for start in range(0, len(words), TEXTS * 16):
@@ -248,7 +254,7 @@ class Codec:
             self.database.execute(_LAST)
             apart = "SELECT word FROM steps SEMI JOIN last USING (word, depth) GROUP BY word HAVING count(*) > 1"
             never.update(word for (word,) in self.database.sql(apart).fetchall())
-        alone = {part for *parts, merged in self.merges if merged in never for part in parts if part > merged}
+        alone = {part for *parts, merged in merges if merged in never for part in parts if part > merged}
         self._register(pa.table({"token": pa.array(sorted(alone), pa.int32())}))
         self.database.execute("UPDATE merges SET alone = true WHERE merged IN (SELECT token FROM given)")
         self.alone_known = True

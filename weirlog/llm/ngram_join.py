@@ -46,7 +46,7 @@ FURTHER_ORDERS = 2
 BANDS, BAND_HASHES = 2, 3
 #: Where tokens could make more pairs than so many a row, so many nodes of a token's main component are tried first,
 #: again as long as there is a link for so many rows.
-MOST_PAIRS, STARS, LEAST_FRUIT = 4, 2, 50
+MOST_PAIRS, STARS, LEAST_FRUIT = 16, 2, 50
 #: Texts whose sets a worker holds at once.
 TEXTS = 500
 #: Words whose hashes a worker keeps.
