@@ -141,6 +141,27 @@ def test_pages_read_the_months_they_lie_in(store, logs):
     assert any("log_month" in part for part in read_filters)
 
 
+def test_a_service_lies_in_few_files_of_a_month(spark, store, make_logs, tmp_path):
+    """Of a month with many files, a filter on a service needs the row groups of few; they are told by their statistics."""
+    base = make_logs(*({"service_name": f"s{i}", "endpoint": f"/e{j}"} for i in range(8) for j in range(5)))
+    many = base.crossJoin(spark.range(2500)).withColumn("response_time_ms", F.xxhash64("id", "endpoint")).drop("id")
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.shuffle.partitions": "32"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        store.persist_clean(many, "d1", "n", "f.csv")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    groups = duckdb.sql(
+        f"""SELECT count(*), count(*) FILTER (WHERE stats_min_value <= 's3' AND stats_max_value >= 's3')
+            FROM parquet_metadata('{tmp_path}/db/api_logs/**/*.parquet') WHERE path_in_schema = 'service_name'"""
+    ).fetchall()[0]
+    assert groups[0] >= 4 and groups[1] <= groups[0] / 3, groups
+    assert filters.filter_logs(store.scan("d1"), service="s3").count() == 12_500
+
+
 def test_id_lookup_has_bloom_filters(store, logs, tmp_path):
     store.persist_clean(logs.where("year(timestamp) = 1996"), "d1", "n", "f.csv")
     wanted = store.scan().first()

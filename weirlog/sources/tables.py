@@ -109,14 +109,14 @@ class LogTables:
     def persist_clean(self, cleaned: DataFrame, dataset_id: str, name: str, file_name: str) -> int:
         """Store clean rows under a dataset, then register it; return the row count.
 
-        Rows are gathered by month for writing; adaptive execution splits large months
-        over several tasks and merges small ones. Within each file rows are sorted by
-        service and endpoint, so that row-group statistics can skip most of a file for
-        a filter on either.
+        Rows are gathered by month and service for writing; adaptive execution splits large
+        groups over several tasks and merges small ones, so a service lies in few files of a
+        month. Within each file rows are sorted by service and endpoint, so that row-group
+        statistics can skip most of what is left for a filter on either.
         """
         tagged = with_log_id(cleaned.withColumn("dataset_id", F.lit(dataset_id)))
-        monthly = tagged.withColumn("log_month", month_of(F.col("timestamp"))).hint("rebalance", "log_month")
-        ordered = monthly.sortWithinPartitions("log_month", "service_name", "endpoint", "timestamp")
+        monthly = tagged.withColumn("log_month", month_of(F.col("timestamp")))
+        ordered = monthly.hint("rebalance", "log_month", "service_name").sortWithinPartitions("log_month", "service_name", "endpoint", "timestamp")
         self._drop_partitions("datasets", dataset_id)  # not seen while rows and counts are replaced
         self._replace_dataset(ordered, "api_logs", dataset_id)
         rows = self._recount(dataset_id)
