@@ -202,3 +202,58 @@ def test_synthetic_logs_are_repeatable(spark):
     span = made.agg(F.min("timestamp"), F.max("timestamp")).first()
     assert span[0] >= "2024-01-01 00:00:00" and span[1] <= "2024-03-01 00:00:00"
     assert rows_of(made) != rows_of(synthetic.generate(spark, 4000, seed=1))
+
+
+def test_folder_loads_only_what_is_new(spark, store, make_raw, tmp_path):
+    """Twenty files, five of them known by content: fifteen are loaded, each as its own dataset."""
+    folder = tmp_path / "folder"
+    for i in range(20):
+        rows = [{"timestamp": f"2024-{i % 3 + 1:02d}-{d + 1:02d} 00:00:00", "endpoint": f"/{i}"} for d in range(5)] * 2
+        csv_logs.write_raw_csv(make_raw(*rows, {"status_code": "999"}).coalesce(1), str(folder), mode="append")
+        if i < 5:  # the same rows in another order, under another name
+            csv_logs.write_raw_csv(make_raw({"status_code": "999"}, *rows[::-1]).coalesce(1), str(tmp_path / f"known{i}"))
+            store.ingest(str(tmp_path / f"known{i}"))
+    loads = []
+    original = store._append
+    store._append = lambda rows, table: (loads.append(table), original(rows, table))
+    found = store.ingest_folder(str(folder)).collect()
+    assert loads == ["raw_logs", "api_logs", "log_counts", "datasets"]
+    assert len(found) == 20 and sum(r.already_loaded for r in found) == 5 and {r.clean_rows for r in found} == {5}
+    assert store.list_datasets().count() == 20 and store.scan().count() == 100
+    new = next(r for r in found if not r.already_loaded)
+    assert store.scan(new.dataset_id).count() == 5 == store.counts(new.dataset_id).agg(F.sum("n")).first()[0]
+    assert store._table("raw_logs").where(F.col("dataset_id") == new.dataset_id).count() == 11
+    before = rows_of(store.scan())
+    loads.clear()
+    assert all(r.already_loaded for r in store.ingest_folder(str(folder)).collect()) and not loads
+    assert rows_of(store.scan()) == before
+
+
+def test_failed_folder_load_is_repeated(spark, store, make_raw, tmp_path):
+    folder = str(tmp_path / "folder")
+    for i in range(3):
+        csv_logs.write_raw_csv(make_raw({"endpoint": f"/{i % 2}"}).coalesce(1), folder, mode="append")
+    original = store._append
+
+    def fail(rows, table):
+        if table == "datasets":
+            raise OSError("lost")
+        original(rows, table)
+
+    store._append = fail
+    with pytest.raises(OSError):
+        store.ingest_folder(folder)
+    assert store.scan().count() == 0
+    store._append = original
+    found = store.ingest_folder(folder).collect()
+    assert sorted(r.already_loaded for r in found) == [False, False, True]  # two files have the same content
+    assert store.scan().count() == 2 and store.list_datasets().count() == 2
+
+
+def test_content_digests(make_raw):
+    def digest(*rows):
+        return csv_logs.content_digests(make_raw(*rows)).first().digest
+
+    a, b = {"endpoint": "/a"}, {"endpoint": "/b"}
+    assert digest(a, b) == digest(b, a) != digest(a, a, b) != digest(a, b, b)
+    assert len({digest({"endpoint": None}), digest({"endpoint": ""}), digest({"endpoint": "-"}), digest({"service_name": None})}) == 4

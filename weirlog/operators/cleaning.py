@@ -47,8 +47,8 @@ def infer_timestamp_format(raw: DataFrame) -> str:
     return used["format"] if used else ISO
 
 
-def coerce(raw: DataFrame, timestamp_format: str = ISO) -> DataFrame:
-    """Status and latency to DOUBLE, timestamp to TIMESTAMP_NTZ; failures become null."""
+def coerce(raw: DataFrame, timestamp_format: str = ISO, *keep: str) -> DataFrame:
+    """Status and latency to DOUBLE, timestamp to TIMESTAMP_NTZ; failures become null. ``keep``: further columns."""
     return raw.select(
         parse_timestamp(F.col("timestamp"), timestamp_format).alias("timestamp"),
         "service_name",
@@ -57,6 +57,7 @@ def coerce(raw: DataFrame, timestamp_format: str = ISO) -> DataFrame:
         to_number(F.col("response_time_ms")).alias("response_time_ms"),
         "release_version",
         "server_region",
+        *keep,
     )
 
 
@@ -85,7 +86,7 @@ def keep_valid_timestamp(df: DataFrame) -> DataFrame:
     return df.where(valid_timestamp())
 
 
-def normalize(df: DataFrame) -> DataFrame:
+def normalize(df: DataFrame, *keep: str) -> DataFrame:
     """Text fields to their published form; numbers truncated to integers."""
     return df.select(
         "timestamp",
@@ -95,31 +96,33 @@ def normalize(df: DataFrame) -> DataFrame:
         F.col("response_time_ms").cast("bigint").alias("response_time_ms"),
         default_if_blank(F.col("release_version"), UNKNOWN).alias("release_version"),
         default_if_blank(F.col("server_region"), UNKNOWN).alias("server_region"),
+        *keep,
     )
 
 
-def deduplicate(df: DataFrame) -> DataFrame:
-    """One row per distinct log line.
+def deduplicate(df: DataFrame, *keep: str) -> DataFrame:
+    """One row per distinct log line (and ``keep``).
 
     Copies collapse inside each task before the shuffle, so a line repeated any
     number of times sends at most one row per task to its reducer.
     """
-    return df.dropDuplicates(list(LOG_COLUMNS))
+    return df.dropDuplicates([*LOG_COLUMNS, *keep])
 
 
-def usable(raw: DataFrame, timestamp_format: str = ISO) -> DataFrame:
+def usable(raw: DataFrame, timestamp_format: str = ISO, *keep: str) -> DataFrame:
     """Valid, normalised rows, copies included."""
     return (
-        raw.transform(coerce, timestamp_format)
+        raw.transform(coerce, timestamp_format, *keep)
         .transform(keep_valid_status)
         .transform(keep_valid_latency)
         .transform(keep_valid_timestamp)
-        .transform(normalize)
+        .transform(normalize, *keep)
     )
 
 
-def clean(raw: DataFrame, timestamp_format: str = ISO) -> DataFrame:
-    return raw.transform(usable, timestamp_format).transform(deduplicate)
+def clean(raw: DataFrame, timestamp_format: str = ISO, *keep: str) -> DataFrame:
+    """Usable rows, each once; with ``keep`` once for each of its values."""
+    return raw.transform(usable, timestamp_format, *keep).transform(deduplicate, *keep)
 
 
 def report(raw: DataFrame, timestamp_format: str = ISO) -> DataFrame:

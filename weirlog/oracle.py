@@ -473,6 +473,13 @@ def statements() -> dict[str, str]:
                UNION ALL BY NAME SELECT true AS already_loaded, clean_rows, 1::BIGINT AS datasets FROM first""",
             first=f"SELECT false AS already_loaded, {report} FROM coerced",
         ),
+        "ds_ingest_folder": over(
+            "cleaned",
+            """SELECT release_version = 'v1.1' OR copy AS already_loaded, count(*)::BIGINT AS files,
+                 count(DISTINCT release_version) AS datasets, sum(n)::BIGINT AS clean_rows
+               FROM (SELECT release_version, count(*) AS n FROM cleaned GROUP BY release_version),
+                 (SELECT unnest([false, true]) AS copy) WHERE NOT copy OR release_version = 'v1.0' GROUP BY ALL""",
+        ),
         "ds_reset": over("logs", "SELECT count(*) AS logs_deleted, 2::BIGINT AS datasets_deleted FROM logs"),
         "ds_list": over(
             "logs",

@@ -115,6 +115,22 @@ def _ingested_twice(store: tables.LogTables, folder: str) -> DataFrame:
     return answers[0].union(answers[1]).drop("dataset_id").withColumn("datasets", F.lit(n).cast("bigint"))
 
 
+def _ingested_folder(store: tables.LogTables, folder: str) -> DataFrame:
+    """A file a release, one of them twice and one loaded before: how many files are loaded, and their rows."""
+    spark, path = store.spark, fresh_path(store.spark, "csv")
+    raw, before = sample_views.raw_logs(spark, folder), fresh_path(spark, "csv")
+    for release in (None, "v1.0", "v1.1", "v2.0", "v1.0"):
+        rows = raw.where(F.col("release_version").eqNullSafe(F.lit(release)))
+        csv_logs.write_raw_csv(rows.coalesce(1), path, mode="append")
+        if release == "v1.1":
+            csv_logs.write_raw_csv(rows.orderBy(*LOG_COLUMNS), before)
+            store.ingest(before)
+    answer = durable(store.ingest_folder(path))
+    return answer.groupBy("already_loaded").agg(
+        F.count(F.lit(1)).alias("files"), F.count_distinct("dataset_id").alias("datasets"), F.sum("clean_rows").alias("clean_rows")
+    )
+
+
 def _listed_datasets(store: tables.LogTables, folder: str) -> DataFrame:
     _store_logs(store, folder)
     return store.list_datasets().drop("created_at")
@@ -152,6 +168,7 @@ SOURCES: dict[str, Query] = {
     "sink_clean_persist": _with_store(_replaced),
     "ds_ingest": _with_store(_ingested),
     "ds_ingest_idempotent": _with_store(_ingested_twice),
+    "ds_ingest_folder": _with_store(_ingested_folder),
     "ds_list": _with_store(_listed_datasets),
     "ds_delete": _with_store(_after_delete),
     "ds_reset": _with_store(_after_reset),

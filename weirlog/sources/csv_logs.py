@@ -36,13 +36,13 @@ class MissingColumnsError(ValueError):
     """A CSV file lacks required columns."""
 
 
-def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False, file_name: str | None = None) -> DataFrame:
     """The seven log columns as text, with missing-value tokens as null.
 
     The header is read for the column names only; the files are then read with that
     all-text schema, and every file's own header has to agree with it. Files split
     over many tasks unless ``multi_line`` is set, which is needed only if quoted
-    fields contain line breaks.
+    fields contain line breaks. ``file_name``: a column of this name says which file a row is from.
     """
     options = {"header": True, "escape": '"', "multiLine": multi_line}
     header = spark.read.options(**options).csv(path).columns
@@ -51,10 +51,23 @@ def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Da
         raise MissingColumnsError(f"CSV is missing required columns: {missing}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     rows = spark.read.options(**options, enforceSchema=False).schema(schema).csv(path)
-    return rows.select(*[F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)).alias(c) for c in LOG_COLUMNS])
+    file = [F.col("_metadata.file_name").alias(file_name)] if file_name else []
+    return rows.select(*[F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)).alias(c) for c in LOG_COLUMNS], *file)
 
 
-def write_raw_csv(raw: DataFrame, path: str) -> None:
+def content_digests(rows: DataFrame, *by: str) -> DataFrame:
+    """A digest of the raw rows of each group, whatever their order: made from their number and sums of their hashes.
+
+    Null fields and empty ones count as different, repeated rows as often as they occur.
+    """
+    fields = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in LOG_COLUMNS]
+    line = F.concat(*fields)
+    sums = [F.sum(F.xxhash64(F.lit(seed), line).cast("decimal(38,0)")).cast("string") for seed in range(2)]
+    digest = F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *sums), 256)
+    return rows.groupBy(*by).agg(digest.alias("digest"))
+
+
+def write_raw_csv(raw: DataFrame, path: str, mode: str = "error") -> None:
     """Write raw rows as they are: the writer's default of trimming fields is off."""
     keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    raw.select(*LOG_COLUMNS).write.options(header=True, escape='"', **keep_spaces).csv(path)
+    raw.select(*LOG_COLUMNS).write.mode(mode).options(header=True, escape='"', **keep_spaces).csv(path)

@@ -16,15 +16,16 @@ import posixpath
 import uuid
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, incidents
 from ..operators.explore import with_log_id
 from ..operators.filters import filter_logs, month_of
+from ..operators.joins import size_checked
 from ..operators.metrics import log_counts
 from ..schema import LOG_COLUMNS
-from .csv_logs import read_raw_csv
+from .csv_logs import content_digests, read_raw_csv
 from .shared import durable
 
 # Overwriting a dataset clears all its partitions, whatever the session's own mode is.
@@ -53,7 +54,7 @@ _TABLES = {
     ),
     "datasets": (
         "name STRING, file_name STRING, row_count BIGINT, status STRING, created_at TIMESTAMP, updated_at TIMESTAMP, "
-        "dataset_id STRING",
+        "digest STRING, dataset_id STRING",
         "dataset_id",
     ),
     "incidents": (
@@ -81,6 +82,8 @@ class LogTables:
                 f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet"
                 f" OPTIONS ({_OPTIONS[name]}) PARTITIONED BY ({partition})"
             )
+        if "digest" not in self._table("datasets").columns:  # a registry of an earlier version
+            spark.sql(f"ALTER TABLE {database}.datasets ADD COLUMNS (digest STRING)")
 
     def _name(self, table: str) -> str:
         return f"{self.database}.{table}"
@@ -106,7 +109,9 @@ class LogTables:
         self._replace_dataset(raw, "raw_logs", dataset_id)
         return self._table("raw_logs").where(F.col("dataset_id") == dataset_id).select(*LOG_COLUMNS)
 
-    def persist_clean(self, cleaned: DataFrame, dataset_id: str, name: str, file_name: str) -> int:
+    def persist_clean(
+        self, cleaned: DataFrame, dataset_id: str, name: str, file_name: str, digest: str | None = None
+    ) -> int:
         """Store clean rows under a dataset, then register it; return the row count.
 
         Rows are gathered by month and service for writing; adaptive execution splits large
@@ -114,22 +119,13 @@ class LogTables:
         month. Within each file rows are sorted by service and endpoint, so that row-group
         statistics can skip most of what is left for a filter on either.
         """
-        tagged = with_log_id(cleaned.withColumn("dataset_id", F.lit(dataset_id)))
-        monthly = tagged.withColumn("log_month", month_of(F.col("timestamp")))
-        ordered = monthly.hint("rebalance", "log_month", "service_name").sortWithinPartitions("log_month", "service_name", "endpoint", "timestamp")
+        ordered = _in_order(cleaned.withColumn("dataset_id", F.lit(dataset_id)))
         self._drop_partitions("datasets", dataset_id)  # not seen while rows and counts are replaced
         self._replace_dataset(ordered, "api_logs", dataset_id)
         rows = self._recount(dataset_id)
-        now = F.current_timestamp()
-        entry = self.spark.range(1).select(
-            F.lit(name).alias("name"),
-            F.lit(file_name).alias("file_name"),
-            F.lit(rows).cast("bigint").alias("row_count"),
-            F.lit("cleaned").alias("status"),
-            now.alias("created_at"),
-            now.alias("updated_at"),
-        )
-        self._replace_dataset(entry, "datasets", dataset_id)
+        entry = self.spark.range(1).select(F.lit(name).alias("name"), F.lit(file_name).alias("file_name"), F.lit(digest).alias("digest"))
+        entry = entry.withColumn("row_count", F.lit(rows).cast("bigint"))
+        self._replace_dataset(_registered_now(entry), "datasets", dataset_id)
         return rows
 
     def _recount(self, dataset_id: str) -> int:
@@ -214,9 +210,54 @@ class LogTables:
         dataset_id = str(uuid.uuid4())
         raw = self.land_raw(read_raw_csv(self.spark, path, multi_line), dataset_id)
         timestamp_format = timestamp_format or cleaning.infer_timestamp_format(raw)
-        rows = self.persist_clean(cleaning.clean(raw, timestamp_format), dataset_id, name or file_name, file_name)
+        digest = content_digests(raw).first()["digest"]
+        rows = self.persist_clean(cleaning.clean(raw, timestamp_format), dataset_id, name or file_name, file_name, digest)
         return self._ingested(dataset_id, rows, cleaning.drop_counts(raw, timestamp_format))
 
+    def ingest_folder(self, path: str, multi_line: bool = False, timestamp_format: str | None = None) -> DataFrame:
+        """Load every CSV file of a folder that is not there yet, all in one go; one row per file.
+
+        Returns file_name, dataset_id, already_loaded and clean_rows. A file is known by the content of its rows, in
+        any order, whatever it is called: files that a registered dataset was made of are not loaded again, and of files with
+        the same content the first by name is. Each file becomes a dataset whose id follows from its content, so
+        a load that failed can be repeated. All files have one timestamp format, which the first value of the
+        new ones decides unless it is named. A file without rows gives nothing.
+        """
+        raw = read_raw_csv(self.spark, path, multi_line, file_name="file_name")
+        registered = self._table("datasets").where("digest IS NOT NULL").groupBy("digest")
+        registered = registered.agg(F.max_by("dataset_id", F.struct("created_at", "dataset_id")).alias("known_id"))
+        nth = F.row_number().over(Window.partitionBy("digest").orderBy("file_name"))
+        files = content_digests(raw, "file_name").join(registered, "digest", "left").withColumn("nth", nth)
+        new_id = F.regexp_replace(F.substring("digest", 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+        loaded = F.col("known_id").isNull() & (F.col("nth") == 1)
+        files = durable(files.select("file_name", "digest", F.coalesce("known_id", new_id).alias("dataset_id"), loaded.alias("is_new")))
+        new = files.where("is_new")
+        ids = [r.dataset_id for r in new.select("dataset_id").collect()]  # one per file
+        if ids:
+            self._load(raw.join(size_checked(new.select("file_name", "dataset_id")), "file_name"), new, ids, timestamp_format)
+        sizes = self._table("datasets").select("dataset_id", F.col("row_count").alias("clean_rows"))
+        return files.join(sizes, "dataset_id").select("file_name", "dataset_id", (~F.col("is_new")).alias("already_loaded"), "clean_rows")
+
+    def _load(self, raw: DataFrame, files: DataFrame, ids: list[str], timestamp_format: str | None) -> None:
+        """Land, clean, count and register the rows of several datasets, each step as one job."""
+        for table in _DATASET_TABLES:
+            for dataset_id in ids:
+                self._drop_partitions(table, dataset_id)  # what a failed load left
+        self._append(raw, "raw_logs")
+        landed = self._table("raw_logs").where(F.col("dataset_id").isin(ids))
+        timestamp_format = timestamp_format or cleaning.infer_timestamp_format(landed)
+        self._append(_in_order(cleaning.clean(landed, timestamp_format, "dataset_id")), "api_logs")
+        stored = self._table("api_logs").where(F.col("dataset_id").isin(ids))
+        counts = log_counts(stored, "dataset_id", "log_month").hint("rebalance", "dataset_id", "log_month")
+        self._append(counts.sortWithinPartitions("dataset_id", "log_month", "day", "service_name", "endpoint"), "log_counts")
+        own = self._table("log_counts").where(F.col("dataset_id").isin(ids))
+        sizes = own.groupBy("dataset_id").agg(F.sum("n").alias("row_count"))
+        entries = files.join(sizes, "dataset_id", "left").withColumn("row_count", F.coalesce("row_count", F.lit(0)))
+        self._append(_registered_now(entries.withColumn("name", F.col("file_name"))), "datasets")
+
+    def _append(self, rows: DataFrame, table: str) -> None:
+        rows.select(*self._table(table).columns).write.mode("append").insertInto(self._name(table))
+
     def _ingested(self, dataset_id: str, rows: int, counts: DataFrame | None) -> DataFrame:
         clean_rows = F.lit(rows).cast("bigint")
         already_loaded = counts is None
@@ -294,6 +335,18 @@ class LogTables:
         updated.select(*target).write.mode("overwrite").insertInto(self._name("incidents"))
 
 
+def _in_order(cleaned: DataFrame) -> DataFrame:
+    """Clean rows of datasets with their ids and months, as they are stored."""
+    monthly = with_log_id(cleaned).withColumn("log_month", month_of(F.col("timestamp")))
+    gathered = monthly.hint("rebalance", "dataset_id", "log_month", "service_name")
+    return gathered.sortWithinPartitions("dataset_id", "log_month", "service_name", "endpoint", "timestamp")
+
+
+def _registered_now(entries: DataFrame) -> DataFrame:
+    now = F.current_timestamp()
+    return entries.withColumns({"status": F.lit("cleaned"), "created_at": now, "updated_at": now})
+
+
 def _instant(at: str | datetime) -> Column:
     """Wall-clock time, whatever the zone of the session."""
     return F.lit(str(at)).cast("timestamp_ntz")
