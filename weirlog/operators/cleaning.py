@@ -7,6 +7,8 @@ removing duplicates needs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,12 +176,13 @@ def report(raw: DataFrame, timestamp_format: str = ISO) -> DataFrame:
     )
 
 
-def drop_counts(raw: DataFrame, timestamp_format: str = ISO) -> DataFrame:
+def drop_counts(raw: DataFrame, timestamp_format: str = ISO, more: Sequence[Column] = (), keep: Sequence[str] = ()) -> DataFrame:
     """The counters of ``report`` that need no duplicate removal: one scan, no shuffle.
 
-    ``usable_rows`` counts copies, so duplicates are ``usable_rows`` minus clean rows.
+    ``usable_rows`` counts copies, so duplicates are ``usable_rows`` minus clean rows. ``more`` are further aggregates
+    that the same scan makes, of the columns ``keep``.
     """
-    typed = raw.transform(coerce, timestamp_format)
+    typed = raw.transform(coerce, timestamp_format, *keep)
     status_ok, latency_ok, time_ok = valid_status(), valid_latency(), valid_timestamp()
     kept = status_ok & latency_ok & time_ok
     return typed.agg(
@@ -191,4 +194,5 @@ def drop_counts(raw: DataFrame, timestamp_format: str = ISO) -> DataFrame:
         F.count_if(kept & (default_if_blank(F.col("service_name"), UNKNOWN_SERVICE) == UNKNOWN_SERVICE)).alias(
             "unknown_service_count"
         ),
+        *more,
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,16 +55,21 @@ def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False, file_
     return rows.select(*[F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)).alias(c) for c in LOG_COLUMNS], *file)
 
 
-def content_digests(rows: DataFrame, *by: str) -> DataFrame:
-    """A digest of the raw rows of each group, whatever their order: made from their number and sums of their hashes.
-
-    Null fields and empty ones count as different, repeated rows as often as they occur.
-    """
+def line_hashes() -> dict[str, Column]:
+    """Two hashes of a raw line, by column name; null fields and empty ones count as different."""
     fields = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in LOG_COLUMNS]
-    line = F.concat(*fields)
-    sums = [F.sum(F.xxhash64(F.lit(seed), line).cast("decimal(38,0)")).cast("string") for seed in range(2)]
-    digest = F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *sums), 256)
-    return rows.groupBy(*by).agg(digest.alias("digest"))
+    return {f"line_hash_{seed}": F.xxhash64(F.lit(seed), F.concat(*fields)) for seed in range(2)}
+
+
+def digest_of_hashes() -> Column:
+    """Aggregate: a digest of lines whatever their order, from their number and the sums of their hashes."""
+    sums = [F.coalesce(F.sum(F.col(name).cast("decimal(38,0)")), F.lit(0)).cast("string") for name in line_hashes()]
+    return F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *sums), 256)
+
+
+def content_digests(rows: DataFrame, *by: str) -> DataFrame:
+    """A digest of the raw rows of each group; repeated rows count as often as they occur."""
+    return rows.withColumns(line_hashes()).groupBy(*by).agg(digest_of_hashes().alias("digest"))
 
 
 def write_raw_csv(raw: DataFrame, path: str, mode: str = "error") -> None:

@@ -25,7 +25,7 @@ from ..operators.filters import filter_logs, month_of
 from ..operators.joins import size_checked
 from ..operators.metrics import log_counts
 from ..schema import LOG_COLUMNS
-from .csv_logs import content_digests, read_raw_csv
+from .csv_logs import content_digests, digest_of_hashes, line_hashes, read_raw_csv
 from .shared import durable
 
 # Overwriting a dataset clears all its partitions, whatever the session's own mode is.
@@ -210,9 +210,11 @@ class LogTables:
         dataset_id = str(uuid.uuid4())
         raw = self.land_raw(read_raw_csv(self.spark, path, multi_line), dataset_id)
         timestamp_format = timestamp_format or cleaning.infer_timestamp_format(raw)
-        digest = content_digests(raw).first()["digest"]
-        rows = self.persist_clean(cleaning.clean(raw, timestamp_format), dataset_id, name or file_name, file_name, digest)
-        return self._ingested(dataset_id, rows, cleaning.drop_counts(raw, timestamp_format))
+        hashes, digest = line_hashes(), digest_of_hashes().alias("digest")
+        counts = durable(cleaning.drop_counts(raw.withColumns(hashes), timestamp_format, [digest], [*hashes]))
+        cleaned = cleaning.clean(raw, timestamp_format)
+        rows = self.persist_clean(cleaned, dataset_id, name or file_name, file_name, counts.first()["digest"])
+        return self._ingested(dataset_id, rows, counts)
 
     def ingest_folder(self, path: str, multi_line: bool = False, timestamp_format: str | None = None) -> DataFrame:
         """Load every CSV file of a folder that is not there yet, all in one go; one row per file.
