@@ -97,3 +97,23 @@ def test_duckdb_agrees_on_the_sample(spark):
     theirs = database.sql(SQL["op10_mixing"]).df()[["doc_id", "size", "source_size", "target", "taken"]]
     ours = op10_mixing(spark, folder)
     assert plain(ours, *theirs.columns) == sorted((tuple(x.item() for x in row) for row in theirs.to_records(index=False)), key=repr)
+
+
+def test_every_stretch_of_the_output_follows_the_weights(spark):
+    """The slots that documents are taken in, as the operator returns them, and not the schedule alone."""
+    rows = mixing.mix(some_docs(spark), block_words=64).where("n > 0").select("slot", "source").distinct().collect()
+    last = max(r.slot for r in rows)  # the few late ones share a slot of their own at the end
+    of_slot = {r.slot: r.source for r in rows if r.slot < last}
+    total = {s: sum(x == s for x in of_slot.values()) for s in set(of_slot.values())}
+    slots = sorted(of_slot)
+    for start in range(0, len(slots) - 200, 50):
+        part = [of_slot[s] for s in slots[start : start + 200]]
+        assert all(abs(part.count(s) - 200 * total[s] / len(slots)) < 8 for s in total), start
+
+
+def test_first_slots_and_their_number(spark):
+    docs = some_docs(spark)
+    mixed = mixing.mix(docs).where("n > 0").groupBy("doc_id").agg(F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"))
+    found = mixing.taken_words(docs)
+    assert plain(found.where("n_slots > 0"), "doc_id", "first_slot", "n_slots") == plain(mixed, "doc_id", "first_slot", "n_slots")
+    assert found.where("taken = 0").where("first_slot IS NOT NULL OR n_slots > 0").count() == 0

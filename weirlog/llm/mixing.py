@@ -185,10 +185,14 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = "mix") -> D
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
+    """doc_id, size, source_size, target, taken, first_slot and n_slots of every document.
+
+    first_slot is the first slot of the schedule that takes words of the document (null: none does), n_slots how many do.
+    """
     keys = ["source", "bucket", "row", "doc_id", "size", "source_size", "target"]
-    taken = mix(docs).groupBy(*keys).agg(F.sum("n").alias("taken"))
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    of_slot = F.when(F.col("n") > 0, F.col("slot"))
+    sums = [F.sum("n").alias("taken"), F.min(of_slot).alias("first_slot"), F.count(of_slot).alias("n_slots")]
+    return mix(docs).groupBy(*keys).agg(*sums).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

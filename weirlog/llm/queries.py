@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -112,6 +113,10 @@ _SIZES = r"""
 _TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
 
+#: The golden ratio's fraction, and what of it a chunk of slots adds up to, as the schedule takes them.
+_GOLDEN = f"{float(mixing.GOLDEN)!r}::DOUBLE"
+_PER_CHUNK = f"{float((Decimal(mixing.CHUNK) * Decimal(mixing.GOLDEN)) % 1)!r}::DOUBLE"
+
 SQL: dict[str, str] = {
     "op9_near_vectors": """
         WITH RECURSIVE vectors AS (
@@ -191,15 +196,59 @@ SQL: dict[str, str] = {
             FROM levels
         ),
         placed AS (
-            SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS wanted,
+            SELECT doc_id, s.source, size, source_size, target, floor(target + 0.5)::BIGINT AS wanted,
                    (sum(size) OVER (PARTITION BY s.source ORDER BY md5('mix' || coalesce(doc_id::VARCHAR, '')), size
                                     ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
             FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-        )
-        SELECT doc_id, size, source_size, target,
-               (CASE WHEN size = 0 THEN 0 ELSE
+        ),
+        taken AS (
+            SELECT *, (CASE WHEN size = 0 THEN 0 ELSE
                 size * (wanted // source_size) + greatest(0, least(size, wanted % source_size - start)) END)::BIGINT AS taken
-        FROM placed
+            FROM placed
+        ),
+        planned AS (
+            SELECT *, (wanted // whole) * blocks + ceil((wanted % whole) / 512.0::DOUBLE)::BIGINT AS slots
+            FROM (SELECT source, source_size, floor(target + 0.5)::BIGINT AS wanted, greatest(source_size, 1) AS whole,
+                         ceil(greatest(source_size, 1) / 512.0::DOUBLE)::BIGINT AS blocks FROM targets)
+        ),
+        ranges AS (
+            SELECT *, coalesce(lag(high) OVER (ORDER BY source NULLS LAST), 0.0::DOUBLE) AS low
+            FROM (SELECT *, (sum(slots) OVER (ORDER BY source NULLS LAST))::DOUBLE / (sum(slots) OVER ())::DOUBLE AS high
+                  FROM planned WHERE slots > 0)
+        ),
+        points AS (
+            SELECT slot, part + rest - floor(part + rest) AS point
+            FROM (SELECT slot, (slot // {mixing.CHUNK}) * {_PER_CHUNK} - floor((slot // {mixing.CHUNK}) * {_PER_CHUNK}) AS part,
+                         (slot % {mixing.CHUNK} + 0.5::DOUBLE) * {_GOLDEN} AS rest
+                  FROM (SELECT unnest(range((SELECT coalesce(sum(slots), 0)::BIGINT FROM planned))) AS slot))
+        ),
+        drawn AS (
+            SELECT slot, source, slots, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS nth
+            FROM points JOIN ranges ON point >= low AND point < high
+        ),
+        schedule AS (
+            SELECT slot, source, nth FROM drawn WHERE nth < slots
+            UNION ALL
+            SELECT (SELECT sum(slots)::BIGINT FROM planned), source, unnest(range(reached, slots))
+            FROM (SELECT p.source, any_value(p.slots) AS slots, count(d.slot) AS reached
+                  FROM planned p LEFT JOIN drawn d ON d.source IS NOT DISTINCT FROM p.source GROUP BY p.source)
+        ),
+        filled AS (
+            SELECT slot, p.source, nth % blocks AS block, wanted - (nth // blocks) * source_size AS until
+            FROM schedule s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source
+        ),
+        pieces AS (
+            SELECT doc_id, source, block, greatest(block * 512, start) AS first, least((block + 1) * 512, start + size) AS behind
+            FROM (SELECT doc_id, source, start, size, unnest(range(start // 512, (start + size - 1) // 512 + 1)) AS block
+                  FROM taken WHERE size > 0)
+        ),
+        slots_of AS (
+            SELECT doc_id, min(slot) AS first_slot, count(*) AS n_slots
+            FROM pieces x JOIN filled f ON x.block = f.block AND x.source IS NOT DISTINCT FROM f.source
+            WHERE least(behind, until) > first GROUP BY doc_id
+        )
+        SELECT doc_id, size, source_size, target, taken, first_slot, coalesce(n_slots, 0) AS n_slots
+        FROM taken LEFT JOIN slots_of USING (doc_id)
     """,
     "op11_line_dedup": """
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
