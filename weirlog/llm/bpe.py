@@ -29,14 +29,14 @@ from pyspark.sql import types as T
 
 from .common import claim_worker, register_cache
 
-#: Words that a worker keeps; beyond it starts anew.
-CACHED = 150_000
+#: Words that a worker keeps; beyond it forgets those that came once, and of the others keeps half as many at most.
+CACHED = 250_000
 #: Token rows that one recursion may make, and the steps that it may take.
 ROWS, STEPS = 2_000_000, 24
 #: Bytes of words that enter a recursion together, and texts and bytes that are put together by one query.
 WORD_BYTES, TEXTS, TEXT_BYTES = 1 << 17, 500, 1 << 20
 #: What a worker's database may take, and while it is at long words or texts.
-MEMORY, MEMORY_LONG = "120MB", "600MB"
+MEMORY, MEMORY_LONG = "200MB", "600MB"
 #: Characters of a word from which it is cut, and bytes from which all places of a pair are contracted in one step.
 LONG = 64
 
@@ -195,8 +195,25 @@ class Codec:
     def _forget(self) -> None:
         self.numbers, self.kept, self.used = _Numbers(), 0, 0
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.seen = np.zeros(0, np.int64)
         self.database.execute("TRUNCATE words")
 
+    def _forget_rare(self) -> None:
+        """Keep the words that came more than once lately, the most frequent first; all else is learned again if it comes."""
+        often = np.flatnonzero(self.seen > 1)
+        often = np.sort(often[np.argsort(-self.seen[often], kind="stable")[: CACHED // 2]])
+        words = list(self.numbers)
+        numbers = _Numbers((words[old], new) for new, old in enumerate(often.tolist()))
+        ids, sizes, seen = self._ids(often), self.sizes[often], self.seen[often] // 2
+        self._register(pa.table({"old": often.astype(np.int32), "word": np.arange(len(often), dtype=np.int32)}))
+        self.database.execute("CREATE OR REPLACE TEMP TABLE held AS SELECT g.word, said FROM words w JOIN given g ON g.old = w.word")
+        self._forget()
+        self.database.execute("INSERT INTO words SELECT word, said FROM held")
+        self.database.execute("DROP TABLE held")
+        self.numbers, self.kept, self.used = numbers, len(often), len(ids)
+        self.ids, self.sizes, self.seen = ids, sizes, seen
+        self.starts = np.cumsum(sizes) - sizes
+
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
         if (path, pattern) not in cls._of:
@@ -319,7 +336,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
         """The ids of each text, and the bytes that they decode to."""
         if self.kept > CACHED:
-            self._forget()
+            self._forget_rare()
         if max(map(len, texts), default=0) <= TEXT_BYTES // 8:
             return self._encode(texts)
         self.database.execute(f"SET memory_limit = '{MEMORY_LONG}'")
@@ -333,6 +350,9 @@ class Codec:
     def _encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
         words = [np.fromiter(map(self.numbers.__getitem__, part), np.int32, len(part)) for part in map(self.split, texts)]
         self._learn()
+        if words:
+            self.seen = np.concatenate([self.seen, np.zeros(self.kept - len(self.seen), np.int64)])
+            self.seen += np.bincount(np.concatenate(words), minlength=self.kept)
         said = [b""] * len(texts)
         if any(map(len, words)):
             text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(w) for w in words])
