@@ -36,7 +36,7 @@ ROWS, STEPS = 2_000_000, 24
 #: Bytes of words that enter a recursion together, and texts and bytes that are put together by one query.
 WORD_BYTES, TEXTS, TEXT_BYTES = 1 << 17, 500, 1 << 20
 #: What a worker's database may take, and while it is at long words or texts.
-MEMORY, MEMORY_LONG = "200MB", "600MB"
+MEMORY, MEMORY_LONG = "160MB", "600MB"
 #: Characters of a word from which it is cut, and bytes from which all places of a pair are contracted in one step.
 LONG = 64
 
