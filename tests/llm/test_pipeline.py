@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import public_tokenizers
 from fixtures import awkward, make, plain, words
@@ -101,3 +102,20 @@ def test_stages_keep_the_columns(spark, tmp_path):
 def test_pipeline_of_nothing(spark, tmp_path):
     make(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mix_goes_by_the_identified_languages(spark):
+    """Labels are missing or wrong for some; of each language the mix takes one and a half times its words all the same."""
+    say = {"en": "the cat sat on the mat with that thing and", "fr": "les chats dormaient sur une table avec leurs frères et"}
+    true = {i: "fr" if i % 4 == 0 else "en" for i in range(48)}
+    rows = [(i, f"{say[lang]} {'abcdefgh'[i % 8]}{'xyzuvw'[i // 8]}", "s", lang) for i, lang in true.items()]
+    unseen = {i for i in true if zlib.crc32(str(i).encode()) % 4 == 2}  # nothing is learned from these
+    rows = [(i, text, s, (None if i % 3 else "en") if i in unseen else lang) for i, text, s, lang in rows]
+    assert any(lang == "en" != true[i] for i, _, _, lang in rows)
+    docs = corpus_pipeline.identify_language(spark, make(spark, rows), "")
+    assert {r.doc_id: r.lang for r in docs.collect()} == true
+    taken = {"en": 0, "fr": 0}
+    for row in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        taken[row.lang] += len(words(row.text))
+    sizes = {lang: sum(len(words(text)) for i, text, _, _ in rows if true[i] == lang) for lang in taken}
+    assert taken == {lang: 1.5 * size for lang, size in sizes.items()}

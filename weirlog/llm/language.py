@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -246,11 +245,12 @@ def readable(text: str | None) -> bool:
 
 
 def drop_unidentified(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the documents whose text is null or has no letter; lang, where it is null, becomes the prediction.
+    """``docs`` without the documents whose text is null or has no letter; lang becomes the prediction.
 
-    All columns stay, and given languages too, whatever they are called; only texts without one are parsed. If no
-    language was learned, nothing is predicted and no further document goes. A table without a column lang loses
-    rows only.
+    All columns stay. Every text that is left is parsed whole, and what ``identify`` says of it replaces a given
+    label too: labels are learned from, whatever they are called, and what follows goes by the texts. If no
+    language was learned, nothing is predicted, lang stays and no further document goes. A table without a column
+    lang loses rows only.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
@@ -262,12 +262,9 @@ def drop_unidentified(docs: DataFrame, model: Model) -> DataFrame:
             for start in range(0, batch.num_rows, _TEXTS):
                 part = batch.slice(start, _TEXTS)
                 part = part.filter(pa.array(list(map(readable, part.column(place).to_pylist())), pa.bool_()))
-                if lang is not None and sent.value.languages and part.column(lang).null_count:
-                    open_ = part.column(lang).is_null()
-                    texts = part.column(place).filter(open_).to_pylist()
-                    found = pa.array([language for language, _ in sent.value.predict(texts)], part.column(lang).type)
-                    filled = pc.replace_with_mask(part.column(lang), open_, found)
-                    part = part.set_column(lang, part.schema.field(lang), filled)
+                if lang is not None and sent.value.languages and part.num_rows:
+                    found = [language for language, _ in sent.value.predict(part.column(place).to_pylist())]
+                    part = part.set_column(lang, part.schema.field(lang), pa.array(found, part.column(lang).type))
                 yield part
 
     return docs.mapInArrow(run, docs.schema)

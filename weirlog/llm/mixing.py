@@ -42,6 +42,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"))
 
 
+def _stratum(within: str, table: str = "") -> Column:
+    """One string for each source and value of the column ``within``; nulls have their own."""
+    names = {"source": "source", "within": within}
+    return F.to_json(F.struct(*(F.col(f"{table}`{column}`").cast("string").alias(name) for name, column in names.items())))
+
+
+def _strata(docs: DataFrame, within: str) -> tuple[DataFrame, DataFrame]:
+    """``word_counts`` and ``source_targets`` with strata for sources: a source's target is shared by its strata as its words are."""
+    columns = ["doc_id", F.col("source").cast("string").alias("whole"), _stratum(within).alias("source"), n_words(text_or_empty()).alias("size")]
+    counts = stored(docs.select(*columns), "mix-counts")
+    sizes = counts.groupBy("whole", "source").agg(F.sum("size").alias("size"))
+    wholes = source_targets(sizes.select(F.col("whole").alias("source"), "size"))
+    wholes = wholes.select(F.col("source").alias("w"), F.col("source_size").alias("whole_size"), "target")
+    sizes = sizes.join(size_checked(wholes), F.col("whole").eqNullSafe(F.col("w")))
+    target = F.col("target") * F.col("size") / F.greatest("whole_size", F.lit(1))
+    return counts.drop("whole"), stored(sizes.select("source", F.col("size").alias("source_size"), target.alias("target")), "mix-targets")
+
+
 def source_targets(counts: DataFrame) -> DataFrame:
     """source, source_size and target of each source.
 
@@ -145,7 +163,7 @@ def _shuffled(counts: DataFrame, seed: str) -> DataFrame:
     return placed.select("doc_id", "source", "size", "bucket", "row", "start")
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = "mix", within: str | None = None) -> DataFrame:
     """The mix: which words of which document each slot takes.
 
     Returns one row per slot and document that shares words: slot, rank, doc_id, source,
@@ -155,10 +173,14 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: str = "mix") -> D
     nothing is taken have one row with null slot and n = 0. The order of documents
     depends on their ids, ties on their sizes, and on nothing else, so reruns agree.
     A null text has no words; a null source is a source of its own; an empty table gives
-    no rows; further columns of ``docs`` are not read.
+    no rows; further columns of ``docs`` are not read. With ``within``, a column of ``docs``, what
+    is said of sources holds for strata (``_strata``), and source names the stratum.
     """
-    counts = stored(word_counts(docs), "mix-counts")
-    targets = stored(source_targets(counts), "mix-targets")
+    if within is None:
+        counts = stored(word_counts(docs), "mix-counts")
+        targets = stored(source_targets(counts), "mix-targets")
+    else:
+        counts, targets = _strata(docs, within)
     planned = size_checked(_plan(targets, block_words).select(F.col("source").alias("p"), "source_size", "target", "blocks", "words"))
     of_plan = F.col("source").eqNullSafe(F.col("p"))
 
@@ -195,14 +217,15 @@ def taken_words(docs: DataFrame) -> DataFrame:
     return mix(docs).groupBy(*keys).agg(*sums).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, within: str | None = None) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: one row per document and round that takes words of it.
 
     Where a round takes only some words of a document, text holds just those, with the
     white space between them. Of rows that repeat doc_id, source and size each gets the
-    words that one of them gets.
+    words that one of them gets. With ``within``, a column, each of its values has the share
+    of a source's words in the mix that it has in the source.
     """
-    rounds = mix(docs).where("n > 0").groupBy("source", "bucket", "row", "doc_id", "size", "round")
+    rounds = mix(docs, within=within).where("n > 0").groupBy("source", "bucket", "row", "doc_id", "size", "round")
     rounds = rounds.agg(F.min("first").alias("first"), F.sum("n").alias("n"))
     rounds = rounds.groupBy("doc_id", "source", "size", "round").agg(F.max(F.struct("n", "first")).alias("part"))
     rounds = rounds.select(*(F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "size")), "part.n", "part.first")
@@ -210,7 +233,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     d, r = docs.alias("d"), rounds.alias("r")
     same = F.col("d.doc_id").eqNullSafe(F.col("r.mix_doc_id"))
-    same = same & F.col("d.source").cast("string").eqNullSafe(F.col("r.mix_source"))
+    source = F.col("d.source").cast("string") if within is None else _stratum(within, "d.")
+    same = same & source.eqNullSafe(F.col("r.mix_source"))
     same = same & (n_words(text_or_empty("d.text")) == F.col("r.mix_size"))
     words = F.split(F.regexp_replace("d.text", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     some = F.array_join(F.slice(words, F.col("r.mix_first").cast("int") + 1, F.col("r.mix_n").cast("int")), "")
