@@ -200,6 +200,14 @@ def test_star_rounds_change_nothing(spark, monkeypatch, fruit):
     assert plain(found, "doc_id", "n_shingles", "component_id") == groups_by_hand(rows)
 
 
+def test_star_pairs_grow_with_the_nodes(spark):
+    """Of a large group of near copies a node outside meets a few inside, however many of their tokens it shares."""
+    rows = [(token, node, 40, 0 if node < 100 else node, token, 0) for node in range(300) for token in range(30)]
+    rows = spark.createDataFrame(rows, "token long, node long, n long, component long, at int, main long")
+    first = ngram_join._star_pairs(rows, (80, 100)).collect()
+    assert len(first) <= 4 * 200 and {r.b for r in first} == set(range(100, 300)) and all(r.a < 100 for r in first)
+
+
 def test_one_per_group_keeps_all_columns(spark):
     docs = clashing(awkward(spark))
     kept = ngram_join.one_per_group(docs)

@@ -14,8 +14,8 @@ Hot groups never become pairs. Documents with one set are one node. Then nodes
 with common minima under some hashes are compared with one of them, the bucket's leader,
 which joins most of a large group of near copies. Only tokens that reach more than one
 component go on. Where these would still make many pairs, nodes outside a token's largest
-component are compared with a few nodes inside it, which leaves few outside. At last all
-pairs across components are made.
+component are compared with a few nodes inside it, however many tokens they share with it, which
+leaves few outside. At last all pairs across components are made.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,9 +44,9 @@ TOKEN_BYTES, BLOCK_BITS = 6, 14
 FURTHER_ORDERS = 2
 #: Leaders are found by common minima under hashes: so many bands, each of so many hashes.
 BANDS, BAND_HASHES = 2, 3
-#: Where tokens could make more pairs than so many a row, so many nodes of a token's main component are tried first,
-#: again as long as there is a link for so many rows.
-MOST_PAIRS, STARS, LEAST_FRUIT = 16, 2, 50
+#: Where tokens could make more pairs than so many a row, nodes with a token that could are first tried with so many nodes
+#: of the token's main component, those still outside with more and other ones, as long as there is a link for so many of their rows.
+MOST_PAIRS, STARS, MORE_STARS, LEAST_FRUIT = 16, 4, 32, 50
 #: Texts whose sets a worker holds at once.
 TEXTS = 500
 #: Words whose hashes a worker keeps.
@@ -311,27 +311,38 @@ def _prefix_rows(nodes: DataFrame) -> DataFrame:
     return stored(rows.join(reach, "token").select("token", "node", "n", "component", "at", "main"), "prefix-rows")
 
 
-def _pairs_ahead(rows: DataFrame) -> tuple[int, int]:
-    """How many pairs the tokens of ``rows`` can make at most across components, and the number of rows."""
-    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("component") != F.col("main")).alias("outer"))
-    total = sizes.agg(F.sum(F.col("all").cast("double") * F.col("outer")), F.sum("all")).first()
-    return int(total[0] or 0), int(total[1] or 0)
+def _token_sizes(rows: DataFrame) -> DataFrame:
+    """token, all (its rows) and outer (those outside its main component)."""
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("component") != F.col("main")).alias("outer"))
 
 
-def _star_pairs(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Each node outside a token's main component beside a few nodes of it: at most STARS pairs a row.
+def _pairs_ahead(rows: DataFrame) -> tuple[int, int, int]:
+    """How many pairs the tokens of ``rows`` can make at most across components, the number of rows, and of those that stars are for."""
+    hot = F.when(F.col("outer") > MOST_PAIRS, F.col("outer"))
+    sums = [F.sum(F.col("all").cast("double") * F.col("outer")), F.sum("all"), F.sum(hot)]
+    return tuple(int(total or 0) for total in _token_sizes(rows).agg(*sums).first())
 
-    Every token has its own, by hashes of token and node, so a node meets as many different ones as it has
-    tokens, and hardly any that is similar to a part of the group stays apart from it.
+
+def _star_pairs(rows: DataFrame, share: tuple[int, int], turn: int = 0) -> DataFrame:
+    """Nodes outside the main component of a token with many such nodes, each beside a few nodes of that component.
+
+    One link joins a node to a component, so a node that shares many tokens with it needs no more pairs than one that
+    shares few: it meets at most STARS in the first turn, in which most nodes of a group find a link, and MORE_STARS
+    in each later one. Every token has its own stars, by hashes of turn, token and node; a node takes those that most of its
+    tokens have, of equals by a hash. So nodes meet different stars, and others each turn, and hardly any that is similar to a
+    part of the group stays apart from it.
     """
-    inner = rows.where("component = main")
-    chosen = [F.min_by(F.struct("node", "n"), F.xxhash64(F.lit(k), "token", "node")) for k in range(STARS)]
-    stars = inner.groupBy("token").agg(F.array_distinct(F.array(*chosen)).alias("stars"))
-    beside = rows.where("component <> main").select("token", "node", "n").join(stars, "token")
-    beside = beside.select("node", "n", F.explode("stars").alias("star"))
-    beside = beside.select("node", "n", F.col("star.node").alias("star"), F.col("star.n").alias("star_n")).distinct()
-    beside = beside.where(_fits("n", "star_n", share))
-    return beside.select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
+    hot = _token_sizes(rows).where(F.col("outer") > MOST_PAIRS).select("token")
+    rows = rows.join(hot, "token", "left_semi")
+    chosen = [F.min_by(F.struct("node", "n"), F.xxhash64(F.lit(turn * STARS + k), "token", "node")) for k in range(STARS)]
+    stars = rows.where("component = main").groupBy("token").agg(F.array_distinct(F.array(*chosen)).alias("stars"))
+    beside = rows.where("component <> main").select("token", "node", "n", "main").join(stars, "token")
+    beside = beside.select("node", "n", "main", F.explode("stars").alias("star"))
+    beside = beside.select("node", "n", "main", F.col("star.node").alias("star"), F.col("star.n").alias("star_n"))
+    beside = beside.where(_fits("n", "star_n", share)).groupBy("node", "main", "star").agg(F.count(F.lit(1)).alias("tokens"))
+    best = Window.partitionBy("node", "main").orderBy(F.desc("tokens"), F.xxhash64(F.lit(turn), "node", "star"), "star")
+    taken = beside.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= (MORE_STARS if turn else STARS))
+    return taken.select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
 
 
 def _cross_pairs(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -390,16 +401,17 @@ def similar_groups(
     nodes = firsts.join(copies, ["node", "set_hash"], "left_anti").drop("set_hash")
 
     first_links = _verified(_leader_pairs(nodes, share), nodes, docs, width, share)
-    links, fruitful = first_links, True
+    links, fruitful, turn = first_links, True, 0
     while True:
         met = _prefix_rows(_with_components(nodes, links))
-        ahead, size = _pairs_ahead(met)
-        stars = fruitful and ahead > MOST_PAIRS * size
-        found = _verified(_star_pairs(met, share) if stars else _cross_pairs(met, share), nodes, docs, width, share)
+        ahead, size, outer = _pairs_ahead(met)
+        stars = fruitful and outer > 0 and ahead > MOST_PAIRS * size
+        pairs = _star_pairs(met, share, turn) if stars else _cross_pairs(met, share)
+        found = _verified(pairs, nodes, docs, width, share)
         links = links.unionByName(found)
         if not stars:
             break
-        fruitful = found.count() * LEAST_FRUIT > size
+        fruitful, turn = found.count() * LEAST_FRUIT > outer, turn + 1
 
     found = size_checked(components(links))
     named = sets.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
