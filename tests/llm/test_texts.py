@@ -261,6 +261,16 @@ def test_bpe_forgets_and_learns_again(tiktoken_codec, monkeypatch):
         assert codec.encode([text])[0][0].tolist() == tiktoken_codec.encode_ordinary(text)
 
 
+def test_bpe_asks_nothing_about_known_words():
+    """Texts of words that the worker knows are put together without the database."""
+    codec = bpe.Codec(RANKS, PATTERN)
+    texts = ["unhappily undone, ünhäppily", "", "undone unhappily 12345"]
+    first = codec.encode(texts)
+    codec.database = None
+    for (ids, said), (again, same), text in zip(first, codec.encode(texts), texts):
+        assert ids.tolist() == again.tolist() and said == same == text.encode()
+
+
 @pytest.mark.parametrize("table", ["awkward", "sample"])
 def test_bpe_digests(spark, tiktoken_codec, table):
     docs = clashing(awkward(spark)) if table == "awkward" else spark.read.parquet(f"{SAMPLE}/documents.parquet")

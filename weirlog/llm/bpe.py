@@ -7,8 +7,8 @@ merge table and contracts each word's leftmost pair of lowest rank until no pair
 left. Long words are cut first where no token of the vocabulary holds the two bytes
 that meet, as no merge can cross such a place; in parts that stay long, the same pair
 further right goes in the same step where that cannot change what comes next. Ordered
-aggregation makes a word's ids of its rows, and decodes: tokens' bytes to words, words
-to texts.
+aggregation makes a word's ids of its rows, and decodes: tokens' bytes to words. A text's
+ids and bytes are those of its words, one after the other.
 """
 
 from __future__ import annotations
@@ -48,6 +48,7 @@ _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 
 #: A row is a pair of neighbours: its token, where the next row is (follow), the next token, and what the two merge into.
 #: A step looks up only what the contracted pair has become part of; all other pairs are as they were.
+#: The lowest pair is one number: 24 bits of rank, 28 of place and 11 of the bytes to the next row.
 _MERGE = """
     CREATE OR REPLACE TEMP TABLE steps AS
     WITH RECURSIVE steps(word, pos, tok, follow, next, merged, depth) AS (
@@ -56,9 +57,10 @@ _MERGE = """
         UNION ALL
         (
             WITH lowest AS MATERIALIZED (
-                SELECT word, min(merged) AS low, arg_min(pos, merged::BIGINT << 32 | pos) AS pos,
-                       arg_min(follow, merged::BIGINT << 32 | pos) AS follow
-                FROM steps WHERE merged IS NOT NULL AND depth < $steps GROUP BY word
+                SELECT word, (first >> 39)::INTEGER AS low, (first >> 11) & 268435455 AS pos,
+                       ((first >> 11) & 268435455) + (first & 2047) AS follow
+                FROM (SELECT word, min((merged::BIGINT << 39) | (pos << 11) | (follow - pos)) AS first
+                      FROM steps WHERE merged IS NOT NULL AND depth < $steps GROUP BY word)
             ), kept AS (
                 SELECT s.word, CASE WHEN s.pos = l.follow THEN l.pos ELSE s.pos END AS pos,
                        CASE WHEN s.pos = l.follow THEN l.low ELSE s.tok END AS tok, s.follow,
@@ -118,10 +120,9 @@ _LAST = "CREATE OR REPLACE TEMP TABLE last AS SELECT word, max(depth) AS depth F
 _REACHED = "(SELECT word, pos, tok, follow, next FROM steps SEMI JOIN last USING (word, depth) WHERE depth {})"
 _KEEP = """
     CREATE OR REPLACE TEMP TABLE learned AS
-    SELECT word, list(tok ORDER BY pos) AS ids, decode(unhex(string_agg(v.hex, '' ORDER BY pos))) AS said
+    SELECT word, list(tok ORDER BY pos) AS ids, unhex(string_agg(v.hex, '' ORDER BY pos)) AS said
     FROM {rows} JOIN vocabulary v ON v.token = tok GROUP BY word
 """
-_TEXTS = "SELECT text, string_agg(said, '' ORDER BY pos) AS said FROM places JOIN words USING (word) GROUP BY text"
 _DECODE = """
     SELECT text, string_agg(v.hex, '' ORDER BY pos) AS hex FROM places JOIN vocabulary v ON v.token = tok GROUP BY text
 """
@@ -188,7 +189,6 @@ class Codec:
         left, right, merged = (list(c) for c in zip(*merges)) if merges else ([], [], [])
         self._load("merges", l=left, r=right, merged=merged, alone=[False] * len(merges))
         self.alone_known = False
-        self.database.execute("CREATE TABLE words (word INTEGER, said VARCHAR)")
         self.ranks = ranks
         self._forget()
 
@@ -196,7 +196,7 @@ class Codec:
         self.numbers, self.kept, self.used = _Numbers(), 0, 0
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.seen = np.zeros(0, np.int64)
-        self.database.execute("TRUNCATE words")
+        self.said: list[bytes] = []
 
     def _forget_rare(self) -> None:
         """Keep the words that came more than once lately, the most frequent first; all else is learned again if it comes."""
@@ -204,15 +204,10 @@ class Codec:
         often = np.sort(often[np.argsort(-self.seen[often], kind="stable")[: CACHED // 2]])
         words = list(self.numbers)
         numbers = _Numbers((words[old], new) for new, old in enumerate(often.tolist()))
-        ids, sizes, seen = self._ids(often), self.sizes[often], self.seen[often] // 2
-        self._register(pa.table({"old": often.astype(np.int32), "word": np.arange(len(often), dtype=np.int32)}))
-        self.database.execute("CREATE OR REPLACE TEMP TABLE held AS SELECT g.word, said FROM words w JOIN given g ON g.old = w.word")
-        self._forget()
-        self.database.execute("INSERT INTO words SELECT word, said FROM held")
-        self.database.execute("DROP TABLE held")
-        self.numbers, self.kept, self.used = numbers, len(often), len(ids)
-        self.ids, self.sizes, self.seen = ids, sizes, seen
-        self.starts = np.cumsum(sizes) - sizes
+        self.ids, self.sizes, self.seen = self._ids(often), self.sizes[often], self.seen[often] // 2
+        self.said = [self.said[old] for old in often.tolist()]
+        self.numbers, self.kept, self.used = numbers, len(often), len(self.ids)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
@@ -294,8 +289,7 @@ class Codec:
 
     def _keep(self, rows: str) -> None:
         self.database.execute(_KEEP.format(rows=rows))
-        self.database.execute("INSERT INTO words SELECT word, said FROM learned")
-        found = self.database.sql("SELECT word, ids FROM learned").to_arrow_table()
+        found = self.database.sql("SELECT word, ids, said FROM learned").to_arrow_table()
         for batch in found.to_batches():
             numbers, ids = batch.column(0).to_numpy(), batch.column(1)
             sizes = ids.value_lengths().to_numpy()
@@ -306,12 +300,15 @@ class Codec:
             self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
             self.sizes[numbers] = sizes
             self.used += len(values)
+            for number, value in zip(numbers.tolist(), batch.column(2).to_pylist()):
+                self.said[number] = value
 
     def _learn(self) -> None:
-        """Put the words numbered since the last time into the table of words."""
+        """Merge and decode the words numbered since the last time."""
         new = list(itertools.islice(self.numbers, self.kept, None))
         more = np.zeros(len(new), np.int64)
         self.starts, self.sizes = np.concatenate([self.starts, more]), np.concatenate([self.sizes, more])
+        self.said += [b""] * len(new)
         pending, whole = {_MERGE: [], _MERGE_LONG: []}, []
         size = dict.fromkeys(pending, 0)
         for number, word in enumerate((w.encode() for w in new), self.kept):
@@ -348,19 +345,13 @@ class Codec:
             self.database.execute(f"SET memory_limit = '{MEMORY}'")
 
     def _encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
-        words = [np.fromiter(map(self.numbers.__getitem__, part), np.int32, len(part)) for part in map(self.split, texts)]
+        words = [list(map(self.numbers.__getitem__, part)) for part in map(self.split, texts)]
         self._learn()
+        said = [b"".join(map(self.said.__getitem__, part)) for part in words]
+        words = [np.array(part, np.int32) for part in words]
         if words:
             self.seen = np.concatenate([self.seen, np.zeros(self.kept - len(self.seen), np.int64)])
             self.seen += np.bincount(np.concatenate(words), minlength=self.kept)
-        said = [b""] * len(texts)
-        if any(map(len, words)):
-            text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(w) for w in words])
-            places = pa.table({"text": text, "pos": np.arange(len(text), dtype=np.int64), "word": np.concatenate(words)})
-            self._register(places, "places")
-            for batch in self.database.sql(_TEXTS).to_arrow_table().to_batches():
-                for number, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                    said[number] = value
         return [(self._ids(w), value) for w, value in zip(words, said)]
 
     def _ids(self, words: np.ndarray) -> np.ndarray:
