@@ -208,6 +208,53 @@ def test_star_pairs_grow_with_the_nodes(spark):
     assert len(first) <= 4 * 200 and {r.b for r in first} == set(range(100, 300)) and all(r.a < 100 for r in first)
 
 
+def edited_copies():
+    """400 copies of 146 words with up to five words changed each: many are not similar to most others."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(146)]
+    rows = []
+    for k in range(400):
+        copy = list(base)
+        for place in rng.sample(range(146), rng.randrange(6)):
+            copy[place] = f"e{rng.randrange(300)}"
+        rows.append((k, " ".join(copy)))
+    return rows
+
+
+def five_words(text):
+    w = words((text or "").lower())
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+
+def test_copies_outside_a_group_meet_few_of_its_members(spark, monkeypatch):
+    """Whole sets are compared for some pairs a document, not for members times those outside."""
+    monkeypatch.setitem(globals(), "shingles", five_words)
+    rows, made = edited_copies(), []
+    original = ngram_join._verified
+
+    def counted(pairs, *args):
+        made.append(pairs.count())
+        return original(pairs, *args)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    found = ngram_join.similar_groups(make(spark, [(i, t, "a") for i, t in rows]), 5, 80, 100)
+    assert [(i, c) for i, _, c in sorted(plain(found, "doc_id", "n_shingles", "component_id"))] == [(i, c) for i, _, c in sorted(groups_by_hand(rows, (80, 100)))]
+    assert sum(made) <= 8 * len(rows)
+
+
+def test_differences_find_all_links(spark, monkeypatch):
+    """Whatever the center: of ids that repeat with other texts, with none, far from the group; each node in one bin."""
+    monkeypatch.setattr(ngram_join, "MOST_PAIRS", 0)
+    monkeypatch.setattr(ngram_join, "LEAST_FRUIT", 0)
+    monkeypatch.setattr(ngram_join, "BANDS", 1)
+    monkeypatch.setattr(ngram_join, "BAND_HASHES", 8)
+    rows = near_copies(7)
+    groups = {i: c for i, _, c in groups_by_hand(rows)}
+    again = [(c, None) for c in set(groups.values())][:40]  # an empty text beside that of a center
+    found = ngram_join.similar_groups(make(spark, [(i, t, "a") for i, t in rows + again]))
+    assert {r.doc_id: r.component_id for r in found.where("n_shingles > 0").collect()} == groups
+
+
 def test_one_per_group_keeps_all_columns(spark):
     docs = clashing(awkward(spark))
     kept = ngram_join.one_per_group(docs)

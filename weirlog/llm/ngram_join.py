@@ -15,7 +15,10 @@ with common minima under some hashes are compared with one of them, the bucket's
 which joins most of a large group of near copies. Only tokens that reach more than one
 component go on. Where these would still make many pairs, nodes outside a token's largest
 component are compared with a few nodes inside it, however many tokens they share with it, which
-leaves few outside. At last all pairs across components are made.
+leaves few outside. Nodes that still have such a token in common with many are written as
+differences from one document of that component, the center: what the group shares is in
+none of them, and linked sets share the rare tokens of theirs. At last all other pairs
+across components are made.
 """
 
 from __future__ import annotations
@@ -46,7 +49,8 @@ FURTHER_ORDERS = 2
 BANDS, BAND_HASHES = 2, 3
 #: Where tokens could make more pairs than so many a row, nodes with a token that could are first tried with so many nodes
 #: of the token's main component, those still outside with more and other ones, as long as there is a link for so many of their rows.
-MOST_PAIRS, STARS, MORE_STARS, LEAST_FRUIT = 16, 4, 32, 50
+#: Few turns pay: what they leave is paired by its differences from a center.
+MOST_PAIRS, STARS, MORE_STARS, LEAST_FRUIT = 16, 4, 32, 4
 #: Texts whose sets a worker holds at once.
 TEXTS = 500
 #: Words whose hashes a worker keeps.
@@ -323,8 +327,8 @@ def _pairs_ahead(rows: DataFrame) -> tuple[int, int, int]:
     return tuple(int(total or 0) for total in _token_sizes(rows).agg(*sums).first())
 
 
-def _star_pairs(rows: DataFrame, share: tuple[int, int], turn: int = 0) -> DataFrame:
-    """Nodes outside the main component of a token with many such nodes, each beside a few nodes of that component.
+def _star_pairs(rows: DataFrame, share: tuple[int, int], turn: int = 0, most: int | None = None) -> DataFrame:
+    """Nodes outside the main component of a token with more than ``most`` such nodes, each beside a few nodes of that component.
 
     One link joins a node to a component, so a node that shares many tokens with it needs no more pairs than one that
     shares few: it meets at most STARS in the first turn, in which most nodes of a group find a link, and MORE_STARS
@@ -332,7 +336,7 @@ def _star_pairs(rows: DataFrame, share: tuple[int, int], turn: int = 0) -> DataF
     tokens have, of equals by a hash. So nodes meet different stars, and others each turn, and hardly any that is similar to a
     part of the group stays apart from it.
     """
-    hot = _token_sizes(rows).where(F.col("outer") > MOST_PAIRS).select("token")
+    hot = _token_sizes(rows).where(F.col("outer") > (MOST_PAIRS if most is None else most)).select("token")
     rows = rows.join(hot, "token", "left_semi")
     chosen = [F.min_by(F.struct("node", "n"), F.xxhash64(F.lit(turn * STARS + k), "token", "node")) for k in range(STARS)]
     stars = rows.where("component = main").groupBy("token").agg(F.array_distinct(F.array(*chosen)).alias("stars"))
@@ -345,23 +349,136 @@ def _star_pairs(rows: DataFrame, share: tuple[int, int], turn: int = 0) -> DataF
     return taken.select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
 
 
+def _hosts(rows: DataFrame) -> DataFrame:
+    """node and host: for nodes with tokens that many nodes outside the main component have, the main component of most of these."""
+    hot = _token_sizes(rows).where(F.col("outer") > MOST_PAIRS).select("token")
+    shared = rows.join(hot, "token", "left_semi").groupBy("node", "main").agg(F.count(F.lit(1)).alias("tokens"))
+    best = shared.groupBy("node").agg(F.max(F.struct("tokens", F.col("main").alias("host"))).alias("best"))
+    return stored(best.select("node", "best.host"), "hosts")
+
+
+def _differences(hosts: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """row, node, host, n, center_n and difference: the tokens that either a node's set or its host's center has, but not both.
+
+    The center is the document that gives the host component its name; of rows that repeat its id one counts.
+    Any set would do: what it is like only decides how long the differences are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center, center_text = tokens_of(b""), b""
+        for batch in _parts(batches):
+            sizes, differences = [], []
+            for text, other in zip(batch.column(2), batch.column(3)):
+                if (other := other.as_py() or b"") != center_text:
+                    center, center_text = tokens_of(other, width), other
+                own = tokens_of(text.as_py() or b"", width)
+                sizes.append((len(own), len(center)))
+                differences.append(np.setxor1d(own, center, assume_unique=True))
+            counts = [pa.array([s[k] for s in sizes], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts, _longs(differences)], names=names)
+
+    texts = _bytes(docs)
+    centers = texts.join(size_checked(hosts.select(F.col("host").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    centers = centers.groupBy(F.col("doc_id").alias("host")).agg(F.min("text").alias("center"))
+    own = texts.withColumnRenamed("doc_id", "node").join(size_checked(hosts), "node")
+    beside = own.join(centers, "host").select("node", "host", "text", "center")
+    longs = T.ArrayType(T.LongType())
+    fields = [("n", T.LongType()), ("center_n", T.LongType()), ("difference", longs)]
+    schema = T.StructType([*beside.schema.fields[:2], *(T.StructField(*f) for f in fields)])
+    names = schema.names
+    found = beside.mapInArrow(run, schema).where("n > 0").withColumn("row", F.monotonically_increasing_id())
+    return stored(found, "differences")
+
+
+def _center_links(differences: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of a node and its center that are similar, of which the size of the difference tells."""
+    both, apart = F.col("n") + F.col("center_n"), F.size("difference")
+    linked = differences.where(((both - apart) * share[1] >= (both + apart) * share[0]) & (F.col("node") != F.col("host")))
+    return linked.select(F.least("node", "host").alias("a"), F.greatest("node", "host").alias("b")).distinct()
+
+
+def _difference_prefixes(differences: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """node, host, n, d (size of the difference), token and at: a difference's first tokens, those that few differences of the host have first.
+
+    The differences of linked sets differ in size by as many tokens at most as the sets are apart, so no more than (1 / share - 1) * n
+    tokens lie before the one that counts in ``_difference_pairs``. Tokens of a single difference keep their places but need no row.
+    """
+    columns = ["row", "node", "host", "n", F.size("difference").cast("bigint").alias("d"), F.explode("difference").alias("token")]
+    rows = differences.select(*columns)
+    times = rows.groupBy("host", "token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    rows = rows.join(times, ["host", "token"], "left")
+    rarest = Window.partitionBy("row").orderBy(F.coalesce("times", F.lit(1).cast("bigint")), "token")
+    rows = rows.withColumn("at", F.row_number().over(rarest) - 1)
+    first = F.col("at") * share[0] <= F.col("n") * (share[1] - share[0])
+    rows = rows.where(F.col("times").isNotNull() & first).withColumn("token", F.struct("host", "token"))
+    return stored(rows.select("node", "n", "d", "token", "at"), "difference-prefixes")
+
+
+def _between_components(prefixes: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of the tokens that reach more than one component, with component and main (the one with the most of a token's rows)."""
+    rows = prefixes.join(grouped.select("node", "component").distinct(), "node")
+    sizes = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"))
+    most = F.max(F.struct("rows", "component")).alias("most")
+    reach = sizes.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), most)
+    return stored(rows.join(reach.where("low < high").select("token", F.col("most.component").alias("main")), "token"), "prefix-rows")
+
+
+def _difference_pairs(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs of nodes of one host and different components that can be linked by their differences from the center.
+
+    Sets x and y are apart by |dx| + |dy| - 2 |dx and dy| tokens, where dx and dy are their differences from one
+    center; linked ones by at most limit = (1 - share) / (1 + share) * (|x| + |y|). So dx and dy share least =
+    (|dx| + |dy| - limit) / 2 tokens or more, of which the first under any order is one of the first |dx| - least + 1
+    of dx and of the first |dy| - least + 1 of dy. What most of a group of near copies have is in no difference, what a
+    copy has changed is. Without need of a shared token (least < 1) both are linked with the center already.
+    """
+    outer = rows.where("component <> main").select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "d", "component", "at")))
+    once = (F.col("component") == F.col("main")) | (F.col("o_node") < F.col("node"))
+    limit = F.floor((F.col("n") + F.col("o_n")) * (share[1] - share[0]) / sum(share))
+    least = F.ceil((F.col("d") + F.col("o_d") - limit) / 2)
+    early = (least >= 1) & (F.col("at") <= F.col("d") - least) & (F.col("o_at") <= F.col("o_d") - least)
+    met = rows.join(outer, "token").where(once & (F.col("component") != F.col("o_component")) & early & _fits("n", "o_n", share))
+    return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+
+
+def _linked_by_differences(pairs: DataFrame, differences: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of nodes of one host that are similar, as their differences from the center tell of the whole sets."""
+    beside = _beside(pairs, differences, "node", ["n", "difference"])
+    both, sizes = F.col("a_n") + F.col("b_n"), F.size("a_difference") + F.size("b_difference")
+    apart = sizes - 2 * F.size(F.array_intersect("a_difference", "b_difference"))
+    return stored(beside.where((both - apart) * share[1] >= (both + apart) * share[0]).select("a", "b").distinct(), "links")
+
+
+def _hosted(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Prefix rows with the bin of each, the nodes of one host or else those of one component, and as main the token's largest bin."""
+    rows = rows.drop("main").join(hosts, "node", "left")
+    rows = rows.withColumn("bin", F.struct(F.col("host").isNotNull().alias("hosted"), F.coalesce("host", "component").alias("of"))).drop("host")
+    sizes = rows.groupBy("token", "bin").agg(F.count(F.lit(1)).alias("rows"))
+    reach = sizes.groupBy("token").agg(F.min("bin").alias("low"), F.max("bin").alias("high"), F.max(F.struct("rows", "bin")).alias("most"))
+    reach = reach.where("low < high").select("token", F.col("most.bin").alias("main"))
+    return stored(rows.join(reach, "token"), "prefix-rows")
+
+
 def _cross_pairs(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs of nodes of different components that share a token early enough under the first order.
+    """Pairs of nodes of different components and bins that share a token early enough under the first order.
 
-    Of a token's rows, those outside its largest component are joined with all: every
-    pair across components has such an end, and the largest one, often a group of near
-    copies, makes no pairs with itself.
+    Of a token's rows, those outside its largest bin are joined with all: every pair across
+    bins has such an end, and the largest one, often a group of near copies, makes no
+    pairs with itself. Without a column ``bin`` every component is one.
 
     Linked sets x and y share at least o = share / (1 + share) * (|x| + |y|) tokens, so
     they share one of the first |x| - o + 1 of x that is one of the first |y| - o + 1 of y: a prefix
     cut to the pair, about half as long as the longest that a set may need.
     """
-    columns = ["node", "n", "component", "at"]
-    outer = rows.where("component <> main").select("token", *(F.col(c).alias(f"o_{c}") for c in columns))
-    once = (F.col("component") == F.col("main")) | (F.col("o_node") < F.col("node"))
+    if "bin" not in rows.columns:
+        rows = rows.withColumn("bin", F.col("component"))
+    columns = ["node", "n", "component", "at", "bin"]
+    outer = rows.where("bin <> main").select("token", *(F.col(c).alias(f"o_{c}") for c in columns))
+    once = (F.col("bin") == F.col("main")) | (F.col("o_node") < F.col("node"))
+    apart = (F.col("component") != F.col("o_component")) & (F.col("bin") != F.col("o_bin"))
     least = _least_common("n", "o_n", share)
     early = (F.col("at") <= F.col("n") - least) & (F.col("o_at") <= F.col("o_n") - least)
-    met = rows.join(outer, "token").where(once & (F.col("component") != F.col("o_component")) & early)
+    met = rows.join(outer, "token").where(once & apart & early)
     return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
 
@@ -400,19 +517,28 @@ def similar_groups(
     copies = size_checked(same.select(F.col("doc_id").alias("node"), "set_hash").distinct())
     nodes = firsts.join(copies, ["node", "set_hash"], "left_anti").drop("set_hash")
 
-    first_links = _verified(_leader_pairs(nodes, share), nodes, docs, width, share)
-    links, fruitful, turn = first_links, True, 0
+    links, fruitful, turn = _verified(_leader_pairs(nodes, share), nodes, docs, width, share), True, 0
     while True:
         met = _prefix_rows(_with_components(nodes, links))
         ahead, size, outer = _pairs_ahead(met)
-        stars = fruitful and outer > 0 and ahead > MOST_PAIRS * size
-        pairs = _star_pairs(met, share, turn) if stars else _cross_pairs(met, share)
-        found = _verified(pairs, nodes, docs, width, share)
-        links = links.unionByName(found)
-        if not stars:
+        if not (fruitful and outer > 0 and ahead > MOST_PAIRS * size):
             break
+        found = _verified(_star_pairs(met, share, turn), nodes, docs, width, share)
+        links = links.unionByName(found)
         fruitful, turn = found.count() * LEAST_FRUIT > outer, turn + 1
 
+    if outer > 0:
+        hosts = _hosts(met)
+        differences = _differences(hosts, docs, width)
+        prefixes = _difference_prefixes(differences, share)
+        links = links.unionByName(_center_links(differences, share))
+        beside = _star_pairs(_between_components(prefixes, _with_components(nodes, links)), share, most=0)
+        links = links.unionByName(_linked_by_differences(beside, differences, share))
+        inside = _difference_pairs(_between_components(prefixes, _with_components(nodes, links)), share)
+        links = links.unionByName(_linked_by_differences(inside, differences, share))
+        met = _hosted(_prefix_rows(_with_components(nodes, links)), hosts)
+    links = links.unionByName(_verified(_cross_pairs(met, share), nodes, docs, width, share))
+
     found = size_checked(components(links))
     named = sets.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     result = rows.select("doc_id", "n", "set_hash").join(named, "set_hash", "left")
